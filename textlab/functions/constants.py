@@ -70,3 +70,13 @@ TEST_STOPWORDS = [
 ]
 # lang -> index; 'es' deliberately left out so unknown labels are exercised
 TEST_LANG_LABELS = {"en": 0, "fr": 1, "de": 2}
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: base-model detection from a checkpoint file name (rule order
+# matters: the first key found in the lower-cased name wins)
+# ---------------------------------------------------------------------------
+BASE_MODEL_RULES = [
+    ("tweet", "indolem/indobertweet-base-uncased"),
+    ("base", "indobenchmark/indobert-base-p1"),
+]
+BASE_MODEL_DEFAULT = "indobenchmark/indobert-base-p1"

@@ -1,4 +1,4 @@
 """Registered queries (Spark + DuckDB oracle) built from the operators."""
 
-from . import text_queries  # noqa: F401  (registers on import)
+from . import split_queries, table_queries, text_queries  # noqa: F401  (register on import)
 from .registry import ORACLE, QUERIES  # noqa: F401
