@@ -37,23 +37,49 @@ def hash_bucket(order_hex: Column, hex_digits: int = HASH_BUCKET_HEX) -> Column:
     return F.conv(F.substring(order_hex, 1, hex_digits), 16, 10).cast("int")
 
 
-def _ranked(df: DataFrame, bucket: Column, order: Sequence[Column], rank_col: str,
+def _ranked(df: DataFrame, bucket, order: Sequence[Column], rank_col: str,
             partition_by: Sequence[str] = (), bounded_buckets: int | None = None) -> DataFrame:
+    """Rank rows by ``order`` given bucket column(s) that are monotone in it.
+
+    ``bucket`` is one Column (ascending) or a list of (Column, ascending)
+    pairs compared lexicographically.
+    """
     parts = list(partition_by)
-    b = df.withColumn("__bucket", bucket)
-    counts = b.groupBy(*parts, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    w_off = Window.partitionBy(*parts).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*parts, "__bucket",
-                            F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
+    specs = [(bucket, True)] if isinstance(bucket, Column) else list(bucket)
+    names = [f"__bucket{i}" for i in range(len(specs))]
+    b = df
+    for name, (expr, _) in zip(names, specs):
+        b = b.withColumn(name, expr)
+    sort = [F.col(n).asc() if asc else F.col(n).desc() for n, (_, asc) in zip(names, specs)]
+    counts = b.groupBy(*parts, *names).agg(F.count(F.lit(1)).alias("__n"))
+    w_off = Window.partitionBy(*parts).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*parts, *names, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__offset"))
     if not parts and bounded_buckets is not None and bounded_buckets <= MAX_BROADCAST_BUCKETS:
         # at most ``bounded_buckets`` rows of (int, long): a proven bound
         offsets = F.broadcast(offsets)
-    # with partition columns the table grows with their cardinality; AQE
+    # otherwise the table grows with the group / bucket cardinality; AQE
     # broadcasts it at run time only when it is under the size threshold.
-    j = b.join(offsets, [*parts, "__bucket"])
-    w = Window.partitionBy(*parts, "__bucket").orderBy(*order)
+    j = b.join(offsets, [*parts, *names])
+    w = Window.partitionBy(*parts, *names).orderBy(*order)
     return j.withColumn(rank_col, (F.col("__offset") + F.row_number().over(w)).cast("long")) \
-            .drop("__bucket", "__offset")
+            .drop(*names, "__offset")
+
+
+def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 1024,
+                         rel_err: float = 1e-4) -> DataFrame:
+    """Add ``out``: bucket id of numeric ``col`` by approximate quantiles.
+
+    The quantile sketch is a distributed aggregate; only ``n_buckets`` bounds
+    reach the driver.  ``Bucketizer`` finds the bucket by binary search in the
+    JVM.  Equal values always share a bucket, so the bucket is monotone in
+    ``col``.
+    """
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = df.select(F.col(col).cast("double").alias("k")).approxQuantile("k", probs, rel_err)
+    splits = [float("-inf")] + sorted(set(b for b in bounds if b is not None)) + [float("inf")]
+    kd = df.withColumn("__qk", F.col(col).cast("double"))
+    kd = Bucketizer(splits=splits, inputCol="__qk", outputCol="__qb", handleInvalid="keep").transform(kd)
+    return kd.withColumn(out, F.col("__qb").cast("int")).drop("__qk", "__qb")
 
 
 def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
@@ -72,17 +98,10 @@ def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
 def key_rank(df: DataFrame, key: str, rank_col: str = "rank", n_buckets: int = 4096,
              rel_err: float = 1e-4) -> DataFrame:
     """1..n rank in ``key`` order (stored order).  ``key`` must be numeric and
-    unique.  Buckets are key ranges from approximate quantiles (a distributed
-    sketch), so each bucket holds about n / n_buckets rows."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", probs, rel_err)
-    splits = sorted(set(b for b in bounds if b is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    kd = df.withColumn("__k", F.col(key).cast("double"))
-    kd = Bucketizer(splits=splits, inputCol="__k", outputCol="__kb", handleInvalid="keep").transform(kd)
-    out = _ranked(kd, F.col("__kb").cast("int"), [F.col(key)], rank_col,
-                  bounded_buckets=len(splits))
-    return out.drop("__k", "__kb")
+    unique.  Buckets are key ranges from approximate quantiles, so each holds
+    about n / n_buckets rows; the bucket table has at most n_buckets rows."""
+    kd = with_quantile_bucket(df, key, "__kb", n_buckets, rel_err)
+    return _ranked(kd, F.col("__kb"), [F.col(key)], rank_col, bounded_buckets=n_buckets).drop("__kb")
 
 
 def with_count(df: DataFrame, name: str = "__total", partition_by: Sequence[str] = ()) -> DataFrame:
