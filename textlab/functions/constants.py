@@ -70,6 +70,8 @@ TEST_STOPWORDS = [
 ]
 # lang -> index; 'es' deliberately left out so unknown labels are exercised
 TEST_LANG_LABELS = {"en": 0, "fr": 1, "de": 2}
+# complete map for strict loading (every test language known)
+TEST_LANG_LABELS_ALL = {"en": 0, "fr": 1, "de": 2, "es": 3}
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: base-model detection from a checkpoint file name (rule order
