@@ -20,6 +20,8 @@ WS_CLASS_BODY = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = "[" + WS_CLASS_BODY + "]"
+# the same set as characters, derived by rule (str.isspace over all code points)
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 NOT_WS = "[^" + WS_CLASS_BODY + "]"
 
 # Python's \w on str: letters, numbers (any category N) and underscore.

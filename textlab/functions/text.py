@@ -34,9 +34,16 @@ def clean_text(c, lowercase: bool = True) -> Column:
     return x
 
 
+_WS_OTHER = K.WS_CHARS.replace(" ", "")
+
+
 def tokenize_ws(c) -> Column:
-    """Python ``str.split()``: split on runs of Unicode whitespace, no empties."""
-    return F.filter(F.split(_col(c), K.WS + "+"), lambda t: t != "")
+    """Python ``str.split()``: split on runs of Unicode whitespace, no empties.
+
+    Every whitespace character is first mapped to ' ' with ``translate`` (a
+    character map, no regex), then split on the single space."""
+    spaced = F.translate(_col(c), _WS_OTHER, " " * len(_WS_OTHER))
+    return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
 def sw_array(stopwords: Iterable[str]) -> Column:
@@ -122,16 +129,22 @@ META_FEATURES = ["num_words", "mentions", "hashtags", "punct_count", "char_count
                  "unique_words", "url_count", "stopword_count"]
 
 
-def meta_feature_columns(c, stopwords: Iterable[str]) -> list[Column]:
-    """All eight features, aliased, for one ``select``."""
-    sw = list(stopwords)
+def meta_feature_columns(c, stopwords: Iterable[str], tokens=None) -> list[Column]:
+    """All eight features, aliased, for one ``select``.
+
+    ``tokens`` may name an already computed ``tokenize_ws(c)`` column so the
+    split runs once; lower-casing commutes with whitespace splitting, so the
+    stop-word count lower-cases the tokens instead of re-splitting.
+    """
+    sw = sw_array(list(stopwords))
+    tok = _col(tokens) if tokens is not None else tokenize_ws(c)
     return [
-        f_num_words(c).alias("num_words"),
+        F.size(tok).cast("long").alias("num_words"),
         f_mentions(c).alias("mentions"),
         f_hashtags(c).alias("hashtags"),
         f_punct_count(c).alias("punct_count"),
         f_char_count(c).alias("char_count"),
-        f_unique_words(c).alias("unique_words"),
+        F.size(F.array_distinct(tok)).cast("long").alias("unique_words"),
         f_url_count(c).alias("url_count"),
-        f_stopword_count(c, sw).alias("stopword_count"),
+        F.size(F.filter(tok, lambda t: F.array_contains(sw, F.lower(t)))).cast("long").alias("stopword_count"),
     ]

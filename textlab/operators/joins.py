@@ -12,18 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# a dimension is broadcast only when it has at most this many rows
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def maybe_broadcast(dim: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``dim`` only when it provably holds <= row_limit rows.
-
-    The check counts at most row_limit + 1 rows (``limit`` stops early), so
-    it costs one short job on the dimension, never a pass over the facts.
+def maybe_broadcast(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only for a side with a proven row bound (``max_rows``,
+    known from how it was built, e.g. a capped vocabulary).
+
+    Without a bound the side is returned as is: AQE measures the materialised
+    side at run time and switches to a broadcast join only when it is under
+    ``spark.sql.autoBroadcastJoinThreshold``, otherwise the sort-merge join
+    stays (and skewed partitions are split).  No extra counting job.
     """
-    n = dim.limit(row_limit + 1).count()
-    return F.broadcast(dim) if n <= row_limit else dim
+    return F.broadcast(dim) if max_rows is not None else dim
 
 
 def anti_join_natural(full: DataFrame, sample: DataFrame) -> DataFrame:

@@ -21,8 +21,13 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
 
 def text_meta_features(df: DataFrame, text_col: str, stopwords: Iterable[str],
                        keep: Sequence[str] = ()) -> DataFrame:
-    """Append the eight meta features of ``text_col`` (computed on raw text)."""
-    return df.select(*[F.col(c) for c in keep], *TX.meta_feature_columns(text_col, stopwords))
+    """Append the eight meta features of ``text_col`` (computed on raw text).
+
+    The whitespace tokens are computed once in a projection below the
+    features (Catalyst keeps it: the token array is read several times)."""
+    t = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"),
+                  TX.tokenize_ws(text_col).alias("__tok"))
+    return t.select(*[F.col(c) for c in keep], *TX.meta_feature_columns("__text", stopwords, tokens="__tok"))
 
 
 def select_numeric(df: DataFrame) -> DataFrame:

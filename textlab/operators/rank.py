@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_key
+from ..session import ensure_checkpoint_dir as ensure_checkpoint  # noqa: F401
 
 HASH_BUCKET_HEX = 4          # 16 bits -> at most 65,536 buckets
 MAX_BROADCAST_BUCKETS = 1 << 16
@@ -82,6 +83,16 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 102
     return kd.withColumn(out, F.col("__qb").cast("int")).drop("__qk", "__qb")
 
 
+def range_bucket(df: DataFrame, col: str, n_buckets: int = 1024) -> Column:
+    """Equal-width bucket 0..n_buckets-1 of a numeric column, with min / max as
+    scalar subqueries (planned into the same query, exchanges reused - no
+    separate job).  Monotone in ``col``; balanced for dense keys."""
+    lo = df.agg(F.min(F.col(col))).scalar()
+    hi = df.agg(F.max(F.col(col))).scalar()
+    width = (hi - lo + F.lit(1)) / F.lit(n_buckets)
+    return F.floor((F.col(col) - lo) / width).cast("int")
+
+
 def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
               partition_by: Sequence[str] = ()) -> DataFrame:
     """1..n rank in seeded-permutation order (md5('seed:key'), key).

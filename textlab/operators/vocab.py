@@ -25,7 +25,13 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"),
                                     F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("first"))
     counts = counts.select("token", "n", F.col("first.k").alias("first_key"), F.col("first.p").alias("first_pos"))
-    counts = R.with_quantile_bucket(counts, "first_key", "__fb", n_buckets=256)
+    # The word table is read several times below (bucket bounds, bucket
+    # offsets, the ranking itself).  Materialise it once with a reliable
+    # checkpoint (shared checkpoint folder, survives executor loss, cuts the
+    # token lineage) instead of re-exploding every document each time.
+    R.ensure_checkpoint(docs.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    counts = counts.withColumn("__fb", R.range_bucket(counts, "first_key", 256))
     ranked = R._ranked(counts, [(F.col("n"), False), (F.col("__fb"), True)],
                        [F.col("n").desc(), F.col("first_key"), F.col("first_pos")], "idx")
     return ranked.select("token", F.col("n").cast("long").alias("n"), F.col("idx").cast("long").alias("idx"))

@@ -28,9 +28,10 @@ FLAGSHIP_COLS = P_COLS = TX.META_FEATURES + ["clean_words"]
 
 
 def flagship(spark, sf_dir):
-    d = _docs(spark, sf_dir)
-    feats = d.select("lang", *TX.meta_feature_columns("text", SW),
-                     TX.f_num_words(TX.clean_text("text")).alias("clean_words"))
+    d = _docs(spark, sf_dir).select("lang", "text", TX.tokenize_ws("text").alias("tok"),
+                                    TX.clean_text("text").alias("clean"))
+    feats = d.select("lang", *TX.meta_feature_columns("text", SW, tokens="tok"),
+                     TX.f_num_words("clean").alias("clean_words"))
     return P.mean_by_label(feats, "lang", FLAGSHIP_COLS)
 
 
