@@ -78,6 +78,8 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 102
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.col(col).cast("double").alias("k")).approxQuantile("k", probs, rel_err)
     splits = [float("-inf")] + sorted(set(b for b in bounds if b is not None)) + [float("inf")]
+    if len(splits) < 3:       # empty table or a single value: one bucket
+        return df.withColumn(out, F.lit(0))
     kd = df.withColumn("__qk", F.col(col).cast("double"))
     kd = Bucketizer(splits=splits, inputCol="__qk", outputCol="__qb", handleInvalid="keep").transform(kd)
     return kd.withColumn(out, F.col("__qb").cast("int")).drop("__qk", "__qb")
