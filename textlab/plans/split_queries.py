@@ -33,35 +33,35 @@ def q_shuffle(spark, sf_dir):
 
 
 @register("sample_frac", f"""
-SELECT doc_id FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t WHERE r <= round_even({N} * 0.1, 0)""")
+SELECT doc_id FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t WHERE r <= round_even({N} * CAST(0.1 AS DOUBLE), 0)""")
 def q_sample_frac(spark, sf_dir):
     return S.sample_frac(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.1, 42)
 
 
 @register("holdout_split", f"""
-SELECT doc_id, CASE WHEN r <= floor({N} * 0.05) THEN 'val' ELSE 'train' END AS split
+SELECT doc_id, CASE WHEN r <= floor({N} * CAST(0.05 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split
 FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t""")
 def q_holdout_split(spark, sf_dir):
     return S.holdout_split(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.05, 42)
 
 
 @register("split_frac", f"""
-SELECT doc_id, CASE WHEN r <= floor({N} * 0.8) THEN 'train' ELSE 'val' END AS split
+SELECT doc_id, CASE WHEN r <= floor({N} * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split
 FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t""")
 def q_split_frac(spark, sf_dir):
     return S.split_frac(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.8, 42)
 
 
 @register("split_ceil", f"""
-SELECT doc_id, CASE WHEN r <= ceil({N} * 0.2) THEN 'test' ELSE 'train' END AS split
+SELECT doc_id, CASE WHEN r <= ceil({N} * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t""")
 def q_split_ceil(spark, sf_dir):
     return S.split_ceil(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.2, 42)
 
 
 @register("split_70_15_15", f"""
-WITH c AS (SELECT round_even({N} * 0.7, 0) AS nt),
-     v AS (SELECT nt, round_even(({N} - nt) * 0.5, 0) AS nv FROM c)
+WITH c AS (SELECT round_even({N} * CAST(0.7 AS DOUBLE), 0) AS nt),
+     v AS (SELECT nt, round_even(({N} - nt) * CAST(0.5 AS DOUBLE), 0) AS nv FROM c)
 SELECT doc_id, CASE WHEN r <= nt THEN 'train' WHEN r <= nt + nv THEN 'valid' ELSE 'test' END AS split
 FROM (SELECT doc_id, {_hr(42)} AS r FROM documents) t, v""")
 def q_split_70_15_15(spark, sf_dir):
@@ -69,7 +69,7 @@ def q_split_70_15_15(spark, sf_dir):
 
 
 @register("split_tail", f"""
-SELECT doc_id, CASE WHEN r <= floor({N} * (1.0 - 0.2)) THEN 'train' ELSE 'val' END AS split
+SELECT doc_id, CASE WHEN r <= floor({N} * CAST(1.0 - 0.2 AS DOUBLE)) THEN 'train' ELSE 'val' END AS split
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents) t""")
 def q_split_tail(spark, sf_dir):
     return S.split_tail(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.2)
@@ -80,7 +80,7 @@ WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM document
 h AS (SELECT doc_id, CASE WHEN r <= {N} // 2 THEN 0 ELSE 1 END AS half,
              CASE WHEN r <= {N} // 2 THEN r ELSE r - {N} // 2 END AS pos FROM k),
 hr AS (SELECT doc_id, half, {_hr(42, 'pos', 'half')} AS r2, count(*) OVER (PARTITION BY half) AS nh FROM h)
-SELECT doc_id, CASE WHEN r2 <= ceil(nh * 0.2) THEN 'test' ELSE 'train' END AS split FROM hr""")
+SELECT doc_id, CASE WHEN r2 <= ceil(nh * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM hr""")
 def q_split_halves(spark, sf_dir):
     return S.split_halves(_docs(spark, sf_dir).select("doc_id"), "doc_id", 0.2, 42)
 
@@ -88,7 +88,7 @@ def q_split_halves(spark, sf_dir):
 @register("split_pairs", f"""
 WITH pr AS (SELECT doc_id AS pair_id, {_hr(42)} AS r FROM documents)
 SELECT pair_id, CAST(p - 1 AS BIGINT) AS variant_pos,
-       CASE WHEN r <= ceil({N} * 0.2) THEN 'test' ELSE 'train' END AS split
+       CASE WHEN r <= ceil({N} * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
 FROM pr, range(1, 3) AS g(p)""")
 def q_split_pairs(spark, sf_dir):
     d = _docs(spark, sf_dir).select(F.col("doc_id").alias("pair_id"),
@@ -97,7 +97,7 @@ def q_split_pairs(spark, sf_dir):
 
 
 @register("stratified_split", f"""
-SELECT doc_id, lang, CASE WHEN r <= ceil(nl * 0.2) THEN 'test' ELSE 'train' END AS split
+SELECT doc_id, lang, CASE WHEN r <= ceil(nl * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
 FROM (SELECT doc_id, lang, {_hr(42, 'doc_id', 'lang')} AS r, count(*) OVER (PARTITION BY lang) AS nl
       FROM documents) t""")
 def q_stratified_split(spark, sf_dir):
@@ -124,7 +124,7 @@ def q_bootstrap_oob(spark, sf_dir):
 
 
 @register("leak_check", f"""
-WITH s AS (SELECT doc_id, text, CASE WHEN {_hr(42)} <= floor({N} * 0.2) THEN 'val' ELSE 'train' END AS split
+WITH s AS (SELECT doc_id, text, CASE WHEN {_hr(42)} <= floor({N} * CAST(0.2 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split
            FROM documents)
 SELECT v.doc_id FROM s v
 WHERE v.split = 'val' AND md5({D.clean_text('v.text')}) IN
@@ -162,7 +162,7 @@ _UPPER_CASE_MAP = {k.upper(): v for k, v in K.TEST_LANG_LABELS.items()}
 
 
 @register("cross_corpus", f"""
-WITH s AS (SELECT doc_id, lang, CASE WHEN {_hr(42)} <= floor({N} * 0.2) THEN 'val' ELSE 'train' END AS split
+WITH s AS (SELECT doc_id, lang, CASE WHEN {_hr(42)} <= floor({N} * CAST(0.2 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split
            FROM documents)
 SELECT CASE WHEN split = 'train' THEN 'corpus_a' ELSE 'corpus_b' END AS corpus, doc_id,
        CAST(CASE WHEN split = 'train' THEN (CASE lang {' '.join(f"WHEN '{k}' THEN {v}" for k, v in K.TEST_LANG_LABELS.items())} END)

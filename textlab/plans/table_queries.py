@@ -205,7 +205,7 @@ def q_vocab_stats(spark, sf_dir):
 # --- 2.7 / 2.8 joins and set operations ---------------------------------------
 
 _SAMPLE20 = ("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS r "
-             "FROM documents) x WHERE r <= round_even((SELECT count(*) FROM documents) * 0.2, 0)")
+             "FROM documents) x WHERE r <= round_even((SELECT count(*) FROM documents) * CAST(0.2 AS DOUBLE), 0)")
 
 
 @register("anti_join_natural", f"""

@@ -146,3 +146,23 @@ FROM (SELECT doc_id, {_BIGRAM_SQL} AS l
 """)
 def q_ngrams_1_2(spark, sf_dir):
     return _long(_docs(spark, sf_dir), "doc_id", TX.ngrams_1_2(TX.tokenize_sklearn("text")))
+
+
+_STOP_LIST = list(dict.fromkeys(SW + K.STOPWORD_EXTRAS + K.STOPWORD_EXTRAS_AUG))
+
+
+@register("stopword_list", f"""
+WITH sw AS (SELECT unnest({D.sw_list(_STOP_LIST)}) AS word),
+c AS (SELECT t AS word, count(*) AS n FROM (SELECT unnest({D.tokenize_ws('lower(text)')}) AS t FROM documents) a
+      WHERE t IN (SELECT word FROM sw) GROUP BY t)
+SELECT sw.word, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM sw LEFT JOIN c USING (word)""")
+def q_stopword_list(spark, sf_dir):
+    """Base list + domain words (union, distinct) as a small table, with each
+    word's frequency among the lower-cased tokens of documents."""
+    from ..operators import joins as J
+    base = spark.createDataFrame([(w,) for w in SW], "word string")
+    extra = spark.createDataFrame([(w,) for w in K.STOPWORD_EXTRAS + K.STOPWORD_EXTRAS_AUG], "word string")
+    words = J.union_all(base, extra).distinct()
+    toks = _docs(spark, sf_dir).select(F.explode(TX.tokenize_ws(F.lower("text"))).alias("word"))
+    counts = toks.join(F.broadcast(words), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
