@@ -76,8 +76,8 @@ def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFram
         F.when(F.col("lo0") == F.col("hi0"), F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
         F.when(F.col("lo0") == F.col("hi0"), F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"),
     )
-    # ``rng`` has one row per label: bounded by the label count, broadcast.
-    j = df.select(label, x).where(F.col(x).isNotNull()).join(F.broadcast(rng), label)
+    # one row per label: AQE broadcasts it at run time when it is small
+    j = df.select(label, x).where(F.col(x).isNotNull()).join(rng, label)
     b = F.least(F.floor((F.col(x) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     return (j.groupBy(label, b.cast("long").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"),
@@ -117,19 +117,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
 
 
 def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable[str],
-                       k: int = 20) -> DataFrame:
-    """Most frequent lower-cased words per label, stop words removed.
+                       k: int = 20, buckets: int = 256) -> DataFrame:
+    """Most frequent lower-cased words per label, stop words removed; ties by word.
 
     explode -> groupBy(label, word) with partial aggregation (a hot word is
-    pre-counted per task), then a per-label top-k window over distinct words.
+    pre-counted per task).  The top-k is two-phase so a label with a huge
+    vocabulary is never ranked in one task: top-k inside (label, hash bucket
+    of the word), then top-k per label over at most buckets * k candidates.
     """
     sw = TX.sw_array(stopwords)
     words = df.select(label, F.explode(F.filter(TX.tokenize_ws(F.lower(F.col(text))),
                                                 lambda t: ~F.array_contains(sw, t))).alias("word"))
     counts = words.groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(label).orderBy(F.desc("n"), F.asc("word"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-                 .withColumn("rank", F.col("rank").cast("long"))
+    order = [F.desc("n"), F.asc("word")]
+    b = F.pmod(F.xxhash64("word"), F.lit(buckets))
+    w1 = Window.partitionBy(label, b).orderBy(*order)
+    cand = counts.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1")
+    w2 = Window.partitionBy(label).orderBy(*order)
+    return cand.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k) \
+               .withColumn("rank", F.col("rank").cast("long"))
 
 
 def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ complete, and a re-run on any partitioning gives the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,25 +159,42 @@ def leak_check(train: DataFrame, val: DataFrame, text: str, clean) -> DataFrame:
 
 
 def size_grid_counts(df: DataFrame, key: str, label: str, sizes: Sequence[int],
-                     splits: Sequence[int], iterations: Sequence[int]) -> DataFrame:
-    """Learning-curve grid: for every (split seed, iteration, size) the label
-    mix of the nested training subset ``rank <= size``.
-
-    Rows are replicated once per (split, iteration) cell with ``explode`` -
-    never once per size - and ranked per cell.  Each row is counted in the
-    smallest size that holds it; a running sum over the sizes then gives
-    every nested subset in one job.
+                     splits: Sequence[int], iterations: Sequence[int], seed="grid") -> DataFrame:
+    """Learning-curve grid: for every (split, iteration) cell and size the
+    label mix of the nested training subset ``rank <= size`` (rank in the
+    cell's own seeded order).
+
+    Only a cell's first max(sizes) rows matter.  The order starts with
+    u = first 8 hex digits of md5 / 2**32, so rows with u <= t are a prefix of
+    every cell's order.  Rows are kept for the cells where u <= t (no
+    replication of the table), t chosen so about max(sizes) rows survive per
+    cell; if any cell kept fewer than min(n, max(sizes)) rows, t is doubled and
+    the step repeated - the result is exact, never capped.
     """
     sizes = sorted(sizes)
-    cells = F.array(*[F.struct(F.lit(s).alias("split_no"), F.lit(i).alias("iteration"))
-                      for s in splits for i in iterations])
-    rep = df.select(key, label, F.explode(cells).alias("__cell")) \
-            .select(key, label, "__cell.split_no", "__cell.iteration")
+    top = sizes[-1]
+    n = df.count()
+    cells = [(s, i) for s in splits for i in iterations]
+    need = min(n, top)
+    t = 1.0 if n == 0 else min(1.0, (top + 8.0 * math.sqrt(top) + 64.0) / n)
+    base = df.select(key, label)
+    while True:
+        kept = F.array(*[F.when(hash_uniform(seed, F.lit(f"{s}-{i}"), F.col(key)) <= F.lit(t),
+                                F.struct(F.lit(s).alias("split_no"), F.lit(i).alias("iteration")))
+                         for s, i in cells])
+        rep = base.select(key, label, F.explode(F.filter(kept, lambda c: c.isNotNull())).alias("__cell")) \
+                  .select(key, label, "__cell.split_no", "__cell.iteration")
+        if t >= 1.0:
+            break
+        short = rep.groupBy("split_no", "iteration").count().where(F.col("count") >= need).count()
+        if short == len(cells):
+            break
+        t = min(1.0, 2.0 * t)
     rep = rep.withColumn("__seed", F.concat_ws("-", F.col("split_no"), F.col("iteration")))
     rep = R.hash_rank(rep.withColumn("__k", F.concat_ws(":", "__seed", F.col(key).cast("string"))),
-                      "__k", "grid", "__r", partition_by=["__seed"])
+                      "__k", seed, "__r", partition_by=["__seed"])
     size_arr = F.array(*[F.lit(s) for s in sizes])
-    rep = rep.where(F.col("__r") <= sizes[-1]) \
+    rep = rep.where(F.col("__r") <= top) \
              .withColumn("size", F.element_at(F.filter(size_arr, lambda s: s >= F.col("__r")), 1))
     cnt = rep.groupBy("split_no", "iteration", label, "size").agg(F.count(F.lit(1)).alias("__c"))
     grid = cnt.select("split_no", "iteration", label).distinct() \
