@@ -46,6 +46,18 @@ def tokenize_ws(c) -> Column:
     return F.filter(F.split(spaced, " "), lambda t: t != "")
 
 
+def explode_tokens(df, keep, arr, name: str = "token", pos: str | None = None):
+    """One row per array element, keeping ``keep`` columns.
+
+    Uses the outer generator plus a null filter: a plain ``explode`` makes
+    Catalyst infer ``size(arr) > 0`` and push it below the projection, which
+    evaluates an expensive token expression twice per row.
+    """
+    a = _col(arr)
+    gen = F.posexplode_outer(a).alias(pos, name) if pos else F.explode_outer(a).alias(name)
+    return df.select(*[_col(k) for k in keep], gen).where(F.col(name).isNotNull())
+
+
 def sw_array(stopwords: Iterable[str]) -> Column:
     return F.array(*[F.lit(w) for w in stopwords])
 

@@ -116,7 +116,7 @@ def lexicon_translate(df: DataFrame, key: str, text: str, lexicons: Sequence[Dat
     """Per-word substitution through one or more lexicons (src, dst) applied in
     order; unknown words are kept, word order is kept, words are re-joined by
     one space.  A text without words becomes ''."""
-    t = df.select(key, F.posexplode(TX.tokenize_ws(text)).alias("pos", "w"))
+    t = TX.explode_tokens(df, [key], TX.tokenize_ws(text), "w", pos="pos")
     for i, lex in enumerate(lexicons):
         lk = f"__src{i}"
         lx = lex.select(F.col("src").alias(lk), F.col("dst").alias(f"__dst{i}"))

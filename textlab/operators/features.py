@@ -23,10 +23,12 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
+
 
 def tf_count(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     """(key, term, tf): term counts per document."""
-    t = docs.select(key, F.explode(tokens if isinstance(tokens, Column) else F.col(tokens)).alias("term"))
+    t = TX.explode_tokens(docs, [key], tokens, "term")
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -34,7 +36,10 @@ def idf_table(tf: DataFrame, key: str, n_docs: Column | None = None) -> DataFram
     """(term, df, idf) with sklearn's smooth idf.  ``n_docs`` defaults to the
     number of documents with at least one term in ``tf``."""
     n = n_docs if n_docs is not None else F.lit(tf.agg(F.count_distinct(key)).scalar())
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # counting through ``tf`` (not count(*)) keeps the tf aggregate below
+    # unchanged, so Spark reuses its exchange instead of re-tokenising for a
+    # separate distinct
+    df = tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
     return df.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
 
@@ -124,7 +129,7 @@ def tfidf_vectors(docs: DataFrame, key: str, tokens: str, k: int, out: str = "tf
     tf = tf_count(src, key, tokens)
     top = top_terms(tf, k)
     n = src.count()
-    stats = (top.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    stats = (top.join(tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")), "term")
                 .select("term_idx", "term", "df").orderBy("term_idx").collect())   # <= k rows
     vocab = [r["term"] for r in stats]
     import math

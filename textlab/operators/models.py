@@ -81,7 +81,7 @@ class SklearnTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         tf = FE.tf_count(df, "__key", self.getInputCol())
         top = FE.top_terms(tf, self.getOrDefault(self.maxFeatures))
         n = df.count()
-        stats = (top.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+        stats = (top.join(tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")), "term")
                     .select("term_idx", "term", "df").orderBy("term_idx").collect())
         m = SklearnTfidfModel()
         m._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),

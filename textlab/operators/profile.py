@@ -126,8 +126,8 @@ def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable
     of the word), then top-k per label over at most buckets * k candidates.
     """
     sw = TX.sw_array(stopwords)
-    words = df.select(label, F.explode(F.filter(TX.tokenize_ws(F.lower(F.col(text))),
-                                                lambda t: ~F.array_contains(sw, t))).alias("word"))
+    words = TX.explode_tokens(df, [label], F.filter(TX.tokenize_ws(F.lower(F.col(text))),
+                                                    lambda t: ~F.array_contains(sw, t)), "word")
     counts = words.groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("word")]
     b = F.pmod(F.xxhash64("word"), F.lit(buckets))

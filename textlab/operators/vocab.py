@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from . import rank as R
 
 
@@ -21,7 +22,7 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     The rank over distinct words runs in buckets (count, first-document range)
     that are monotone in the order, so no single task ranks the whole vocabulary.
     """
-    t = docs.select(key, F.posexplode(tokens if isinstance(tokens, Column) else F.col(tokens)).alias("pos", "token"))
+    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
     counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"),
                                     F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("first"))
     counts = counts.select("token", "n", F.col("first.k").alias("first_key"), F.col("first.p").alias("first_pos"))
@@ -54,7 +55,7 @@ def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                        n_words: int | None = None, out: str = "seq") -> DataFrame:
     """Token arrays -> id arrays in order; OOV and ids >= n_words dropped.
     Every document is kept (empty sequence when nothing survives)."""
-    t = docs.select(key, F.posexplode(tokens).alias("pos", "token"))
+    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
     j = t.join(capped_vocab(vocab, n_words).select("token", "idx"), "token")
     seq = _ordered_collect(j, key, "idx", out)
     return docs.select(key).join(seq, key, "left") \
@@ -64,7 +65,7 @@ def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
 def custom_tokenizer(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                      n_words: int | None = None, out: str = "kept") -> DataFrame:
     """Keep in-vocabulary tokens as strings, order kept."""
-    t = docs.select(key, F.posexplode(tokens).alias("pos", "token"))
+    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
     j = t.join(capped_vocab(vocab, n_words).select("token"), "token")
     kept = _ordered_collect(j, key, "token", out)
     return docs.select(key).join(kept, key, "left") \

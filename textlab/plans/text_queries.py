@@ -118,7 +118,7 @@ def _long_sql(list_expr: str, key: str = "doc_id", table: str = "documents") ->
 
 
 def _long(df, key, arr):
-    return df.select(key, F.posexplode(arr).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    return TX.explode_tokens(df, [key], arr, "token", pos="pos").withColumn("pos", F.col("pos").cast("long"))
 
 
 @register("tokenize_ws", _long_sql(D.tokenize_ws("text")))
@@ -163,6 +163,6 @@ def q_stopword_list(spark, sf_dir):
     base = spark.createDataFrame([(w,) for w in SW], "word string")
     extra = spark.createDataFrame([(w,) for w in K.STOPWORD_EXTRAS + K.STOPWORD_EXTRAS_AUG], "word string")
     words = J.union_all(base, extra).distinct()
-    toks = _docs(spark, sf_dir).select(F.explode(TX.tokenize_ws(F.lower("text"))).alias("word"))
+    toks = TX.explode_tokens(_docs(spark, sf_dir), [], TX.tokenize_ws(F.lower("text")), "word")
     counts = toks.join(F.broadcast(words), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return words.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

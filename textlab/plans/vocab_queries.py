@@ -152,8 +152,8 @@ def q_synonym_lookup(spark, sf_dir):
     """Case-variant synonym table derived from documents (synset = lower-cased
     word, lemma = surface form); looked up for the words of ``benchmark``."""
     d = read_table(spark, sf_dir, "documents")
-    syn = d.select(F.explode(TX.tokenize_ws("text")).alias("lemma")) \
+    syn = TX.explode_tokens(d, [], TX.tokenize_ws("text"), "lemma") \
            .select(F.lower("lemma").alias("synset"), "lemma").distinct()
-    words = read_table(spark, sf_dir, "benchmark").select(F.explode(TX.tokenize_ws("text")).alias("word"))
+    words = TX.explode_tokens(read_table(spark, sf_dir, "benchmark"), [], TX.tokenize_ws("text"), "word")
     out = V.synonym_lookup(words, "word", syn)
     return out.select("word", F.array_join("synonyms", "|").alias("synonyms"))
