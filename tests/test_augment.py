@@ -59,3 +59,22 @@ def test_lexicon_translate_keeps_unknown_and_order(spark):
     lex = spark.createDataFrame([("hello", "halo"), ("world", "dunia")], "src string, dst string")
     got = {r.id: r.translated for r in A.lexicon_translate(df, "id", "text", [lex]).collect()}
     assert got == {1: "halo big dunia", 2: ""}
+
+
+def test_composed_legs_equal_sequential_legs(spark):
+    df = spark.createDataFrame([(1, "Hello big World again"), (2, "Again and again")], "id long, text string")
+    leg1 = spark.createDataFrame([("hello", "Halo"), ("world", "dunia")], "src string, dst string")
+    leg2 = spark.createDataFrame([("halo", "hi"), ("again", "lagi"), ("dunia", "World")], "src string, dst string")
+    leg3 = spark.createDataFrame([("world", "bumi"), ("big", "besar")], "src string, dst string")
+
+    def seq(text):
+        out = []
+        for w in text.split():
+            for leg in ({"hello": "Halo", "world": "dunia"}, {"halo": "hi", "again": "lagi", "dunia": "World"},
+                        {"world": "bumi", "big": "besar"}):
+                w = leg.get(w.lower(), w)
+            out.append(w)
+        return " ".join(out)
+
+    got = {r.id: r.translated for r in A.lexicon_translate(df, "id", "text", [leg1, leg2, leg3]).collect()}
+    assert got == {1: seq("Hello big World again"), 2: seq("Again and again")}

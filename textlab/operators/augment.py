@@ -111,20 +111,49 @@ def augment_dataset(df: DataFrame, key: str, text: str, label: str, frac: float,
 
 # --- dictionary translation ---------------------------------------------------
 
+def compose_lexicons(lexicons: Sequence[DataFrame], lower_lookup: bool = True) -> DataFrame:
+    """Fold a chain of lexicon legs into one (src, dst) table on the dictionary
+    side.
+
+    Leg i looks up the (lower-cased) output of leg i-1.  Until some leg hits,
+    the word is unchanged, so every probe is the lower-cased source word; after
+    the first hit the word is a lexicon output.  The chain's result therefore
+    depends only on the lower-cased word (or is 'unchanged' when no leg hits),
+    and the composition is exact.  Only the small lexicons are joined here;
+    the token stream is then joined once.
+    """
+    keys = None
+    for lex in lexicons:
+        k = lex.select(F.col("src").alias("__p"))
+        keys = k if keys is None else keys.unionByName(k)
+    cur = keys.distinct().withColumn("__v", F.lit(None).cast("string"))
+    for i, lex in enumerate(lexicons):
+        probe = F.coalesce(F.lower("__v") if lower_lookup else F.col("__v"), F.col("__p"))
+        lx = lex.select(F.col("src").alias(f"__s{i}"), F.col("dst").alias(f"__d{i}"))
+        cur = cur.withColumn(f"__k{i}", probe).join(lx, F.col(f"__k{i}") == F.col(f"__s{i}"), "left") \
+                 .select("__p", F.coalesce(F.col(f"__d{i}"), F.col("__v")).alias("__v"))
+    return cur.where(F.col("__v").isNotNull()).select(F.col("__p").alias("src"), F.col("__v").alias("dst"))
+
+
 def lexicon_translate(df: DataFrame, key: str, text: str, lexicons: Sequence[DataFrame],
                       out: str = "translated", lower_lookup: bool = True) -> DataFrame:
     """Per-word substitution through one or more lexicons (src, dst) applied in
     order; unknown words are kept, word order is kept, words are re-joined by
-    one space.  A text without words becomes ''."""
+    one space.  A text without words becomes ''.
+
+    Several legs are composed on the dictionary side first, so the exploded
+    token stream is joined exactly once.  The lexicon join is a plain join:
+    AQE broadcasts it when the materialised dictionary is small and keeps a
+    skew-split sort-merge join otherwise.
+    """
+    lex = lexicons[0] if len(lexicons) == 1 else compose_lexicons(lexicons, lower_lookup)
     t = TX.explode_tokens(df, [key], TX.tokenize_ws(text), "w", pos="pos")
-    for i, lex in enumerate(lexicons):
-        lk = f"__src{i}"
-        lx = lex.select(F.col("src").alias(lk), F.col("dst").alias(f"__dst{i}"))
-        probe = F.lower("w") if lower_lookup else F.col("w")
-        t = t.withColumn(lk, probe).join(J.maybe_broadcast(lx), lk, "left") \
-             .withColumn("w", F.coalesce(F.col(f"__dst{i}"), F.col("w"))).drop(lk, f"__dst{i}")
+    probe = F.lower("w") if lower_lookup else F.col("w")
+    lx = lex.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    t = t.withColumn("__src", probe).join(lx, "__src", "left") \
+         .withColumn("w", F.coalesce(F.col("__dst"), F.col("w"))).drop("__src", "__dst")
     coll = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("__s"))
-    coll = coll.select(key, F.array_join(F.transform("__s", lambda s: s["w"]), " ").alias(out))
+    coll = coll.select(key, F.array_join(F.transform("__s", lambda x: x["w"]), " ").alias(out))
     return df.join(coll, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
 
 
