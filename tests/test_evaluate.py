@@ -81,3 +81,17 @@ def test_best_epoch_first_wins(spark):
     h = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.7), ("a", 3, 0.7), ("b", 1, 0.2)], "run string, epoch int, f1 double")
     got = {r.run: r.best_epoch for r in EV.best_epoch(h).collect()}
     assert got == {"a": 2, "b": 1}
+
+
+def test_exact_percentiles_match_numpy(spark):
+    import numpy as np
+    from textlab.operators.profile import exact_percentiles
+    rng = np.random.default_rng(1)
+    rows = [("hot", 7.0) for _ in range(300)] + [("hot", float(x)) for x in rng.integers(0, 50, 200)]
+    rows += [("one", 3.5)] + [("cont", float(x)) for x in rng.normal(size=257)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.p): r.q for r in exact_percentiles(df, "g", "v", [0.0, 0.25, 0.5, 0.9, 1.0], n_buckets=16).collect()}
+    for g in ("hot", "one", "cont"):
+        vals = np.array([v for gg, v in rows if gg == g])
+        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+            assert math.isclose(got[(g, p)], float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)

@@ -84,24 +84,71 @@ def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFram
                  F.round(F.first("lo") + (F.col("bin") * (F.first("hi") - F.first("lo")) / bins), 6).alias("bin_lo")))
 
 
+def exact_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
+                      n_buckets: int = 1024) -> DataFrame:
+    """(group, p, q): exact percentiles with linear interpolation (pandas /
+    ``quantile_cont``), computed without holding a group in one task.
+
+    1. counts per (group, value) - a hot value collapses in partial aggregation;
+    2. values bucketed by approximate quantiles (monotone in the value);
+    3. per (group, bucket) totals -> running offsets (a small table);
+    4. each target rank finds its bucket on that small table;
+    5. an equi-join on (group, bucket) with a running count inside the bucket
+       picks the value at the rank.  Spark's ``percentile`` instead keeps every
+       distinct value of a group in one aggregation buffer.
+    """
+    vc = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
+    from . import rank as R
+    vc = R.with_quantile_bucket(vc, value, "__b", n_buckets)
+    bt = vc.groupBy(group, "__b").agg(F.sum("__c").alias("__bc"))
+    w_off = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.withColumn("__off", F.coalesce(F.sum("__bc").over(w_off), F.lit(0)))
+    n = bt.groupBy(group).agg(F.sum("__bc").alias("__n"))
+    # two target ranks (1-based) per probability: floor and ceil of (n-1)p
+    pr = F.array(*[F.lit(float(p)) for p in probs])
+    t = n.select(group, "__n", F.explode(pr).alias("p"))
+    t = t.withColumn("__h", (F.col("__n") - 1) * F.col("p"))
+    t = t.select(group, "p", "__h", F.explode(F.array(F.floor("__h"), F.ceil("__h"))).alias("__r0")) \
+         .withColumn("__r", F.col("__r0").cast("long") + 1).distinct()
+    tb = t.join(bt, group).where((F.col("__r") > F.col("__off")) & (F.col("__r") <= F.col("__off") + F.col("__bc"))) \
+          .select(group, "p", "__h", "__r", "__b", "__off")
+    w_in = Window.partitionBy(group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    vcc = vc.withColumn("__cum", F.sum("__c").over(w_in))
+    hit = tb.join(vcc, [group, "__b"]) \
+            .where((F.col("__r") > F.col("__off") + F.col("__cum") - F.col("__c")) &
+                   (F.col("__r") <= F.col("__off") + F.col("__cum"))) \
+            .select(group, "p", "__h", "__r", F.col(value).cast("double").alias("__v"))
+    lo = F.min_by("__v", "__r")
+    hi = F.max_by("__v", "__r")
+    return hit.groupBy(group, "p").agg(F.first("__h").alias("__h"), lo.alias("__lo"), hi.alias("__hi")) \
+              .select(group, "p", (F.col("__lo") + (F.col("__h") - F.floor("__h")) * (F.col("__hi") - F.col("__lo"))).alias("q"))
+
+
 def describe_by_label(df: DataFrame, label: str, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max."""
+    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max.
+
+    Moments are one aggregation; percentiles come from ``exact_percentiles``
+    (distributed, exact) and are joined on the label."""
     aggs = []
     for c in cols:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).cast("double").alias(f"{c}_min"),
-                 q.alias(f"__{c}_q"), F.max(c).cast("double").alias(f"{c}_max")]
+                 F.max(c).cast("double").alias(f"{c}_max")]
     out = df.groupBy(label).agg(*aggs)
+    for c in cols:
+        q = exact_percentiles(df, label, c, [0.25, 0.5, 0.75]) \
+            .groupBy(label).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
+        q = q.select(label, *[F.col(f"`{p}`").alias(f"__{c}_{n}") for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        out = out.join(q, label, "left")
     sel = [F.col(label)]
     for c in cols:
         sel += [F.col(f"{c}_count").cast("long").alias(f"{c}_count"),
                 F.round(f"{c}_mean", digits).alias(f"{c}_mean"),
                 F.round(f"{c}_std", digits).alias(f"{c}_std"),
                 F.round(f"{c}_min", digits).alias(f"{c}_min"),
-                F.round(F.col(f"__{c}_q")[0], digits).alias(f"{c}_p25"),
-                F.round(F.col(f"__{c}_q")[1], digits).alias(f"{c}_p50"),
-                F.round(F.col(f"__{c}_q")[2], digits).alias(f"{c}_p75"),
+                F.round(f"__{c}_p25", digits).alias(f"{c}_p25"),
+                F.round(f"__{c}_p50", digits).alias(f"{c}_p50"),
+                F.round(f"__{c}_p75", digits).alias(f"{c}_p75"),
                 F.round(f"{c}_max", digits).alias(f"{c}_max")]
     return out.select(*sel)
 
@@ -140,12 +187,13 @@ def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable
 
 def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
     """min, quartiles, max of ``value`` per group (box-plot data)."""
-    q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(group).agg(F.min(value).cast("double").alias("vmin"), q.alias("q"),
-                                  F.max(value).cast("double").alias("vmax"))
-            .select(group, F.round("vmin", digits).alias("vmin"), F.round(F.col("q")[0], digits).alias("q1"),
-                    F.round(F.col("q")[1], digits).alias("median"), F.round(F.col("q")[2], digits).alias("q3"),
-                    F.round("vmax", digits).alias("vmax")))
+    mm = df.groupBy(group).agg(F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax"))
+    q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).groupBy(group) \
+        .pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
+    j = mm.join(q, group, "left")
+    return j.select(group, F.round("vmin", digits).alias("vmin"), F.round(F.col("`0.25`"), digits).alias("q1"),
+                    F.round(F.col("`0.5`"), digits).alias("median"), F.round(F.col("`0.75`"), digits).alias("q3"),
+                    F.round("vmax", digits).alias("vmax"))
 
 
 def vocab_stats(tokens_df: DataFrame, tokens: str) -> DataFrame:

@@ -38,12 +38,17 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     return ranked.select("token", F.col("n").cast("long").alias("n"), F.col("idx").cast("long").alias("idx"))
 
 
+MAX_BROADCAST_VOCAB = 5_000_000
+
+
 def capped_vocab(vocab: DataFrame, n_words: int | None) -> DataFrame:
     """Entries usable as ids: Keras drops ids >= num_words.  With a cap the
-    table has < n_words rows - a proven broadcast bound."""
+    table has < n_words rows - a proven bound, so it is broadcast when that
+    bound is moderate; otherwise (or uncapped) it is a plain, AQE-planned join."""
     if n_words is None:
         return vocab
-    return F.broadcast(vocab.where(F.col("idx") < n_words))
+    capped = vocab.where(F.col("idx") < n_words)
+    return F.broadcast(capped) if n_words <= MAX_BROADCAST_VOCAB else capped
 
 
 def _ordered_collect(j: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -113,7 +118,7 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, key: str, vec: str, d
     """
     v = capped_vocab(vocab, n_words)
     matched = vectors.join(v.select(key), key, "left_semi")
-    if n_words is not None:
+    if n_words is not None and n_words <= MAX_BROADCAST_VOCAB:
         matched = F.broadcast(matched)
     out = v.join(matched.select(key, F.col(vec).alias("__v")), key, "left")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
