@@ -86,17 +86,24 @@ def tfidf_topk(docs: DataFrame, key: str, tokens: str | Column, k: int, digits:
 
 # --- scaling -------------------------------------------------------------------
 
+def _stats(src: DataFrame, cols: Sequence[str], fns) -> dict:
+    """All statistics of all columns in ONE aggregation pass; the result is a
+    single row of 2 x len(cols) numbers (a fitted scaler's parameters)."""
+    row = src.agg(*[fn(F.col(c).cast("double")).alias(f"{name}__{c}") for c in cols for name, fn in fns]).first()
+    return row.asDict()
+
+
 def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
                    digits: int | None = None, suffix: str = "_z") -> DataFrame:
-    """(x - mean) / population std, a constant column scaled by 1.  Statistics
-    are scalar subqueries over ``fit_on`` (default ``df``), merged by Catalyst
-    into one aggregate."""
-    src = fit_on if fit_on is not None else df
+    """(x - mean) / population std, a constant column scaled by 1.  Mean and
+    std of every column come from one aggregation over ``fit_on`` (default
+    ``df``); applying them is a projection."""
+    st = _stats(fit_on if fit_on is not None else df, cols, [("mu", F.avg), ("sd", F.stddev_pop)])
     out = df
     for c in cols:
-        mu = src.agg(F.avg(F.col(c).cast("double"))).scalar()
-        sd = src.agg(F.stddev_pop(F.col(c).cast("double"))).scalar()
-        z = (F.col(c) - mu) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
+        mu, sd = st[f"mu__{c}"], st[f"sd__{c}"]
+        scale = 1.0 if sd is None or sd == 0 else sd
+        z = (F.col(c) - F.lit(mu)) / F.lit(scale)
         out = out.withColumn(c + suffix, F.round(z, digits) if digits is not None else z)
     return out
 
@@ -104,13 +111,13 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 def minmax_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
                  digits: int | None = None, suffix: str = "_mm") -> DataFrame:
     """(x - min) / (max - min) with min / max from ``fit_on`` (train only, no
-    leak); a constant column maps to 0 (MLlib's MinMaxScaler gives 0.5)."""
-    src = fit_on if fit_on is not None else df
+    leak) in one aggregation; a constant column maps to 0 (MLlib's
+    MinMaxScaler gives 0.5)."""
+    st = _stats(fit_on if fit_on is not None else df, cols, [("lo", F.min), ("hi", F.max)])
     out = df
     for c in cols:
-        lo = src.agg(F.min(F.col(c).cast("double"))).scalar()
-        hi = src.agg(F.max(F.col(c).cast("double"))).scalar()
-        z = F.when(hi == lo, F.lit(0.0)).otherwise((F.col(c) - lo) / (hi - lo))
+        lo, hi = st[f"lo__{c}"], st[f"hi__{c}"]
+        z = F.lit(0.0) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
         out = out.withColumn(c + suffix, F.round(z, digits) if digits is not None else z)
     return out
 

@@ -77,12 +77,14 @@ class SklearnTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> SklearnTfidfModel:
-        df = df.withColumn("__key", F.monotonically_increasing_id())
-        tf = FE.tf_count(df, "__key", self.getInputCol())
-        top = FE.top_terms(tf, self.getOrDefault(self.maxFeatures))
+        tokens = F.col(self.getInputCol())
+        # term totals (for the top-k) and document frequencies; no row key is
+        # needed: a document counts once per term via array_distinct
+        totals = TX.explode_tokens(df, [], tokens, "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+        top = FE.top_terms(totals.withColumnRenamed("tf", "tf"), self.getOrDefault(self.maxFeatures))
+        dfreq = TX.explode_tokens(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         n = df.count()
-        stats = (top.join(tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df")), "term")
-                    .select("term_idx", "term", "df").orderBy("term_idx").collect())
+        stats = top.join(dfreq, "term").select("term_idx", "term", "df").orderBy("term_idx").collect()   # <= k rows
         m = SklearnTfidfModel()
         m._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
                vocabulary=[r["term"] for r in stats],

@@ -86,13 +86,14 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 102
 
 
 def range_bucket(df: DataFrame, col: str, n_buckets: int = 1024) -> Column:
-    """Equal-width bucket 0..n_buckets-1 of a numeric column, with min / max as
-    scalar subqueries (planned into the same query, exchanges reused - no
-    separate job).  Monotone in ``col``; balanced for dense keys."""
-    lo = df.agg(F.min(F.col(col))).scalar()
-    hi = df.agg(F.max(F.col(col))).scalar()
-    width = (hi - lo + F.lit(1)) / F.lit(n_buckets)
-    return F.floor((F.col(col) - lo) / width).cast("int")
+    """Equal-width bucket 0..n_buckets-1 of a numeric column; min / max come
+    from one aggregation (one bounded row).  Monotone in ``col``; balanced for
+    dense keys.  Use on a materialised table (it runs a job)."""
+    lo, hi = df.agg(F.min(F.col(col)), F.max(F.col(col))).first()
+    if lo is None:
+        return F.lit(0)
+    width = (hi - lo + 1) / n_buckets
+    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("int")
 
 
 def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
