@@ -31,10 +31,29 @@ PATTERNS = {
 }
 
 
+def _depth(line: str) -> int:
+    return len(line) - len(line.lstrip(" :|+-"))
+
+
+def final_only(txt: str) -> str:
+    """Drop every '== Initial Plan ==' subtree (AQE prints both plans)."""
+    out, skip_depth = [], None
+    for line in txt.split("\n"):
+        if skip_depth is not None:
+            if line.strip() and _depth(line) >= skip_depth:
+                continue
+            skip_depth = None
+        if "== Initial Plan ==" in line:
+            skip_depth = _depth(line)
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def plan_text(df) -> str:
     """Final adaptive plan: run the query through the same QueryExecution."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString()
+    return final_only(df._jdf.queryExecution().executedPlan().toString())
 
 
 def main():
@@ -68,7 +87,9 @@ def main():
             continue
         out.append(f"| {name} | {c['shuffle']} | {c['broadcast']} | {c['reused']} | {c['single_part']} | {c['window']} | "
                    f"{c['sort_agg']} | {c['nested_loop']} | {c['python']} | {schemas} |")
-    open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w").write("\n".join(out) + "\n")
+    if not only:   # a filtered run only prints
+        open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") \
+            .write("\n".join(out) + "\n")
     spark.stop()
 
 

@@ -77,7 +77,12 @@ def q_custom_tokenizer(spark, sf_dir):
 SELECT doc_id, array_to_string(list_concat(list_transform(range(L - len(ids)), lambda i: 0), ids), ' ') AS padded
 FROM seq, m""")
 def q_pad_pre(spark, sf_dir):
-    s = V.pad_pre(_seq(spark, sf_dir), "seq")
+    """Two passes are inherent (the corpus maximum, then padding): the
+    sequences are materialised once with a reliable checkpoint instead of
+    recomputing tokens, vocabulary and joins inside the max subquery."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    s = V.pad_pre(_seq(spark, sf_dir).checkpoint(eager=True), "seq")
     return s.select("doc_id", F.array_join("padded", " ").alias("padded"))
 
 
