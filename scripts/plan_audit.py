@@ -77,7 +77,7 @@ def main():
     out = ["# PLANS - executed physical plans (adaptive, final) at " + sf_dir, "",
            "Generated by `scripts/plan_audit.py`.  Counts are plan nodes of the final adaptive plan after execution",
            "(scalar subqueries included; `reused` = exchanges computed once and read again).  `single_part` exchanges only ever carry bounded tables",
-           "(one row per partition for counts, a bucket-offset table of <= 65,536 rows, <= k top terms,",
+           "(one row per partition for counts, a bucket-offset table of <= 1,048,576 rows, <= k top terms,",
            "one row per model).  `nested_loop` and `python` must stay 0.", "",
            "| query | shuffle | broadcast | reused | single_part | window | sort_agg | nested_loop | python | read schemas |",
            "|---|---|---|---|---|---|---|---|---|---|"]

@@ -95,3 +95,26 @@ def test_leak_check(spark):
     val = spark.createDataFrame([(3, "hello world"), (4, "new")], "id long, text string")
     from textlab.functions.text import clean_text
     assert [r.id for r in S.leak_check(train, val, "text", clean_text).collect()] == [3]
+
+
+def test_size_grid_threshold_path_matches_brute_force(spark):
+    """n much larger than the largest size, so only a hash prefix per cell is
+    kept; compare with a full sort of every cell done in Python."""
+    import hashlib
+    n, sizes, splits, iters = 600, [10, 25], [1, 2], [0, 1, 2]
+    df = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4).cast("string").alias("label"))
+    got = {(r.split_no, r.iteration, r.size, r.label): r.n
+           for r in S.size_grid_counts(df, "doc_id", "label", sizes, splits, iters).collect()}
+    exp = {}
+    for s in splits:
+        for i in iters:
+            keys = [f"{s}-{i}:{d}" for d in range(n)]
+            order = sorted(keys, key=lambda k: (hashlib.md5(f"grid:{k}".encode()).hexdigest(), k))
+            for size in sizes:
+                for k in order[:size]:
+                    lab = str(int(k.split(":")[1]) % 4)
+                    exp[(s, i, size, lab)] = exp.get((s, i, size, lab), 0) + 1
+    # labels absent from a cell's prefix have no rows; present ones carry cumulative counts
+    for key, v in exp.items():
+        assert got[key] == v, key
+    assert all(v == exp.get(k, 0) for k, v in got.items())

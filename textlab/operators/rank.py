@@ -7,7 +7,7 @@ each bucket's offset, and ``row_number`` runs only inside a bucket:
 
     rank = offset(bucket) + row_number() over (partition by bucket order by ...)
 
-The bucket table has at most ``2**bits`` rows (hash order) or ``n_buckets``
+The bucket table has at most ``2**20`` rows (hash order) or ``n_buckets``
 rows (key order), so it is broadcast with a proven size bound.  Ranks are a
 pure function of the data: repartitioning or re-running a lost task gives the
 same ranks.
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_key
 from ..session import ensure_checkpoint_dir as ensure_checkpoint  # noqa: F401
 
-HASH_BUCKET_HEX = 4          # 16 bits -> at most 65,536 buckets
-MAX_BROADCAST_BUCKETS = 1 << 16
+# 20 bits -> at most 1,048,576 hash buckets: ~1M rows per bucket at 10^12
+# rows, while the bucket-offset table stays under 1,048,576 rows (~25 MB),
+# a proven bound for its broadcast.
+HASH_BUCKET_HEX = 5
+MAX_BROADCAST_BUCKETS = 1 << 20
 
 
 def hash_order_col(seed, key: str | Column) -> Column:
@@ -102,7 +105,7 @@ def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
 
     ``key`` must be unique (within ``partition_by``).  With ``partition_by``
     the rank restarts per group, still without putting a hot group in one
-    task: each group is split into up to 65,536 hash buckets.
+    task: each group is split into up to 1,048,576 hash buckets.
     """
     h = hash_order_col(seed, key)
     return _ranked(df.withColumn("__h", h), hash_bucket(F.col("__h")), [F.col("__h"), F.col(key)],
