@@ -67,3 +67,22 @@ def test_lsa_matches_numpy_svd(spark):
     assert np.allclose(s, sv, rtol=1e-6)
     us = np.array([r.lsa.toArray() for r in out.orderBy("id").collect()])
     assert np.allclose(np.abs(us), np.abs(np.linalg.svd(X)[0][:, :3] * sv), rtol=1e-5, atol=1e-8)
+
+
+def test_padding_edges(spark):
+    from textlab.operators import vocab as V
+    df = spark.createDataFrame([(1, [5, 6, 7, 8]), (2, [5, 6, 7]), (3, [5]), (4, [])], "id long, seq array<long>")
+    pre = {r.id: r.padded for r in V.pad_pre(df, "seq", maxlen=3).collect()}
+    assert pre == {1: [6, 7, 8], 2: [5, 6, 7], 3: [0, 0, 5], 4: [0, 0, 0]}
+    auto = {r.id: r.padded for r in V.pad_pre(df, "seq").collect()}
+    assert auto[3] == [0, 0, 0, 5] and auto[1] == [5, 6, 7, 8]
+    fx = {r.id: (r.input_ids, r.attention_mask) for r in V.encode_fixed(df, "seq", 3).collect()}
+    assert fx[1] == ([5, 6, 7], [1, 1, 1]) and fx[3] == ([5, 0, 0], [1, 0, 0]) and fx[4] == ([0, 0, 0], [0, 0, 0])
+
+
+def test_vocab_rank_ties_first_appearance(spark):
+    from textlab.operators import vocab as V
+    docs = spark.createDataFrame([(0, ["b", "a", "c"]), (1, ["a", "c", "d", "b"]), (2, ["d"])], "id long, t array<string>")
+    got = {r.token: (r.n, r.idx) for r in V.build_vocab(docs, "id", "t").collect()}
+    # counts: a2 b2 c2 d2 -> all tied, first appearance b(0,0) a(0,1) c(0,2) d(1,2)
+    assert got == {"b": (2, 1), "a": (2, 2), "c": (2, 3), "d": (2, 4)}
