@@ -127,12 +127,22 @@ def confusion(counts: DataFrame, by: Sequence[str], y: str = "y", p: str = "pred
     return grid.join(counts, [*by, y, p], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def round_like_numpy(x: Column, digits: int) -> Column:
+    """numpy ``round(a, d)``: rint(a * 10**d) / 10**d, half-even on the binary
+    product (Spark's ``round`` rounds the shortest decimal form half-up, so
+    0.575 gives 0.58 there and 0.57 in numpy)."""
+    scale = float(10 ** digits)
+    return F.rint(x * F.lit(scale)) / F.lit(scale)
+
+
 def confusion_norm_pred(cm: DataFrame, by: Sequence[str], y: str = "y", p: str = "pred",
                         digits: int | None = None) -> DataFrame:
-    """Each cell divided by its predicted-column total (0 when the column is empty)."""
+    """Each cell divided by its predicted-column total (0 when the column is
+    empty), optionally rounded as numpy rounds (the analysed code rounds the
+    normalised matrix with numpy)."""
     tot = F.sum("n").over(Window.partitionBy(*by, p))
     v = F.when(tot == 0, F.lit(0.0)).otherwise(F.col("n") / tot)
-    return cm.withColumn("share", F.round(v, digits) if digits is not None else v)
+    return cm.withColumn("share", round_like_numpy(v, digits) if digits is not None else v)
 
 
 def batch_losses(pred: DataFrame, by: Sequence[str], key: str, loss: str, batch_size: int) -> DataFrame:

@@ -158,15 +158,15 @@ def q_confusion_raw(spark, sf_dir):
 
 
 @register("confusion_norm_pred", _with(_PRED_SQL, _counts_sql(), _CM_SQL) + """
-SELECT run, epoch, split, y, pred, n, round(CASE WHEN sum(n) OVER (PARTITION BY run, epoch, split, pred) = 0 THEN 0.0
-       ELSE n / sum(n) OVER (PARTITION BY run, epoch, split, pred) END, 6) AS share FROM cm""")
+SELECT run, epoch, split, y, pred, n, round_even(CASE WHEN sum(n) OVER (PARTITION BY run, epoch, split, pred) = 0 THEN 0.0
+       ELSE n / sum(n) OVER (PARTITION BY run, epoch, split, pred) END * 1000000.0, 0) / 1000000.0 AS share FROM cm""")
 def q_confusion_norm_pred(spark, sf_dir):
     return EV.confusion_norm_pred(_cm(spark, sf_dir), BY, digits=6).select(*BY, "y", "pred", "n", "share")
 
 
 @register("confusion_rownorm_swapped", _with(_PRED_SQL, _counts_sql(), _CM_SQL) + """
-SELECT run, epoch, split, pred, y, round(CASE WHEN sum(n) OVER (PARTITION BY run, epoch, split, pred) = 0 THEN 0.0
-       ELSE n / sum(n) OVER (PARTITION BY run, epoch, split, pred) END, 2) AS share FROM cm""")
+SELECT run, epoch, split, pred, y, round_even(CASE WHEN sum(n) OVER (PARTITION BY run, epoch, split, pred) = 0 THEN 0.0
+       ELSE n / sum(n) OVER (PARTITION BY run, epoch, split, pred) END * 100.0, 0) / 100.0 AS share FROM cm""")
 def q_confusion_rownorm_swapped(spark, sf_dir):
     """The analysed code passes (pred, true): rows are predictions, each row
     normalised.  Same numbers as normalising by predicted column, 2 decimals,
