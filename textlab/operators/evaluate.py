@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import rround
 from . import rank as R
 
 
@@ -128,11 +129,8 @@ def confusion(counts: DataFrame, by: Sequence[str], y: str = "y", p: str = "pred
 
 
 def round_like_numpy(x: Column, digits: int) -> Column:
-    """numpy ``round(a, d)``: rint(a * 10**d) / 10**d, half-even on the binary
-    product (Spark's ``round`` rounds the shortest decimal form half-up, so
-    0.575 gives 0.58 there and 0.57 in numpy)."""
-    scale = float(10 ** digits)
-    return F.rint(x * F.lit(scale)) / F.lit(scale)
+    """numpy ``round(a, d)`` (see ``functions.numeric``)."""
+    return rround(x, digits)
 
 
 def confusion_norm_pred(cm: DataFrame, by: Sequence[str], y: str = "y", p: str = "pred",

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
+from ..functions.numeric import rround
 
 
 def tf_count(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
@@ -46,7 +47,7 @@ def idf_table(tf: DataFrame, key: str, n_docs: Column | None = None) -> DataFram
 def _l2(weighted: DataFrame, key: str, digits: int | None) -> DataFrame:
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     out = weighted.withColumn("weight", F.col("w") / norm).drop("w")
-    return out.withColumn("weight", F.round("weight", digits)) if digits is not None else out
+    return out.withColumn("weight", rround("weight", digits)) if digits is not None else out
 
 
 def tfidf_transform(tf: DataFrame, key: str, idf: DataFrame, digits: int | None = None) -> DataFrame:
@@ -104,7 +105,7 @@ def standard_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
         mu, sd = st[f"mu__{c}"], st[f"sd__{c}"]
         scale = 1.0 if sd is None or sd == 0 else sd
         z = (F.col(c) - F.lit(mu)) / F.lit(scale)
-        out = out.withColumn(c + suffix, F.round(z, digits) if digits is not None else z)
+        out = out.withColumn(c + suffix, rround(z, digits) if digits is not None else z)
     return out
 
 
@@ -118,7 +119,7 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
     for c in cols:
         lo, hi = st[f"lo__{c}"], st[f"hi__{c}"]
         z = F.lit(0.0) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
-        out = out.withColumn(c + suffix, F.round(z, digits) if digits is not None else z)
+        out = out.withColumn(c + suffix, rround(z, digits) if digits is not None else z)
     return out
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..functions.numeric import rround
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -35,7 +36,7 @@ def select_numeric(df: DataFrame) -> DataFrame:
 
 
 def mean_by_label(df: DataFrame, label: str, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    return df.groupBy(label).agg(*[F.round(F.avg(c), digits).alias(f"mean_{c}") for c in cols])
+    return df.groupBy(label).agg(*[rround(F.avg(c), digits).alias(f"mean_{c}") for c in cols])
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """Rows per label and share of all rows."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1))).scalar()  # scalar subquery, computed once
-    return counts.withColumn("share", F.round(F.col("n") / total, 6))
+    return counts.withColumn("share", rround(F.col("n") / total, 6))
 
 
 def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFrame:
@@ -81,7 +82,7 @@ def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFram
     b = F.least(F.floor((F.col(x) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
     return (j.groupBy(label, b.cast("long").alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.round(F.first("lo") + (F.col("bin") * (F.first("hi") - F.first("lo")) / bins), 6).alias("bin_lo")))
+                 rround(F.first("lo") + (F.col("bin") * (F.first("hi") - F.first("lo")) / bins), 6).alias("bin_lo")))
 
 
 def exact_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
@@ -143,13 +144,13 @@ def describe_by_label(df: DataFrame, label: str, cols: Sequence[str], digits: in
     sel = [F.col(label)]
     for c in cols:
         sel += [F.col(f"{c}_count").cast("long").alias(f"{c}_count"),
-                F.round(f"{c}_mean", digits).alias(f"{c}_mean"),
-                F.round(f"{c}_std", digits).alias(f"{c}_std"),
-                F.round(f"{c}_min", digits).alias(f"{c}_min"),
-                F.round(f"__{c}_p25", digits).alias(f"{c}_p25"),
-                F.round(f"__{c}_p50", digits).alias(f"{c}_p50"),
-                F.round(f"__{c}_p75", digits).alias(f"{c}_p75"),
-                F.round(f"{c}_max", digits).alias(f"{c}_max")]
+                rround(f"{c}_mean", digits).alias(f"{c}_mean"),
+                rround(f"{c}_std", digits).alias(f"{c}_std"),
+                rround(f"{c}_min", digits).alias(f"{c}_min"),
+                rround(f"__{c}_p25", digits).alias(f"{c}_p25"),
+                rround(f"__{c}_p50", digits).alias(f"{c}_p50"),
+                rround(f"__{c}_p75", digits).alias(f"{c}_p75"),
+                rround(f"{c}_max", digits).alias(f"{c}_max")]
     return out.select(*sel)
 
 
@@ -160,7 +161,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFram
                    for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     return (row.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, r)")
-            .withColumn("r", F.round("r", digits)))
+            .withColumn("r", rround("r", digits)))
 
 
 def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable[str],
@@ -191,9 +192,9 @@ def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6) -> D
     q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).groupBy(group) \
         .pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
     j = mm.join(q, group, "left")
-    return j.select(group, F.round("vmin", digits).alias("vmin"), F.round(F.col("`0.25`"), digits).alias("q1"),
-                    F.round(F.col("`0.5`"), digits).alias("median"), F.round(F.col("`0.75`"), digits).alias("q3"),
-                    F.round("vmax", digits).alias("vmax"))
+    return j.select(group, rround("vmin", digits).alias("vmin"), rround(F.col("`0.25`"), digits).alias("q1"),
+                    rround(F.col("`0.5`"), digits).alias("median"), rround(F.col("`0.75`"), digits).alias("q3"),
+                    rround("vmax", digits).alias("vmax"))
 
 
 def vocab_stats(tokens_df: DataFrame, tokens: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
+from ..functions.numeric import rround
 from ..operators import evaluate as EV
 from ..operators import labels as L
 from ..sources.tables import read_table
@@ -91,19 +92,19 @@ def q_argmax_onehot(spark, sf_dir):
 SELECT run, epoch, split, round(avg(CAST(pred = y AS DOUBLE)), 6) AS accuracy FROM p GROUP BY run, epoch, split""")
 def q_accuracy(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return p.groupBy(*BY).agg(F.round(F.avg((F.col("pred") == F.col("y")).cast("double")), 6).alias("accuracy"))
+    return p.groupBy(*BY).agg(rround(F.avg((F.col("pred") == F.col("y")).cast("double")), 6).alias("accuracy"))
 
 
 @register("f1_weighted", _with(_PRED_SQL, _counts_sql()) + "SELECT run, epoch, split, round(f1_weighted, 6) AS f1_weighted FROM sm")
 def q_f1_weighted(spark, sf_dir):
     s = EV.summary(_counts(spark, sf_dir), BY)
-    return s.select(*BY, F.round("f1_weighted", 6).alias("f1_weighted"))
+    return s.select(*BY, rround("f1_weighted", 6).alias("f1_weighted"))
 
 
 @register("f1_macro", _with(_PRED_SQL, _counts_sql()) + "SELECT run, epoch, split, round(f1_macro, 6) AS f1_macro FROM sm")
 def q_f1_macro(spark, sf_dir):
     s = EV.summary(_counts(spark, sf_dir), BY)
-    return s.select(*BY, F.round("f1_macro", 6).alias("f1_macro"))
+    return s.select(*BY, rround("f1_macro", 6).alias("f1_macro"))
 
 
 _REPORT_SQL = """
@@ -116,7 +117,7 @@ UNION ALL SELECT run, epoch, split, 'weighted avg', round(precision_weighted, 6)
 
 def _rounded(df, cols=("precision", "recall", "f1", "support")):
     for c in cols:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, rround(c, 6))
     return df
 
 
@@ -184,8 +185,8 @@ SELECT run, epoch, split, round(avg({_XENT}), 6) AS loss, round(avg({_XENT_SIG})
 FROM (SELECT *, {_SIG} AS sg FROM p) x GROUP BY run, epoch, split""")
 def q_cross_entropy(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    return p.groupBy(*BY).agg(F.round(F.avg(EV.softmax_xent("scores", "y")), 6).alias("loss"),
-                              F.round(F.avg(EV.softmax_xent("scores", "y", sigmoid_first=True)), 6).alias("loss_sigmoid_first"))
+    return p.groupBy(*BY).agg(rround(F.avg(EV.softmax_xent("scores", "y")), 6).alias("loss"),
+                              rround(F.avg(EV.softmax_xent("scores", "y", sigmoid_first=True)), 6).alias("loss_sigmoid_first"))
 
 
 def _batches_sql(bsize):
@@ -202,7 +203,7 @@ def _batches(spark, sf_dir, bsize):
 @register("batch_mean_loss", _with(_PRED_SQL, _batches_sql(BATCH)) + """
 SELECT run, epoch, split, round(avg(loss), 6) AS batch_mean_loss FROM bm GROUP BY run, epoch, split""")
 def q_batch_mean_loss(spark, sf_dir):
-    return _batches(spark, sf_dir, BATCH).groupBy(*BY).agg(F.round(F.avg("loss"), 6).alias("batch_mean_loss"))
+    return _batches(spark, sf_dir, BATCH).groupBy(*BY).agg(rround(F.avg("loss"), 6).alias("batch_mean_loss"))
 
 
 @register("running_loss", _with(_PRED_SQL, _batches_sql(STEP_BATCH)) + """
@@ -212,7 +213,7 @@ FROM bm WHERE split = 'train' GROUP BY run, epoch, batch // 50""")
 def q_running_loss(spark, sf_dir):
     b = _batches(spark, sf_dir, STEP_BATCH).where(F.col("split") == "train")
     r = EV.running_loss(b, ["run", "epoch"], 50)
-    return r.select("run", "epoch", "block", F.round("loss", 6).alias("loss"), "steps", "complete")
+    return r.select("run", "epoch", "block", rround("loss", 6).alias("loss"), "steps", "complete")
 
 
 def history(spark, sf_dir):
@@ -231,7 +232,7 @@ hist AS (SELECT ls.run, ls.epoch, ls.split, loss, accuracy AS acc, f1_weighted A
 SELECT run, epoch, split, round(loss, 6) AS loss, round(acc, 6) AS acc, round(f1, 6) AS f1 FROM hist""")
 def q_epoch_metrics(spark, sf_dir):
     h = history(spark, sf_dir)
-    return h.select(*BY, *[F.round(c, 6).alias(c) for c in ("loss", "acc", "f1")])
+    return h.select(*BY, *[rround(c, 6).alias(c) for c in ("loss", "acc", "f1")])
 
 
 _LAST = max(EPOCHS)
@@ -244,7 +245,7 @@ def q_compare_models(spark, sf_dir):
     """All models scored on the same validation rows in one aggregation."""
     p = predictions(spark, sf_dir).where((F.col("split") == "val") & (F.col("epoch") == _LAST))
     s = EV.summary(EV.pair_counts(p, ["model"]), ["model"])
-    return s.select("model", *[F.round(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")])
+    return s.select("model", *[rround(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")])
 
 
 @register("rank_models", _with(_PRED_SQL, _counts_sql()) + f"""
@@ -256,7 +257,7 @@ def q_rank_models(spark, sf_dir):
     p = predictions(spark, sf_dir).where((F.col("split") == "val") & (F.col("epoch") == _LAST))
     s = EV.summary(EV.pair_counts(p, ["model"]), ["model"])
     w = Window.orderBy(F.desc("f1_weighted"), F.asc("model"))   # one row per model
-    return s.select("model", F.round("f1_weighted", 6).alias("f1_weighted"),
+    return s.select("model", rround("f1_weighted", 6).alias("f1_weighted"),
                     F.row_number().over(w).cast("long").alias("rank"))
 
 
@@ -266,14 +267,14 @@ FROM hist WHERE split = 'val' GROUP BY run""")
 def q_best_epoch(spark, sf_dir):
     h = history(spark, sf_dir).where(F.col("split") == "val")
     b = EV.best_epoch(h)
-    return b.select("run", "best_epoch", F.round("best_f1", 6).alias("best_f1"))
+    return b.select("run", "best_epoch", rround("best_f1", 6).alias("best_f1"))
 
 
 @register("max_accuracy", _with(_PRED_SQL, _counts_sql(), _HIST_SQL) + """
 SELECT run, round(max(acc), 6) AS max_val_acc FROM hist WHERE split = 'val' GROUP BY run""")
 def q_max_accuracy(spark, sf_dir):
     h = history(spark, sf_dir).where(F.col("split") == "val")
-    return h.groupBy("run").agg(F.round(F.max("acc"), 6).alias("max_val_acc"))
+    return h.groupBy("run").agg(rround(F.max("acc"), 6).alias("max_val_acc"))
 
 
 @register("epoch_delta", _with(_PRED_SQL, _counts_sql(), _HIST_SQL) + """
@@ -283,7 +284,7 @@ FROM (SELECT run, epoch, max(CASE WHEN split = 'train' THEN f1 END) AS tr, max(C
       FROM hist GROUP BY run, epoch) w""")
 def q_epoch_delta(spark, sf_dir):
     d = EV.epoch_delta(history(spark, sf_dir))
-    return d.select("run", "epoch", *[F.round(c, 6).alias(c) for c in ("train", "val", "gap", "val_change")])
+    return d.select("run", "epoch", *[rround(c, 6).alias(c) for c in ("train", "val", "gap", "val_change")])
 
 
 @register("report_over_iterations", _with(_PRED_SQL, _counts_sql()) + """
@@ -294,6 +295,6 @@ def q_report_over_iterations(spark, sf_dir):
     """Per-iteration (epoch) reports gathered into mean / std per class."""
     r = EV.class_report(_counts(spark, sf_dir), BY).where(F.col("split") == "val") \
           .where(~F.col("row").isin("accuracy", "macro avg", "weighted avg"))
-    return r.groupBy("run", "row").agg(F.round(F.avg("f1"), 6).alias("f1_mean"), F.round(F.stddev_samp("f1"), 6).alias("f1_std"),
-                                       F.round(F.avg("precision"), 6).alias("precision_mean"),
-                                       F.round(F.avg("recall"), 6).alias("recall_mean"))
+    return r.groupBy("run", "row").agg(rround(F.avg("f1"), 6).alias("f1_mean"), rround(F.stddev_samp("f1"), 6).alias("f1_std"),
+                                       rround(F.avg("precision"), 6).alias("precision_mean"),
+                                       rround(F.avg("recall"), 6).alias("recall_mean"))

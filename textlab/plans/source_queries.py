@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.numeric import rround
 from ..operators import evaluate as EV
 from ..sources import files as FS
 from ..sources import logs as LG
@@ -81,7 +82,7 @@ def q_scan_wordvec(spark, sf_dir):
     path = FS.sink_wordvec(e, "token", "embedding", FS.scratch_path(spark, "wordvec"))
     v = FS.scan_wordvec(spark, path)
     return v.select("token", F.size("vec").cast("long").alias("dim"),
-                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vec_sum"))
+                    rround(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vec_sum"))
 
 
 @register("sink_report", EQ._with(EQ._PRED_SQL, EQ._counts_sql()) + """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as TX
+from ..functions.numeric import rround
 from ..operators import vocab as V
 from ..sources.tables import read_table
 from . import duck as D
@@ -123,7 +124,7 @@ def q_embedding_lookup(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("idx"), "embedding")
     out = V.embedding_lookup(v, e, "idx", "embedding", DIM, NB_WORDS)
     return out.select("token", "idx", "has_vector",
-                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vec_sum"))
+                      rround(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("vec_sum"))
 
 
 @register("pool_max", """
@@ -134,7 +135,7 @@ def q_pool_max(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     p = V.pool_max(e, "label", "embedding")
     return p.select("label", F.posexplode("embedding").alias("dim", "x")) \
-            .select("label", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
+            .select("label", F.col("dim").cast("long").alias("dim"), rround(F.col("x").cast("double"), 6).alias("value"))
 
 
 @register("pool_first", """
@@ -144,7 +145,7 @@ def q_pool_first(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     p = V.pool_first(e, "label", "vec_id", "embedding")
     return p.select("label", F.posexplode("embedding").alias("dim", "x")) \
-            .select("label", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
+            .select("label", F.col("dim").cast("long").alias("dim"), rround(F.col("x").cast("double"), 6).alias("value"))
 
 
 @register("synonym_lookup", f"""
