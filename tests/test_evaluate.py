@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from textlab.operators import evaluate as EV
 

@@ -1,7 +1,6 @@
 """Anti joins with nulls / duplicates, label maps, file round trips, log parsing."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from textlab.operators import joins as J
 from textlab.operators import labels as L

@@ -4,7 +4,6 @@ import re
 import string
 
 import pytest
-from pyspark.sql import functions as F
 
 from textlab.functions import constants as K
 from textlab.functions import text as TX
