@@ -94,3 +94,10 @@ def test_exact_percentiles_match_numpy(spark):
         vals = np.array([v for gg, v in rows if gg == g])
         for p in (0.0, 0.25, 0.5, 0.9, 1.0):
             assert math.isclose(got[(g, p)], float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_prob_xent(spark):
+    p = [0.2, 0.5, 0.3, 0.4]
+    df = spark.createDataFrame([(p, 2)], "p array<double>, y int")
+    got = df.select(EV.prob_xent("p", "y")).first()[0]
+    assert math.isclose(got, -math.log(p[2] / sum(p)), rel_tol=1e-12)

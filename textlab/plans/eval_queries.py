@@ -181,12 +181,18 @@ _XENT_SIG = _XENT.replace("scores", "sg")
 
 
 @register("cross_entropy", _with(_PRED_SQL) + f"""
-SELECT run, epoch, split, round(avg({_XENT}), 6) AS loss, round(avg({_XENT_SIG}), 6) AS loss_sigmoid_first
+SELECT run, epoch, split, round(avg({_XENT}), 6) AS loss, round(avg({_XENT_SIG}), 6) AS loss_sigmoid_first,
+       round(avg(-ln(sg[y + 1] / list_sum(sg))), 6) AS loss_prob
 FROM (SELECT *, {_SIG} AS sg FROM p) x GROUP BY run, epoch, split""")
 def q_cross_entropy(spark, sf_dir):
+    """Three modes: softmax cross-entropy of the scores, the same applied to
+    sigmoid outputs, and probability cross-entropy -log(p_y / sum p) of the
+    sigmoid outputs (the Keras recompiled loss)."""
     p = predictions(spark, sf_dir)
+    sig = F.transform("scores", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
     return p.groupBy(*BY).agg(rround(F.avg(EV.softmax_xent("scores", "y")), 6).alias("loss"),
-                              rround(F.avg(EV.softmax_xent("scores", "y", sigmoid_first=True)), 6).alias("loss_sigmoid_first"))
+                              rround(F.avg(EV.softmax_xent("scores", "y", sigmoid_first=True)), 6).alias("loss_sigmoid_first"),
+                              rround(F.avg(EV.prob_xent(sig, "y")), 6).alias("loss_prob"))
 
 
 def _batches_sql(bsize):
