@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from textlab.operators import joins as J
 from textlab.operators import labels as L
 from textlab.sources import files as FS
@@ -74,3 +76,26 @@ def test_parse_train_log(spark):
     df = spark.createDataFrame([("r", log)], "run string, value string")
     rows = LG.parse_train_log(df).orderBy("epoch").collect()
     assert [r.epoch for r in rows] == [1, 2] and rows[1].val_f1 == 0.4415 and rows[0].train_loss == 1.5888
+
+
+def test_safe_map_text_and_scan_validated(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "  ", "x"), (3, "hi", None), (4, "hi", "halo")],
+                               "id long, text string, mapped string")
+    got = {r.id: r.m for r in df.select("id", L.safe_map_text("text", "mapped").alias("m")).collect()}
+    assert got == {1: "", 2: "", 3: "hi", 4: "halo"}
+    raw = spark.createDataFrame([(1, " Love ", "a"), (2, "joy", "b"), (3, "anger", None), (4, "ANGER", "")],
+                                "id long, label string, text string")
+    rows = L.scan_validated(raw, "text", "label", {"love": 0, "anger": 1}).collect()
+    assert [(r.id, r.label, r.label_idx) for r in sorted(rows, key=lambda r: r.id)] == [(1, "love", 0)]
+
+
+def test_bt_diversity_and_histogram(spark):
+    from textlab.operators import augment as A
+    from textlab.operators import profile as P
+    df = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("a b", "a b c")], "o string, b string")
+    jac, ch = A.bt_diversity(F.col("o"), F.col("b"))
+    got = [(round(r[0], 6), round(r[1], 6)) for r in df.select(jac, ch).collect()]
+    assert got == [(0.5, round(1 / 3, 6)), (1.0, 0.0), (round(2 / 3, 6), round(1 / 3, 6))]
+    h = spark.createDataFrame([("k", 5), ("k", 5), ("m", 0), ("m", 10), ("m", 10)], "g string, x int")
+    rows = {(r.g, r.bin): r.n for r in P.hist_by_label(h, "g", "x").collect()}
+    assert rows == {("k", 5): 2, ("m", 0): 1, ("m", 9): 2}   # constant group: [x-.5, x+.5]; last bin closed
