@@ -28,8 +28,15 @@ from ..functions.numeric import rround
 
 
 def tf_count(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
-    """(key, term, tf): term counts per document."""
-    t = TX.explode_tokens(docs, [key], tokens, "term")
+    """(key, term, tf): term counts per document.
+
+    Documents are hash-partitioned by key *before* exploding: a token array is
+    smaller than its exploded (key, term) rows, and the partitioning then
+    satisfies both the per-document count and the per-document L2 window, so
+    neither needs a shuffle of term pairs.  Keys are unique, so the
+    partitioning is balanced.
+    """
+    t = TX.explode_tokens(docs.repartition(key), [key], tokens, "term")
     return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

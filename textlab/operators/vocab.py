@@ -60,6 +60,10 @@ def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                        n_words: int | None = None, out: str = "seq") -> DataFrame:
     """Token arrays -> id arrays in order; OOV and ids >= n_words dropped.
     Every document is kept (empty sequence when nothing survives)."""
+    # partitioned by document first: with the (broadcast) capped vocabulary
+    # the join keeps that partitioning, so re-collecting per document and the
+    # final join back need no shuffle of exploded tokens
+    docs = docs.repartition(key) if n_words is not None else docs
     t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
     j = t.join(capped_vocab(vocab, n_words).select("token", "idx"), "token")
     seq = _ordered_collect(j, key, "idx", out)
@@ -70,6 +74,7 @@ def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
 def custom_tokenizer(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                      n_words: int | None = None, out: str = "kept") -> DataFrame:
     """Keep in-vocabulary tokens as strings, order kept."""
+    docs = docs.repartition(key) if n_words is not None else docs
     t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
     j = t.join(capped_vocab(vocab, n_words).select("token"), "token")
     kept = _ordered_collect(j, key, "token", out)
