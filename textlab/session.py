@@ -17,12 +17,15 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 def get_spark(cpus: int | str | None = None, app: str = "textlab",
               shuffle_partitions: int | None = None,
-              driver_memory: str = "8g") -> SparkSession:
+              driver_memory: str = "8g", extra_conf: dict | None = None) -> SparkSession:
     """Local session tuned for tests / bench (UI off, AQE on, UTC)."""
     cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else os.cpu_count() or 8)
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
