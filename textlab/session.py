@@ -36,9 +36,8 @@ def get_spark(cpus: int | str | None = None, app: str = "textlab",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # small dimension tables (labels, vocab, lexicons, bucket offsets) are
-        # broadcast explicitly after a size check; keep the automatic threshold
-        # at the Spark default so nothing unbounded is broadcast implicitly.
+        # keep the automatic broadcast threshold at the Spark default so nothing
+        # unbounded is broadcast implicitly.
         .config("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         .getOrCreate()
     )
@@ -48,11 +47,15 @@ def get_spark(cpus: int | str | None = None, app: str = "textlab",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint directory, setting one only when unset.
+    """The reliable checkpoint folder, set from the session's configuration.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when nothing is configured (local tests) a fresh scratch folder is
-    created.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver and
+    every executor share; without it a non-local session is refused, because
+    executors would write to their own disks and later reads would miss files.
+    Only a local session (tests, bench) falls back to a fresh scratch folder.
+    Nothing below the folder is removed by the library: set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` for checkpoints, and
+    expire the ``textlab-*`` folders of finished jobs.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not conf_dir:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by the driver and all executors")
         conf_dir = tempfile.mkdtemp(prefix="textlab-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
