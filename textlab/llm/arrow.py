@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..sources.files import scratch_path
+
 #: Text bytes that one vectorised step handles at once (one longer text is a step of its own).
 SLICE_BYTES = 4 << 20
 
@@ -45,12 +47,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         start = stop
 
 
-def map_text(df: DataFrame, columns: Sequence[str], text: str, schema: str,
-             step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def map_text(df: DataFrame, columns: Sequence[str], text: str, schema,
+             step: Callable[[pa.RecordBatch], pa.RecordBatch | None], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over the named columns, called on slices of bounded text."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 out = step(part)
                 if out is not None and out.num_rows:
                     yield out
@@ -62,3 +64,11 @@ def list_column(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     at = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read again: it
+    is computed once, and survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

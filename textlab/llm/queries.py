@@ -72,3 +72,41 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("findings", lambda s: s["kind"].isin(*S.BASE))
     return found.select("doc_id", *map(count, S.BASE),
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+@register("op4_simhash")
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+    found = simhash.near_groups(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@register("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+    out = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.training_sample(docs, read_table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.fit(quality.graded_sample(docs, read_table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).withColumn("kept", F.col("tail_probability") >= quality.KEEP_TAIL)
+
+
+@register("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+    out = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
