@@ -45,6 +45,9 @@ RE_DIGIT_WORD_FAST = r"(?<![\p{L}\p{N}_])" + RE_DIGIT_WORD
 # sklearn's default token pattern \b\w\w+\b on str input
 RE_SKLEARN_TOKEN = WORD_CHAR + "{2,}"
 
+# a word of a word cloud: word characters, apostrophes inside
+RE_CLOUD_WORD = WORD_CHAR + "(?:" + WORD_CHAR + "|')*"
+
 # Keras Tokenizer default filter: these characters become spaces (the
 # apostrophe is kept), then text is lower-cased and split on ' '.
 KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
@@ -52,10 +55,6 @@ KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 # ---------------------------------------------------------------------------
 # FIXED VALUES: label dictionaries of the analysed experiments
 # ---------------------------------------------------------------------------
-EMOTION_LABELS = {"love": 0, "anger": 1, "sadness": 2, "happy": 3, "fear": 4}
-EMOTION_LABELS_CAPITALISED = {"Love": 0, "Anger": 1, "Sadness": 2, "Joy": 3, "Fear": 4}
-# names printed in reports when labels are encoded alphabetically
-EMOTION_REPORT_NAMES = ["anger", "fear", "joy", "love", "sadness"]
 
 # domain words appended to the base stop-word list
 STOPWORD_EXTRAS = ["username", "url", "ya", "yg"]

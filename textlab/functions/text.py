@@ -80,6 +80,11 @@ def tokenize_sklearn(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit("(" + K.RE_SKLEARN_TOKEN + ")"), 1)
 
 
+def tokenize_cloud(c) -> Column:
+    """Words of a word cloud: a word character, then word characters or apostrophes."""
+    return F.regexp_extract_all(_col(c), F.lit("(" + K.RE_CLOUD_WORD + ")"), 1)
+
+
 def ngrams_1_2(tokens) -> Column:
     """Unigrams followed by bigrams (joined by one space), sklearn order.
 

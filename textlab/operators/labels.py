@@ -7,11 +7,13 @@ distinct labels as one small array (bounded by the class count).
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
+
 
 def _map_literal(mapping: Mapping) -> Column:
     return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
@@ -70,12 +72,14 @@ def safe_map_text(text, mapped) -> Column:
     return F.when(F.trim(F.coalesce(t, F.lit(""))) == "", F.lit("")).otherwise(F.coalesce(m, t))
 
 
-def scan_validated(df: DataFrame, text: str, label: str, known: Mapping[str, int]) -> DataFrame:
-    """Keep rows whose text is non-empty and whose lower(trim(label)) is known;
-    null text becomes ''."""
+def scan_validated(df: DataFrame, text: str, label: str, known: Mapping[str, int],
+                   stopwords: Iterable[str] = ()) -> DataFrame:
+    """Clean first (stop words dropped, white space squeezed and stripped; null
+    text counts as empty), then keep rows whose cleaned text is non-empty and
+    whose lower(trim(label)) is known.  The cleaned text is returned."""
     norm = F.lower(F.trim(F.col(label)))
     lookup = _map_literal(known)[norm]
-    return (df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    return (df.withColumn(text, TX.remove_stopwords(F.coalesce(F.col(text), F.lit("")), stopwords))
               .withColumn(label, norm)
               .where((F.col(text) != "") & lookup.isNotNull())
               .withColumn("label_idx", lookup.cast("int")))

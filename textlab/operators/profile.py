@@ -69,7 +69,8 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram of ``x`` per label over that label's own min..max.
 
-    The last bin is closed; a constant label uses [x-0.5, x+0.5] like numpy.
+    Every label has all its bins, empty ones too.  The last bin is closed; a
+    constant label uses [x-0.5, x+0.5] like numpy.
     """
     rng = df.groupBy(label).agg(F.min(x).alias("lo0"), F.max(x).alias("hi0"))
     rng = rng.select(
@@ -80,9 +81,11 @@ def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFram
     # one row per label: AQE broadcasts it at run time when it is small
     j = df.select(label, x).where(F.col(x).isNotNull()).join(rng, label)
     b = F.least(F.floor((F.col(x) - F.col("lo")) * bins / (F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    return (j.groupBy(label, b.cast("long").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n"),
-                 rround(F.first("lo") + (F.col("bin") * (F.first("hi") - F.first("lo")) / bins), 6).alias("bin_lo")))
+    counts = j.groupBy(label, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rng.where(F.col("lo").isNotNull()).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    return every.join(counts, [label, "bin"], "left").select(
+        label, "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        rround(F.col("lo") + (F.col("bin") * (F.col("hi") - F.col("lo")) / bins), 6).alias("bin_lo"))
 
 
 def exact_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
@@ -155,26 +158,31 @@ def describe_by_label(df: DataFrame, label: str, cols: Sequence[str], digits: in
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation of every ordered pair in one aggregation pass."""
+    """Pearson correlation of every ordered pair in one aggregation pass; each
+    unordered pair is computed once."""
     pairs = [(a, b) for a in cols for b in cols]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                   for a, b in pairs])
-    stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
+    once = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in once])
+    name = {(a, b): f"{a}__{b}" for a, b in once} | {(b, a): f"{a}__{b}" for a, b in once}
+    stack = ", ".join(f"'{a}', '{b}', `{name[a, b]}`" for a, b in pairs)
     return (row.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, r)")
             .withColumn("r", rround("r", digits)))
 
 
 def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable[str],
-                       k: int = 20, buckets: int = 256) -> DataFrame:
+                       k: int = 200, buckets: int = 256) -> DataFrame:
     """Most frequent lower-cased words per label, stop words removed; ties by word.
 
+    Words are runs of word characters (apostrophes inside stay), as a word cloud
+    of the joined texts reads them: other punctuation is never part of one.
+
     explode -> groupBy(label, word) with partial aggregation (a hot word is
     pre-counted per task).  The top-k is two-phase so a label with a huge
     vocabulary is never ranked in one task: top-k inside (label, hash bucket
     of the word), then top-k per label over at most buckets * k candidates.
     """
     sw = TX.sw_array(stopwords)
-    words = TX.explode_tokens(df, [label], F.filter(TX.tokenize_ws(F.lower(F.col(text))),
+    words = TX.explode_tokens(df, [label], F.filter(TX.tokenize_cloud(F.lower(F.col(text))),
                                                     lambda t: ~F.array_contains(sw, t)), "word")
     counts = words.groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
     order = [F.desc("n"), F.asc("word")]
@@ -186,15 +194,28 @@ def top_words_by_label(df: DataFrame, label: str, text: str, stopwords: Iterable
                .withColumn("rank", F.col("rank").cast("long"))
 
 
-def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6) -> DataFrame:
-    """min, quartiles, max of ``value`` per group (box-plot data)."""
-    mm = df.groupBy(group).agg(F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax"))
+def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6, whisker: float = 1.5) -> DataFrame:
+    """Box-plot data per group: min, quartiles, max; the whiskers (the furthest
+    values within ``whisker`` times the quartile distance of the box) and the number
+    of values beyond them."""
     q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).groupBy(group) \
         .pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    j = mm.join(q, group, "left")
-    return j.select(group, rround("vmin", digits).alias("vmin"), rround(F.col("`0.25`"), digits).alias("q1"),
-                    rround(F.col("`0.5`"), digits).alias("median"), rround(F.col("`0.75`"), digits).alias("q3"),
-                    rround("vmax", digits).alias("vmax"))
+    box = q.select(group, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
+    reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
+    v = F.col(value).cast("double")
+    inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    out = df.select(group, value).join(box, group).groupBy(group, "q1", "median", "q3").agg(
+        F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.min(F.when(inside, v)).alias("whisker_lo"),
+        F.max(F.when(inside, v)).alias("whisker_hi"), F.count(F.when(~inside, v)).cast("long").alias("n_outliers"))
+    return out.select(group, *[rround(c, digits).alias(c) for c in ("vmin", "whisker_lo", "q1", "median", "q3", "whisker_hi", "vmax")], "n_outliers")
+
+
+def boxplot_outliers(df: DataFrame, group: str, value: str, whisker: float = 1.5) -> DataFrame:
+    """The rows of ``df`` whose value lies beyond the whiskers of its group."""
+    q = exact_percentiles(df, group, value, [0.25, 0.75]).groupBy(group).pivot("p", [0.25, 0.75]).agg(F.first("q"))
+    reach = F.lit(whisker) * (F.col("`0.75`") - F.col("`0.25`"))
+    j = df.join(q, group)
+    return j.where((F.col(value) < F.col("`0.25`") - reach) | (F.col(value) > F.col("`0.75`") + reach)).select(*df.columns)
 
 
 def vocab_stats(tokens_df: DataFrame, tokens: str) -> DataFrame:

@@ -78,6 +78,8 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 102
     JVM.  Equal values always share a bucket, so the bucket is monotone in
     ``col``.
     """
+    if n_buckets < 2:
+        return df.withColumn(out, F.lit(0))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.col(col).cast("double").alias("k")).approxQuantile("k", probs, rel_err)
     splits = [float("-inf")] + sorted(set(b for b in bounds if b is not None)) + [float("inf")]
@@ -99,6 +101,22 @@ def range_bucket(df: DataFrame, col: str, n_buckets: int = 1024) -> Column:
     return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("int")
 
 
+def running_total(df: DataFrame, order: str, value: str, out: str, descending: bool = False,
+                  n_buckets: int = 256) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows before this one in ``order``
+    (numeric, unique), in two levels: within key ranges, and over the ranges' sums."""
+    b = with_quantile_bucket(df, order, "__rb", n_buckets, 1e-3)
+    def by(c):
+        return F.col(c).desc() if descending else F.col(c).asc()
+
+    sums = b.groupBy("__rb").agg(F.sum(value).alias("__s"))           # at most n_buckets rows
+    w = Window.orderBy(by("__rb")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = F.broadcast(sums.select("__rb", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base")))
+    inner = Window.partitionBy("__rb").orderBy(by(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return (b.withColumn("__inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, "__rb")
+            .withColumn(out, F.col("__base") + F.col("__inner")).drop("__rb", "__inner", "__base"))
+
+
 def hash_rank(df: DataFrame, key: str, seed, rank_col: str = "rank",
               partition_by: Sequence[str] = ()) -> DataFrame:
     """1..n rank in seeded-permutation order (md5('seed:key'), key).
@@ -131,3 +149,45 @@ def with_count(df: DataFrame, name: str = "__total", partition_by: Sequence[str]
         return df.withColumn(name, df.agg(F.count(F.lit(1))).scalar())
     counts = df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias(name))
     return df.join(counts, list(partition_by))
+
+
+def _cut_rows(keys: DataFrame, order: Sequence[str], wanted: Sequence, total: Column) -> list[Column]:
+    """Order values (structs) of the rows with the wanted ranks.
+
+    ``keys`` has ``__b`` (a bucket monotone in the order) and the order columns.
+    Buckets are counted, the one that holds a rank is found on that bounded
+    table, and only its keys are ranked.  No other column moves.
+    """
+    counts = keys.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = counts.withColumn("__before", before)
+    out = []
+    for size in wanted:
+        place = F.greatest(size(total).cast("long"), F.lit(0))
+        hit = table.where((F.col("__before") < place) & (place <= F.col("__before") + F.col("__n")))
+        hit = F.broadcast(hit.select("__b", (place - F.col("__before")).alias("__at")))   # one row, or none for rank 0
+        inside = keys.join(hit, "__b").withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+        out.append(inside.where(F.col("__rn") == F.col("__at")).select(F.struct(*order).alias("cut")).scalar())
+    return out
+
+
+def hash_cuts(df: DataFrame, key: str, seed, *wanted, total: Column) -> tuple[Column, list[Column]]:
+    """(order, cuts): a row's place in the seeded order, as a comparable struct, and
+    for each ``wanted`` (a function of the row count) the struct of the row with
+    that rank: exactly that many rows have ``order <= cut`` (null cut: none).
+
+    A split is then a comparison with one value; rows are neither ranked nor moved.
+    """
+    keys = df.select(hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k"))
+    cuts = _cut_rows(keys.withColumn("__b", hash_bucket(F.col("__h"))), ["__h", "__k"], wanted, total)
+    return F.struct(hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k")), cuts
+
+
+def key_cuts(df: DataFrame, key: str, *wanted, total: Column, n_buckets: int = 4096) -> tuple[Column, list[Column]]:
+    """As ``hash_cuts``, in the order of the (numeric, unique) key."""
+    keys = with_quantile_bucket(df.select(F.col(key).alias("__k")), "__k", "__b", n_buckets)
+    return F.struct(F.col(key).alias("__k")), _cut_rows(keys, ["__k"], wanted, total)
+
+
+def up_to(order: Column, cut: Column) -> Column:
+    return F.coalesce(order <= cut, F.lit(False))

@@ -1,7 +1,9 @@
 """Exact, seeded, partition-independent sampling and splitting.
 
-Every split is one rank (``rank.hash_rank`` for shuffled order, ``key_rank``
-for stored order) compared against thresholds derived from the row count.
+A split of the whole table compares each row's place in the order with the
+place of one row, found by counting (``rank.hash_cuts`` for shuffled order,
+``key_cuts`` for stored order), so no row is moved.  Where every row needs its
+rank it is ``rank.hash_rank`` or ``key_rank``.
 Sizes are exact (``randomSplit``/``sample`` are only approximate), disjoint and
 complete, and a re-run on any partitioning gives the same rows.
 """
@@ -29,51 +31,44 @@ def shuffle(df: DataFrame, key: str, seed=42, rank_col: str = "rank") -> DataFra
 
 def sample_frac(df: DataFrame, key: str, frac: float, seed=42) -> DataFrame:
     """Exactly round-half-even(frac * n) rows without replacement."""
-    n = _n(df)
-    return R.hash_rank(df, key, seed, "__r").where(F.col("__r") <= F.bround(n * F.lit(frac), 0)).drop("__r")
+    order, (cut,) = R.hash_cuts(df, key, seed, lambda n: F.bround(n * F.lit(frac), 0), total=_n(df))
+    return df.where(R.up_to(order, cut))
 
 
 def holdout_split(df: DataFrame, key: str, ratio: float, seed=42, split_col: str = "split") -> DataFrame:
     """Shuffle; the first int(n * ratio) rows validate, the others train."""
-    n = _n(df)
-    r = R.hash_rank(df, key, seed, "__r")
-    return r.withColumn(split_col, F.when(F.col("__r") <= F.floor(n * F.lit(ratio)), "val")
-                        .otherwise("train")).drop("__r")
+    order, (cut,) = R.hash_cuts(df, key, seed, lambda n: F.floor(n * F.lit(ratio)), total=_n(df))
+    return df.withColumn(split_col, F.when(R.up_to(order, cut), "val").otherwise("train"))
 
 
 def split_frac(df: DataFrame, key: str, train_frac: float = 0.8, seed=42, rounding: str = "floor",
                split_col: str = "split") -> DataFrame:
     """Train is int(train_frac * n) (or round-half-even) shuffled rows, rest validate."""
-    n = _n(df)
-    cut = F.floor(n * F.lit(train_frac)) if rounding == "floor" else F.bround(n * F.lit(train_frac), 0)
-    r = R.hash_rank(df, key, seed, "__r")
-    return r.withColumn(split_col, F.when(F.col("__r") <= cut, "train").otherwise("val")).drop("__r")
+    size = (lambda n: F.floor(n * F.lit(train_frac))) if rounding == "floor" else (lambda n: F.bround(n * F.lit(train_frac), 0))
+    order, (cut,) = R.hash_cuts(df, key, seed, size, total=_n(df))
+    return df.withColumn(split_col, F.when(R.up_to(order, cut), "train").otherwise("val"))
 
 
 def split_ceil(df: DataFrame, key: str, test_frac: float, seed=42, split_col: str = "split") -> DataFrame:
     """Test is the first ceil(n * t) shuffled rows (sklearn train_test_split)."""
-    n = _n(df)
-    r = R.hash_rank(df, key, seed, "__r")
-    return r.withColumn(split_col, F.when(F.col("__r") <= F.ceil(n * F.lit(test_frac)), "test")
-                        .otherwise("train")).drop("__r")
+    order, (cut,) = R.hash_cuts(df, key, seed, lambda n: F.ceil(n * F.lit(test_frac)), total=_n(df))
+    return df.withColumn(split_col, F.when(R.up_to(order, cut), "test").otherwise("train"))
 
 
 def split_70_15_15(df: DataFrame, key: str, seed=42, split_col: str = "split") -> DataFrame:
     """70 % sample train; half of the remainder valid; the rest test."""
-    n = _n(df)
-    n_train = F.bround(n * F.lit(0.7), 0)
-    n_valid = F.bround((n - n_train) * F.lit(0.5), 0)
-    r = R.hash_rank(df, key, seed, "__r")
-    return r.withColumn(split_col, F.when(F.col("__r") <= n_train, "train")
-                        .when(F.col("__r") <= n_train + n_valid, "valid").otherwise("test")).drop("__r")
+    def n_train(n):
+        return F.bround(n * F.lit(0.7), 0)
+
+    order, (train, valid) = R.hash_cuts(df, key, seed, n_train,
+                                        lambda n: n_train(n) + F.bround((n - n_train(n)) * F.lit(0.5), 0), total=_n(df))
+    return df.withColumn(split_col, F.when(R.up_to(order, train), "train").when(R.up_to(order, valid), "valid").otherwise("test"))
 
 
 def split_tail(df: DataFrame, key: str, val_frac: float = 0.2, split_col: str = "split") -> DataFrame:
     """Keras validation_split: the last rows in stored (key) order validate."""
-    n = _n(df)
-    r = R.key_rank(df, key, "__r")
-    cut = F.floor(n * F.lit(1.0 - val_frac))
-    return r.withColumn(split_col, F.when(F.col("__r") <= cut, "train").otherwise("val")).drop("__r")
+    order, (cut,) = R.key_cuts(df, key, lambda n: F.floor(n * F.lit(1.0 - val_frac)), total=_n(df))
+    return df.withColumn(split_col, F.when(R.up_to(order, cut), "train").otherwise("val"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_frac: float, seed=42,
@@ -90,13 +85,12 @@ def stratified_split(df: DataFrame, key: str, label: str, test_frac: float, seed
 def kfold_contiguous(df: DataFrame, key: str, k: int = 10, fold_col: str = "fold") -> DataFrame:
     """KFold without shuffle over stored order; the first n % k folds get one
     row more.  Training rows of fold i are those with fold != i."""
-    n = _n(df)
-    q, m = F.floor(n / k), n % k
-    r0 = R.key_rank(df, key, "__r").withColumn("__r0", F.col("__r") - 1)
-    big = m * (q + 1)
-    fold = F.when(F.col("__r0") < big, F.floor(F.col("__r0") / (q + 1))) \
-            .otherwise(m + F.floor((F.col("__r0") - big) / q))
-    return r0.withColumn(fold_col, fold.cast("long")).drop("__r", "__r0")
+    def first_rows(i):   # rows in the folds before fold i
+        return lambda n: F.floor(n / k) * i + F.least(n % k, F.lit(i))
+
+    order, cuts = R.key_cuts(df, key, *[first_rows(i) for i in range(1, k)], total=_n(df))
+    passed = [F.when(R.up_to(order, cut), 0).otherwise(1) for cut in cuts]
+    return df.withColumn(fold_col, sum(passed, F.lit(0)).cast("long"))
 
 
 def split_halves(df: DataFrame, key: str, test_frac: float, seed=42, split_col: str = "split") -> DataFrame:

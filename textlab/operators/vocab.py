@@ -19,25 +19,38 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     """word -> (n, idx): idx 1.. by count descending, ties by first appearance
     (document key, then position), like Keras ``Tokenizer.fit_on_texts``.
 
-    The rank over distinct words runs in buckets (count, first-document range)
-    that are monotone in the order, so no single task ranks the whole vocabulary.
+    ``key`` is an integer.  The first appearance is one decimal number
+    (key * 2**31 + position), so words are counted by hash aggregation.  The rank
+    over the distinct words runs in ranges of (count, first appearance): words of
+    one count are cut into ranges of about ``RANGE`` words at approximate quantiles
+    of their first appearance, the ranges are numbered in two levels, and
+    ``row_number`` runs inside a range.
     """
     t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
-    counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"),
-                                    F.min(F.struct(F.col(key).alias("k"), F.col("pos").alias("p"))).alias("first"))
-    counts = counts.select("token", "n", F.col("first.k").alias("first_key"), F.col("first.p").alias("first_pos"))
-    # The word table is read several times below (bucket bounds, bucket
-    # offsets, the ranking itself).  Materialise it once with a reliable
-    # checkpoint (shared checkpoint folder, survives executor loss, cuts the
-    # token lineage) instead of re-exploding every document each time.
+    place = (F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+    counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    # The word table is read several times below; it is materialised once with a
+    # reliable checkpoint instead of re-exploding every document each time.
     R.ensure_checkpoint(docs.sparkSession)
     counts = counts.checkpoint(eager=True)
-    counts = counts.withColumn("__fb", R.range_bucket(counts, "first_key", 256))
-    ranked = R._ranked(counts, [(F.col("n"), False), (F.col("__fb"), True)],
-                       [F.col("n").desc(), F.col("first_key"), F.col("first_pos")], "idx")
+    n_ranges = max(1, counts.count() // RANGE)
+    counts = R.with_quantile_bucket(counts, "first", "__range", min(n_ranges, MAX_RANGES), 1.0 / (4 * min(n_ranges, MAX_RANGES)))
+    # level 1: words per count (few distinct counts per task, ranked in key order by count);
+    # level 2: within a count, words per range
+    per_range = counts.groupBy("n", "__range").agg(F.count(F.lit(1)).alias("__c"))
+    per_count = per_range.groupBy("n").agg(F.sum("__c").alias("__c"))
+    before_count = R.running_total(per_count, "n", "__c", "__before", descending=True)
+    w = Window.partitionBy("n").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.withColumn("__in", F.coalesce(F.sum("__c").over(w), F.lit(0))).join(before_count, "n") \
+                       .select("n", "__range", (F.col("__before") + F.col("__in")).alias("__offset"))
+    inside = Window.partitionBy("n", "__range").orderBy("first")
+    ranked = counts.join(offsets, ["n", "__range"]).withColumn("idx", F.col("__offset") + F.row_number().over(inside))
     return ranked.select("token", F.col("n").cast("long").alias("n"), F.col("idx").cast("long").alias("idx"))
 
 
+#: Words of one range, about; most ranges (their bounds pass through the driver).
+RANGE, MAX_RANGES = 50_000, 4096
+
 MAX_BROADCAST_VOCAB = 5_000_000
 
 

@@ -45,6 +45,10 @@ def tokenize_sklearn(x: str) -> str:
     return f"regexp_extract_all(lower({x}), {q('(' + K.RE_SKLEARN_TOKEN + ')')}, 1)"
 
 
+def tokenize_cloud(x: str) -> str:
+    return f"regexp_extract_all({x}, {q('(' + K.RE_CLOUD_WORD + ')')}, 1)"
+
+
 def tokenize_keras(x: str) -> str:
     filt = "".join("\\" + ch if ch in "\\^-[]" else ch for ch in K.KERAS_FILTERS)
     return (f"list_filter(string_split(regexp_replace(lower({x}), {q('[' + filt + ']')}, ' ', 'g'), ' '), "

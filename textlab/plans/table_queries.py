@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as TX
+from ..functions.numeric import rround
 from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import profile as P
@@ -95,13 +96,15 @@ def q_select_numeric(spark, sf_dir):
 
 
 @register("scan_validated", f"""
-SELECT doc_id, lower(trim(lang)) AS lang, CAST({LANG_CASE.replace('CASE lang', 'CASE lower(trim(lang))')} AS BIGINT) AS label_idx
-FROM documents
-WHERE coalesce(text, '') <> '' AND lower(trim(lang)) IN ({', '.join(D.q(k) for k in K.TEST_LANG_LABELS)})""")
+SELECT doc_id, lang, label_idx, md5(cleaned) AS cleaned_md5
+FROM (SELECT doc_id, lower(trim(lang)) AS lang, CAST({LANG_CASE.replace('CASE lang', 'CASE lower(trim(lang))')} AS BIGINT) AS label_idx,
+             {D.remove_stopwords("coalesce(text, '')", SW)} AS cleaned
+      FROM documents) c
+WHERE cleaned <> '' AND lang IN ({', '.join(D.q(k) for k in K.TEST_LANG_LABELS)})""")
 def q_scan_validated(spark, sf_dir):
     d = L.scan_validated(_docs(spark, sf_dir).select("doc_id", "text", "lang"), "text", "lang",
-                         K.TEST_LANG_LABELS)
-    return d.select("doc_id", "lang", F.col("label_idx").cast("long").alias("label_idx"))
+                         K.TEST_LANG_LABELS, SW)
+    return d.select("doc_id", "lang", F.col("label_idx").cast("long").alias("label_idx"), F.md5("text").alias("cleaned_md5"))
 
 
 # --- 2.6 profiling ----------------------------------------------------------------
@@ -142,10 +145,11 @@ WITH f AS (SELECT lang, {_NW} AS num_words FROM documents),
 r AS (SELECT lang, CASE WHEN min(num_words) = max(num_words) THEN min(num_words) - 0.5 ELSE min(num_words) END AS lo,
              CASE WHEN min(num_words) = max(num_words) THEN max(num_words) + 0.5 ELSE max(num_words) END AS hi
       FROM f GROUP BY lang),
-b AS (SELECT f.lang, CAST(least(floor((num_words - lo) * 10 / (hi - lo)), 9) AS BIGINT) AS bin, lo, hi
-      FROM f JOIN r USING (lang))
-SELECT lang, bin, count(*) AS n, round(first(lo) + bin * (first(hi) - first(lo)) / 10, 6) AS bin_lo
-FROM b GROUP BY lang, bin""")
+b AS (SELECT f.lang, CAST(least(floor((num_words - lo) * 10 / (hi - lo)), 9) AS BIGINT) AS bin, count(*) AS n
+      FROM f JOIN r USING (lang) GROUP BY 1, 2),
+e AS (SELECT lang, lo, hi, CAST(unnest(range(10)) AS BIGINT) AS bin FROM r)
+SELECT e.lang, e.bin, CAST(coalesce(b.n, 0) AS BIGINT) AS n, round(lo + e.bin * (hi - lo) / 10, 6) AS bin_lo
+FROM e LEFT JOIN b ON b.lang = e.lang AND b.bin = e.bin""")
 def q_hist_by_label(spark, sf_dir):
     f = _docs(spark, sf_dir).select("lang", TX.f_num_words("text").alias("num_words"))
     return P.hist_by_label(f, "lang", "num_words")
@@ -175,24 +179,39 @@ def q_corr_matrix(spark, sf_dir):
 SELECT lang, word, n, rank FROM (
   SELECT lang, word, n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS BIGINT) AS rank
   FROM (SELECT lang, word, count(*) AS n
-        FROM (SELECT lang, unnest(list_filter({D.tokenize_ws('lower(text)')},
+        FROM (SELECT lang, unnest(list_filter({D.tokenize_cloud('lower(text)')},
                                               lambda t: NOT list_contains({D.sw_list(SW)}, t))) AS word
               FROM documents) w
         GROUP BY lang, word) c) r
-WHERE rank <= 20""")
+WHERE rank <= 200""")
 def q_top_words_by_label(spark, sf_dir):
-    return P.top_words_by_label(_docs(spark, sf_dir), "lang", "text", SW, 20)
+    return P.top_words_by_label(_docs(spark, sf_dir), "lang", "text", SW, 200)
 
 
-@register("grouped_boxplot", """
-SELECT event_type, round(min(value), 6) AS vmin, round(quantile_cont(value, 0.25), 6) AS q1,
-       round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
-       round(max(value), 6) AS vmax
-FROM events GROUP BY event_type""")
+_BOX_SQL = """
+WITH box AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+                    quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type),
+b AS (SELECT e.*, q1, median, q3, value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1) AS inside
+      FROM events e JOIN box USING (event_type))
+"""
+
+
+@register("grouped_boxplot", _BOX_SQL + """
+SELECT event_type, round(min(value), 6) AS vmin, round(min(CASE WHEN inside THEN value END), 6) AS whisker_lo,
+       round(first(q1), 6) AS q1, round(first(median), 6) AS median, round(first(q3), 6) AS q3,
+       round(max(CASE WHEN inside THEN value END), 6) AS whisker_hi, round(max(value), 6) AS vmax,
+       CAST(count(CASE WHEN NOT inside THEN 1 END) AS BIGINT) AS n_outliers
+FROM b GROUP BY event_type""")
 def q_grouped_boxplot(spark, sf_dir):
     return P.grouped_boxplot(read_table(spark, sf_dir, "events"), "event_type", "value")
 
 
+@register("boxplot_outliers", _BOX_SQL + "SELECT event_type, event_id, round(value, 6) AS value FROM b WHERE NOT inside")
+def q_boxplot_outliers(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return P.boxplot_outliers(e, "event_type", "value").withColumn("value", rround("value", 6))
+
+
 @register("vocab_stats", f"""
 SELECT count(DISTINCT t) AS vocab_size, CAST(max(s) AS BIGINT) AS max_len
 FROM (SELECT len(l) AS s, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS t
