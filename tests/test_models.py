@@ -46,3 +46,28 @@ def test_pooled_head_runs(spark):
     p = E.queries()["clf_pooled_head"](spark, SF01)
     rows = p.collect()
     assert len(rows) == 500 and all(0 <= r.pred <= 9 for r in rows)
+
+
+def test_hashed_tfidf_keeps_every_term(spark):
+    """Widths beyond the vocabulary give sklearn's weights: no term is left out."""
+    from pyspark.ml import Pipeline
+    from textlab.operators import models as M
+    docs = [["a", "b", "b", "rare"], ["a", "c"], ["a", "b", "d", "d", "d"]]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, tokens array<string>")
+    out = Pipeline(stages=M.hashed_tfidf("tokens", "x", 1 << 16)).fit(df).transform(df)
+    vectors = {r.id: sorted(r.x.values.tolist()) for r in out.collect()}
+    for i, d in enumerate(docs):
+        w = [d.count(t) * (math.log(4 / (1 + sum(t in e for e in docs))) + 1) for t in set(d)]
+        norm = math.sqrt(sum(x * x for x in w))
+        assert vectors[i] == pytest.approx(sorted(x / norm for x in w))
+
+
+@pytest.mark.parametrize("name", ["clf_mlp_meta", "param_runs"])
+def test_other_models(spark, name):
+    from conftest import SF001
+    rows = E.queries()[name](spark, SF001).collect()
+    if name == "param_runs":
+        assert len(rows) == 4 and all(0.5 < r.accuracy <= 1 for r in rows)
+    else:
+        test = [r for r in rows if r.split == "test"]
+        assert len(rows) == 200 and sum(r.y == r.pred for r in test) > 0.5 * len(test)

@@ -1,9 +1,9 @@
 """Classifiers on MLlib: fit / score / cross-validate / parameter runs.
 
 Training is distributed by MLlib itself (gradient and histogram aggregation
-with ``treeAggregate``); nothing here collects training data.  Features come
-from ``features`` (TF-IDF vectors over a capped vocabulary, scaled meta
-blocks, LSA) or from pooled embeddings.
+with ``treeAggregate``); nothing here collects training data.  Features are TF-IDF
+over all terms (hashed into a documented width) or over the top terms, scaled
+meta blocks, LSA, or pooled embeddings.
 
 Text preparation is packaged as ML stages (``SklearnTokenizer``,
 ``SklearnTfidf``) so a whole chain is one ``pyspark.ml.Pipeline`` that can be
@@ -20,7 +20,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -81,7 +81,7 @@ class SklearnTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         # term totals (for the top-k) and document frequencies; no row key is
         # needed: a document counts once per term via array_distinct
         totals = TX.explode_tokens(df, [], tokens, "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-        top = FE.top_terms(totals.withColumnRenamed("tf", "tf"), self.getOrDefault(self.maxFeatures))
+        top = FE.top_terms(totals, self.getOrDefault(self.maxFeatures))
         dfreq = TX.explode_tokens(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         n = df.count()
         stats = top.join(dfreq, "term").select("term_idx", "term", "df").orderBy("term_idx").collect()   # <= k rows
@@ -92,6 +92,31 @@ class SklearnTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return m
 
 
+class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """ML stage: term counts times ``ln((1 + n) / (1 + df)) + 1``.
+
+    MLlib's ``IDF`` has the logarithm; its one aggregation over sparse counts gives
+    a vector as wide as the features (a documented width), to which 1 is added."""
+
+    @keyword_only
+    def __init__(self, inputCol="tf", outputCol="tfidf"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol=self.getInputCol(), outputCol="__idf").fit(df).idf.toArray() + 1.0
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
+
+
+def hashed_tfidf(tokens: str, out: str, width: int) -> list:
+    """Stages for TF-IDF over all terms, hashed into ``width`` columns: no term is
+    left out and no vocabulary passes through the driver; terms that share a
+    column add up."""
+    return [HashingTF(inputCol=tokens, outputCol="__tf", numFeatures=width),
+            SmoothIdf(inputCol="__tf", outputCol="__tfidf"),
+            Normalizer(p=2.0, inputCol="__tfidf", outputCol=out)]
+
+
 def ovr_gbt(features: str = "features", label: str = "label", max_iter: int = 20, max_depth: int = 3,
             seed: int = 42, parallelism: int = 4) -> OneVsRest:
     """Multi-class boosted trees: MLlib GBT is binary, so one-vs-rest."""
@@ -114,11 +139,14 @@ def batch_score(model: PipelineModel | Model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
-def text_pipeline(classifier, max_features: int = 500, clean: bool = True) -> Pipeline:
-    """tokens -> sklearn TF-IDF -> classifier, as one fit/predict chain."""
+#: Columns that all terms are hashed into: for linear models, and for trees and perceptrons.
+LINEAR_WIDTH, DENSE_WIDTH = 1 << 16, 1 << 12
+
+
+def text_pipeline(classifier, width: int = LINEAR_WIDTH, clean: bool = True) -> Pipeline:
+    """tokens -> hashed TF-IDF over all terms -> classifier, as one fit/predict chain."""
     return Pipeline(stages=[SklearnTokenizer(inputCol="text", outputCol="tokens", clean=clean),
-                            SklearnTfidf(inputCol="tokens", outputCol="features", maxFeatures=max_features),
-                            classifier])
+                            *hashed_tfidf("tokens", "features", width), classifier])
 
 
 def accuracy_evaluator(label: str = "label", metric: str = "accuracy") -> MulticlassClassificationEvaluator:

@@ -9,24 +9,26 @@ is ``documents.lang`` (alphabetical index) and the split is the exact seeded
 from __future__ import annotations
 
 import time
+from functools import reduce
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions import text as TX
 from ..operators import features as FE
 from ..operators import labels as L
 from ..operators import models as M
+from ..operators import profile as P
 from ..operators import splits as S
 from ..operators import evaluate as EV
 from ..sources import files as FS
 from ..sources.tables import read_table
 from .registry import register
 
-K_TERMS = 500
-N_CLASSES = 4
-META = ["num_words", "char_count", "unique_words", "punct_count"]
+LSA_TERMS = 500   # columns of the LSA query
+META = list(TX.META_FEATURES)
 
 
 def _labelled(spark, sf_dir):
@@ -40,18 +42,23 @@ def _pred(df):
                      F.col("prediction").cast("int").alias("pred"))
 
 
-def _vectors(spark, sf_dir, bigrams=False, with_meta=False):
+def _n_classes(df):
+    """From the fitted label index, so another language is another class."""
+    return int(df.agg(F.max("label")).first()[0]) + 1
+
+
+def _vectors(spark, sf_dir, width, with_meta=False):
+    """Hashed TF-IDF over all terms, fitted on the training split; with the eight
+    standardised meta features behind it."""
     s = _labelled(spark, sf_dir)
-    tok = TX.tokenize_sklearn("text")
-    s = s.withColumn("tokens", TX.ngrams_1_2(tok) if bigrams else tok)
-    train = s.where(F.col("split") == "train")
-    vec, _ = FE.tfidf_vectors(s, "doc_id", "tokens", K_TERMS, out="tfidf", fit_on=train)
+    s = s.withColumn("tokens", TX.tokenize_sklearn("text"))
+    train = F.col("split") == "train"
+    vec = Pipeline(stages=M.hashed_tfidf("tokens", "tfidf", width)).fit(s.where(train)).transform(s).drop("__tf", "__tfidf", "tokens")
     if not with_meta:
         return vec.withColumnRenamed("tfidf", "features")
-    meta = vec.select("*", TX.f_num_words("text").alias("num_words"), TX.f_char_count("text").alias("char_count"),
-                      TX.f_unique_words("text").alias("unique_words"), TX.f_punct_count("text").alias("punct_count"))
-    meta = FE.minmax_scale(meta, META, fit_on=meta.where(F.col("split") == "train"))
-    return FE.assemble_features(meta, ["tfidf"] + [c + "_mm" for c in META])
+    meta = P.text_meta_features(vec, "text", K.TEST_STOPWORDS, keep=["doc_id", "split", "label", "tfidf"])
+    meta = FE.standard_scale(meta, META, fit_on=meta.where(train))
+    return FE.assemble_features(meta, ["tfidf"] + [c + "_z" for c in META])
 
 
 def _fit_score(df, est):
@@ -61,29 +68,32 @@ def _fit_score(df, est):
 
 @register("clf_tfidf_boost")
 def q_clf_tfidf_boost(spark, sf_dir):
-    return _fit_score(_vectors(spark, sf_dir), M.ovr_gbt(max_iter=10))
+    return _fit_score(_vectors(spark, sf_dir, M.DENSE_WIDTH), M.ovr_gbt())
 
 
 @register("clf_meta_boost")
 def q_clf_meta_boost(spark, sf_dir):
-    return _fit_score(_vectors(spark, sf_dir, with_meta=True), M.ovr_gbt(max_iter=10))
+    return _fit_score(_vectors(spark, sf_dir, M.DENSE_WIDTH, with_meta=True), M.ovr_gbt())
 
 
 @register("clf_lsa_boost")
 def q_clf_lsa_boost(spark, sf_dir):
-    v = _vectors(spark, sf_dir, bigrams=True)
-    out, _ = FE.lsa(v, "doc_id", "features", 10, out="lsa")
-    return _fit_score(out.drop("features").withColumnRenamed("lsa", "features"), M.ovr_gbt(max_iter=10))
+    s = _labelled(spark, sf_dir).withColumn("tokens", TX.ngrams_1_2(TX.tokenize_sklearn("text")))
+    v, _ = FE.tfidf_vectors(s, "doc_id", "tokens", LSA_TERMS, out="tfidf", fit_on=s.where(F.col("split") == "train"))
+    out, _ = FE.lsa(v, "doc_id", "tfidf", 10, out="lsa")
+    return _fit_score(out.withColumnRenamed("lsa", "features"), M.ovr_gbt())
 
 
 @register("clf_mlp_meta")
 def q_clf_mlp_meta(spark, sf_dir):
-    return _fit_score(_vectors(spark, sf_dir, with_meta=True), M.mlp(K_TERMS + len(META), [128], N_CLASSES))
+    v = _vectors(spark, sf_dir, M.DENSE_WIDTH, with_meta=True)
+    return _fit_score(v, M.mlp(M.DENSE_WIDTH + len(META), [128], _n_classes(v)))
 
 
 @register("clf_mlp_text")
 def q_clf_mlp_text(spark, sf_dir):
-    return _fit_score(_vectors(spark, sf_dir), M.mlp(K_TERMS, [256, 128], N_CLASSES))
+    v = _vectors(spark, sf_dir, M.DENSE_WIDTH)
+    return _fit_score(v, M.mlp(M.DENSE_WIDTH, [256, 128], _n_classes(v)))
 
 
 @register("clf_pooled_head")
@@ -99,7 +109,7 @@ def q_clf_pooled_head(spark, sf_dir):
 def q_features_fit_predict(spark, sf_dir):
     """The fit/predict chain as one ML Pipeline: tokens -> TF-IDF -> classifier."""
     s = _labelled(spark, sf_dir)
-    model = M.text_pipeline(M.logreg(), K_TERMS).fit(s.where(F.col("split") == "train"))
+    model = M.text_pipeline(M.logreg()).fit(s.where(F.col("split") == "train"))
     return _pred(model.transform(s))
 
 
@@ -107,7 +117,7 @@ def q_features_fit_predict(spark, sf_dir):
 def q_batch_score(spark, sf_dir):
     """Fit, save the PipelineModel, load it back and score the whole table."""
     s = _labelled(spark, sf_dir)
-    model = M.text_pipeline(M.logreg(), K_TERMS).fit(s.where(F.col("split") == "train"))
+    model = M.text_pipeline(M.logreg()).fit(s.where(F.col("split") == "train"))
     path = FS.scratch_path(spark, "model")
     model.write().overwrite().save(path)
     return _pred(M.batch_score(PipelineModel.load(path), s))
@@ -115,43 +125,40 @@ def q_batch_score(spark, sf_dir):
 
 @register("cv_experiment")
 def q_cv_experiment(spark, sf_dir):
-    """k-fold (contiguous folds) cross-validation of a logistic head on TF-IDF."""
-    v = _vectors(spark, sf_dir).where(F.col("split") == "train").drop("split")
-    v = S.kfold_contiguous(v, "doc_id", 5)
-    lr = M.logreg(max_iter=50)
+    """Ten contiguous folds; the whole chain (tokens, TF-IDF, classifier) is fitted
+    anew on each fold's training rows, so no fold sees its own terms."""
+    s = _labelled(spark, sf_dir).where(F.col("split") == "train").drop("split")
+    s = S.kfold_contiguous(s, "doc_id", 10).withColumn("fold", F.col("fold").cast("int"))
+    lr = M.logreg(max_iter=20)
     grid = M.param_runs(lr, {lr.regParam: [0.0, 0.01]})
-    cvm = M.cv_experiment(v, lr, grid, 5, fold_col="fold")
+    cvm = M.cv_experiment(s, M.text_pipeline(lr), grid, 10, fold_col="fold")
     rows = [(i, float(grid[i][lr.regParam]), float(m)) for i, m in enumerate(cvm.avgMetrics)]
     return spark.createDataFrame(rows, "param_idx int, reg_param double, avg_f1 double")
 
 
+def _param_runs(spark, sf_dir):
+    """(run, seconds, predictions) of each setting of a parameter grid."""
+    v = _vectors(spark, sf_dir, M.LINEAR_WIDTH)
+    lr = M.logreg()
+    train, test = v.where(F.col("split") == "train"), v.where(F.col("split") == "test")
+    for run, setting in enumerate(M.param_runs(lr, {lr.regParam: [0.0, 0.01], lr.maxIter: [20, 50]})):
+        began = time.time()
+        model = lr.fit(train, setting)
+        yield run, round(time.time() - began, 3), model.transform(test).select(
+            F.lit(run).alias("run_id"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
+
+
 @register("param_runs")
 def q_param_runs(spark, sf_dir):
     """A parameter grid, each setting fitted and scored: one row per run."""
-    v = _vectors(spark, sf_dir)
-    lr = M.logreg()
-    grid = M.param_runs(lr, {lr.regParam: [0.0, 0.01], lr.maxIter: [20, 50]})
-    train = v.where(F.col("split") == "train")
-    models = lr.fitMultiple(train, grid)
-    preds = []
-    for i, model in models:
-        p = model.transform(v.where(F.col("split") == "test")).select(
-            F.lit(i).alias("run_id"), F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
-        preds.append(p)
-    stacked = preds[0]
-    for p in preds[1:]:
-        stacked = stacked.unionByName(p)
+    stacked = reduce(lambda a, b: a.unionByName(b), [p for _, _, p in _param_runs(spark, sf_dir)])
     return EV.summary(EV.pair_counts(stacked, ["run_id"]), ["run_id"]).select("run_id", "accuracy", "f1_macro", "f1_weighted")
 
 
 @register("run_time")
 def q_run_time(spark, sf_dir):
-    """Seconds per iteration of an experiment (fit + score), as a run table."""
-    s = _labelled(spark, sf_dir)
-    rows = []
-    for it in range(3):
-        t0 = time.time()
-        model = M.text_pipeline(M.logreg(max_iter=20), K_TERMS).fit(s.where(F.col("split") == "train"))
-        n = model.transform(s.where(F.col("split") == "test")).count()
-        rows.append((it, n, round(time.time() - t0, 3)))
-    return spark.createDataFrame(rows, "iteration int, n_scored long, seconds double")
+    """The run table of the parameter grid with the seconds of each fit and the rows it scored."""
+    runs = [(run, seconds, p) for run, seconds, p in _param_runs(spark, sf_dir)]
+    times = spark.createDataFrame([(run, s) for run, s, _ in runs], "run_id int, seconds double")
+    scored = reduce(lambda a, b: a.unionByName(b), [p for _, _, p in runs]).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_scored"))
+    return scored.join(times, "run_id")
