@@ -26,10 +26,3 @@ def hash_key(seed, *parts) -> Column:
 def hash_uniform(seed, *parts) -> Column:
     """Uniform double in [0, 1) from the key (see module doc)."""
     return F.conv(F.substring(hash_key(seed, *parts), 1, 8), 16, 10).cast("double") / TWO_32
-
-
-def hash_int(seed, n, *parts) -> Column:
-    """Uniform integer in [0, n) from the key; ``n`` may be a column."""
-    n = n if isinstance(n, Column) else F.lit(n)
-    return F.floor(hash_uniform(seed, *parts) * n).cast("int")
-

@@ -49,12 +49,13 @@ def per_class(counts: DataFrame, by: Sequence[str], y: str = "y", p: str = "pred
     """(by, class, tp, support, predicted, precision, recall, f1) over the union
     of true and predicted labels; 0/0 gives 0 (sklearn zero_division=0)."""
     by = list(by)
-    t = counts.groupBy(*by, F.col(y).alias("class")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col(y) == F.col(p), F.col("n")).otherwise(0)).alias("tp"))
-    q = counts.groupBy(*by, F.col(p).alias("class")).agg(F.sum("n").alias("predicted"))
-    j = t.join(q, [*by, "class"], "full_outer").select(
-        *by, "class", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("support", F.lit(0)).alias("support"),
-        F.coalesce("predicted", F.lit(0)).alias("predicted"))
+    none = F.lit(0).cast("long")
+    sides = F.array(  # each count speaks for its true class and for its predicted class
+        F.struct(F.col(y).alias("class"), F.when(F.col(y) == F.col(p), F.col("n")).otherwise(none).alias("tp"),
+                 F.col("n").alias("support"), none.alias("predicted")),
+        F.struct(F.col(p).alias("class"), none.alias("tp"), none.alias("support"), F.col("n").alias("predicted")))
+    j = (counts.select(*by, F.explode(sides).alias("c")).select(*by, "c.*")
+         .groupBy(*by, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")]))
     prec = F.when(F.col("predicted") == 0, 0.0).otherwise(F.col("tp") / F.col("predicted"))
     rec = F.when(F.col("support") == 0, 0.0).otherwise(F.col("tp") / F.col("support"))
     j = j.withColumn("precision", prec).withColumn("recall", rec)

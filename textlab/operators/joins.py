@@ -1,8 +1,8 @@
 """Joins and set operations: anti joins, lookups, unions, pair explosion.
 
-Lookups against dimension tables (labels, vocabulary, lexicons) broadcast the
-dimension only after checking it is under a row bound; beyond it they fall
-back to a shuffle join.
+No side is forced to broadcast: AQE measures it at run time, broadcasts it only
+under ``spark.sql.autoBroadcastJoinThreshold``, and splits skewed partitions of a
+sort-merge join otherwise.
 """
 
 from __future__ import annotations
@@ -12,28 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def maybe_broadcast(dim: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast hint only for a side with a proven row bound (``max_rows``,
-    known from how it was built, e.g. a capped vocabulary).
-
-    Without a bound the side is returned as is: AQE measures the materialised
-    side at run time and switches to a broadcast join only when it is under
-    ``spark.sql.autoBroadcastJoinThreshold``, otherwise the sort-merge join
-    stays (and skewed partitions are split).  No extra counting job.
-    """
-    return F.broadcast(dim) if max_rows is not None else dim
-
 
 def anti_join_natural(full: DataFrame, sample: DataFrame) -> DataFrame:
     """Rows of ``full`` not in ``sample`` on all common columns; null matches
-    null; duplicates of ``full`` stay (pandas merge indicator semantics)."""
+    null; duplicates of ``full`` stay (pandas merge indicator semantics).
+
+    Rows meet on a hash of the common columns; the columns themselves are compared
+    null-safely behind it and are not sort keys."""
     common = [c for c in full.columns if c in sample.columns]
-    right = sample.select(*common).dropDuplicates()
-    cond = None
-    for c in common:
-        e = full[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return full.join(right, cond, "left_anti")
+    left = full.withColumn("__h", F.xxhash64(*common))
+    right = sample.select(F.xxhash64(*common).alias("__h"), *[F.col(c).alias(f"__s_{c}") for c in common])
+    same = F.col("l.__h") == F.col("r.__h")
+    for c in common:   # equal or both null; written so that it is checked behind the hash, not sorted by
+        same = same & (F.size(F.array_distinct(F.array(F.col(f"l.{c}"), F.col(f"r.__s_{c}")))) == 1)
+    return left.alias("l").join(right.alias("r"), same, "left_anti").drop("__h")
 
 
 def anti_join_key(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -41,7 +33,7 @@ def anti_join_key(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:
-    return df.join(maybe_broadcast(dim), key, how)
+    return df.join(dim, key, how)
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

@@ -17,9 +17,3 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as the canonical labelled-text table (id, label, text)."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select(d.doc_id.alias("id"), d.lang.alias("label"), d.text.alias("text"))
