@@ -98,4 +98,5 @@ def test_bt_diversity_and_histogram(spark):
     assert got == [(0.5, round(1 / 3, 6)), (1.0, 0.0), (round(2 / 3, 6), round(1 / 3, 6))]
     h = spark.createDataFrame([("k", 5), ("k", 5), ("m", 0), ("m", 10), ("m", 10)], "g string, x int")
     rows = {(r.g, r.bin): r.n for r in P.hist_by_label(h, "g", "x").collect()}
-    assert rows == {("k", 5): 2, ("m", 0): 1, ("m", 9): 2}   # constant group: [x-.5, x+.5]; last bin closed
+    # every group has all ten bins; constant group: [x-.5, x+.5]; last bin closed
+    assert rows == {(g, b): {("k", 5): 2, ("m", 0): 1, ("m", 9): 2}.get((g, b), 0) for g in "km" for b in range(10)}
