@@ -76,7 +76,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", ident
             raise ValueError(f"no verified identifiers in {ROUNDS} rounds")
     recipes = texts.select("__key", F.sha2("__text", 256).alias("text_sha256"),
                            F.transform(chunks(F.col("__text")), lambda c: identify(c, round_no)).alias("__recipe"))
-    groups = recipes.groupBy("__recipe").agg(F.min("__key").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(groups, "__recipe").select(
+    # the second key makes both sides shuffles of their own, so that Spark can split a very large group
+    fold = F.pmod(F.xxhash64("__recipe"), F.lit(1009)).alias("__fold")
+    groups = recipes.groupBy("__recipe").agg(F.min("__key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("*", fold)
+    return recipes.select("*", fold).join(groups, ["__recipe", "__fold"]).select(
         F.col("__key").alias(key), "keep_id", "group_size",
         F.col("__key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
