@@ -112,8 +112,10 @@ def findings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     have = have.where(F.size("f") > 0).select("blob", F.transform(
         F.array_sort(F.transform("f", lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("place"), s.stop.alias("stop"), s.kind.alias("kind")))),
         lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"))).alias("findings"))
-    paths = docs.select(key, blob(F.col(text)).alias("blob"))
-    return paths.join(have, "blob", "left").select(key, F.coalesce("findings", F.array().cast(SPAN)).alias("findings"))
+    # the second key makes both sides shuffles of their own, so that Spark can split a blob of very many rows
+    fold = F.pmod(F.xxhash64("blob"), F.lit(1009)).alias("fold")
+    paths = docs.select(key, blob(F.col(text)).alias("blob")).select(key, "blob", fold)
+    return paths.join(have.select("*", fold), ["blob", "fold"], "left").select(key, F.coalesce("findings", F.array().cast(SPAN)).alias("findings"))
 
 
 def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
