@@ -27,15 +27,22 @@ from ..session import ensure_checkpoint_dir
 ROUNDS = 64
 
 
+def _with_least(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Links joined to (u, m); the second key makes both sides shuffles of their own,
+    so that Spark can split a node of very many links."""
+    fold = F.pmod(F.xxhash64("u"), F.lit(1009)).alias("f")
+    return links.select("*", fold).join(least.select("*", fold), ["u", "f"]).drop("f")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    others = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = _with_least(links, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
