@@ -18,13 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.numeric import rround
+from ..sources.files import scratch_path
 
 
 def tf_count(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
@@ -161,22 +166,85 @@ def assemble_features(df: DataFrame, inputs: Sequence[str], out: str = "features
     return VectorAssembler(inputCols=list(inputs), outputCol=out, handleInvalid="keep").transform(df)
 
 
+#: Passes of the subspace iteration over the rows, and extra directions it carries.
+LSA_PASSES, LSA_EXTRA = 5, 10
+
+
+def _sparse(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, index, value) of the non-zero entries of a list column of dense rows."""
+    dense = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    row, index = np.nonzero(dense)
+    return np.searchsorted(row, np.arange(len(column) + 1)), index, dense[row, index]
+
+
+def _gram_product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
+    """X'(X v) of the sparse rows: every task adds up its own part, the parts are
+    added per index in a shuffle, and a (columns x directions) matrix comes back."""
+    n, width = v.shape
+    schema = "idx int, part array<double>"
+
+    def out(total):
+        used = np.flatnonzero(total.any(1))
+        for a in range(0, len(used), 512):
+            at = used[a:a + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], ["idx", "part"])
+
+    def product(batches):
+        total = np.zeros((n, width))
+        for b in batches:
+            idx, val = b.column("idx"), b.column("val")
+            first = idx.offsets.to_numpy().astype(np.int64) - idx.offsets[0].as_py()
+            index, value = idx.flatten().to_numpy(), val.flatten().to_numpy()
+            for i in range(len(first) - 1):
+                c, w = index[first[i]:first[i + 1]], value[first[i]:first[i + 1]]
+                total[c] += np.outer(w, w @ v[c])
+        yield from out(total)
+
+    def add(batches):
+        total = np.zeros((n, width))
+        for b in batches:
+            np.add.at(total, b.column("idx").to_numpy(), np.stack(b.column("part").to_numpy(zero_copy_only=False)))
+        yield from out(total)
+
+    found = rows.mapInArrow(product, schema).repartition("idx").mapInArrow(add, schema).collect()   # <= n rows
+    total = np.zeros((n, width))
+    for r in found:
+        total[r["idx"]] = r["part"]
+    return total
+
+
 def lsa(df: DataFrame, key: str, vec: str, k: int, out: str = "lsa") -> tuple[DataFrame, list[float]]:
     """Truncated SVD (uncentred, like sklearn TruncatedSVD): rows X V = U S.
 
-    ``RowMatrix.computeSVD`` aggregates the Gramian with ``treeAggregate``
-    (distributed over rows) and solves a (cols x cols) eigenproblem, cols <= k
-    terms.  V (cols x k) is then broadcast and applied row-locally.
+    Randomised subspace iteration: ``LSA_PASSES`` + 1 passes over the rows, kept
+    once as sparse arrays below the checkpoint folder.  A pass multiplies a
+    (columns x (k + ``LSA_EXTRA``)) block by X'X; the block is all that reaches the
+    driver, bounded by the vocabulary cap.  The projection is row-local.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    mllib = MLUtils.convertVectorColumnsFromML(df.select(vec), vec)
-    svd = RowMatrix(mllib.rdd.map(lambda r: r[0])).computeSVD(k, computeU=False)
-    v = svd.V.toArray()                      # cols x k, bounded by the vocabulary cap
-    cols = v.shape[0]
-    v_cols = [F.array(*[F.lit(float(v[i, j])) for i in range(cols)]) for j in range(v.shape[1])]
-    arr = vector_to_array(F.col(vec))
-    proj = [F.aggregate(F.zip_with(arr, vc, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for vc in v_cols]
-    return df.withColumn(out, array_to_vector(F.array(*proj))), list(svd.s.toArray())
+    dense = df.select(vector_to_array(vec).alias("x"))
+    n = (dense.select(F.size("x").alias("n")).first() or [0])[0]
+    if not n:
+        return df.withColumn(out, array_to_vector(F.array().cast("array<double>"))), []
+
+    def to_sparse(batches):
+        for b in batches:
+            first, index, value = _sparse(b.column("x"))
+            at = pa.array(first.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))),
+                                              pa.ListArray.from_arrays(at, pa.array(value))], ["idx", "val"])
+
+    path = scratch_path(df.sparkSession, "lsa-rows")
+    dense.mapInArrow(to_sparse, "idx array<int>, val array<double>").write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    v = np.linalg.qr(np.random.default_rng(42).normal(size=(n, min(n, k + LSA_EXTRA))))[0]
+    for _ in range(LSA_PASSES):
+        v = np.linalg.qr(_gram_product(rows, v))[0]
+    values, turn = np.linalg.eigh(v.T @ _gram_product(rows, v))
+    best = np.argsort(-values)[:k]
+    v, singular = v @ turn[:, best], np.sqrt(np.maximum(values[best], 0))
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_numpy()) @ v)) if len(x) else pd.Series([], dtype=object)
+
+    return df.withColumn(out, array_to_vector(project(vector_to_array(vec)))), singular.tolist()

@@ -51,17 +51,18 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
 #: Words of one range, about; most ranges (their bounds pass through the driver).
 RANGE, MAX_RANGES = 50_000, 4096
 
-MAX_BROADCAST_VOCAB = 5_000_000
+#: A side is broadcast only if its rows, at these bytes each, stay below the bound.
+MAX_BROADCAST_BYTES, WORD_BYTES = 64 << 20, 128
 
 
 def capped_vocab(vocab: DataFrame, n_words: int | None) -> DataFrame:
-    """Entries usable as ids: Keras drops ids >= num_words.  With a cap the
-    table has < n_words rows - a proven bound, so it is broadcast when that
-    bound is moderate; otherwise (or uncapped) it is a plain, AQE-planned join."""
+    """Entries usable as ids: Keras drops ids >= num_words.  The cap bounds the
+    rows, and at ``WORD_BYTES`` a word the bytes: the broadcast hint is given only
+    below ``MAX_BROADCAST_BYTES``; otherwise (or uncapped) AQE plans the join."""
     if n_words is None:
         return vocab
     capped = vocab.where(F.col("idx") < n_words)
-    return F.broadcast(capped) if n_words <= MAX_BROADCAST_VOCAB else capped
+    return F.broadcast(capped) if n_words * WORD_BYTES <= MAX_BROADCAST_BYTES else capped
 
 
 def _ordered_collect(j: DataFrame, key: str, value: str, out: str) -> DataFrame:
@@ -131,12 +132,12 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, key: str, vec: str, d
                      n_words: int | None = None) -> DataFrame:
     """Vocabulary rows (idx < n_words) get their vector, unmatched get zeros.
 
-    Vectors are first semi-joined to the (broadcast, capped) vocabulary, so
-    only matched vectors - at most n_words of them - are broadcast back.
+    Vectors are first semi-joined to the capped vocabulary; the matched ones, at
+    most ``n_words`` of ``dim`` floats, are broadcast back below ``MAX_BROADCAST_BYTES``.
     """
     v = capped_vocab(vocab, n_words)
     matched = vectors.join(v.select(key), key, "left_semi")
-    if n_words is not None and n_words <= MAX_BROADCAST_VOCAB:
+    if n_words is not None and n_words * dim * 4 <= MAX_BROADCAST_BYTES:
         matched = F.broadcast(matched)
     out = v.join(matched.select(key, F.col(vec).alias("__v")), key, "left")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)

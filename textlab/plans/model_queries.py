@@ -27,7 +27,7 @@ from ..sources import files as FS
 from ..sources.tables import read_table
 from .registry import register
 
-LSA_TERMS = 500   # columns of the LSA query
+LSA_TERMS, LSA_K = 5000, 100   # FIXED VALUES: columns and components of the analysed LSA experiment
 META = list(TX.META_FEATURES)
 
 
@@ -80,7 +80,7 @@ def q_clf_meta_boost(spark, sf_dir):
 def q_clf_lsa_boost(spark, sf_dir):
     s = _labelled(spark, sf_dir).withColumn("tokens", TX.ngrams_1_2(TX.tokenize_sklearn("text")))
     v, _ = FE.tfidf_vectors(s, "doc_id", "tokens", LSA_TERMS, out="tfidf", fit_on=s.where(F.col("split") == "train"))
-    out, _ = FE.lsa(v, "doc_id", "tfidf", 10, out="lsa")
+    out, _ = FE.lsa(v, "doc_id", "tfidf", LSA_K, out="lsa")
     return _fit_score(out.withColumnRenamed("lsa", "features"), M.ovr_gbt())
 
 
