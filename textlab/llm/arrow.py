@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.files import scratch_path
 
@@ -72,3 +73,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the filter that ``maybe_in`` broadcasts, at any size of the data: 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
+    """``df`` with boolean ``name``: false only where ``key`` is no ``wanted_key``.
+
+    A bitmap of hashed keys, built and joined as 4 KB pieces of one fixed size in
+    all, spares rows that cannot match a shuffle.  Where it is full it spares none;
+    the join that follows decides."""
+    def slot(k):
+        return F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)) + 1
+
+    pieces = wanted.select(slot(wanted_key).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    place = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2 == 1
+    joined = df.withColumn("__in", F.bitmap_bucket_number(slot(key))).join(F.broadcast(pieces), F.col("__in") == F.col("__piece"), "left")
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__in", "__piece", "__bits")

@@ -8,8 +8,9 @@ in it.  Lines that meet under a key are verified: first by a histogram of their
 characters, then by an edit distance that keeps, in bits, the diagonals of the
 band that each number of edits reaches.
 
-Keys carry eight bytes of a line's identifier, not its text.  Texts are fetched
-only for lines that share a key with another line.
+Keys carry five bytes of a line's identifier, not its text.  Texts are fetched
+only for lines that share a key with another line.  Documents without such a
+line, or without a line to drop, are mostly spared a shuffle by a small filter.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .arrow import map_text, stored, texts
+from .arrow import map_text, maybe_in, stored, texts
 from .components import connected_components, links_within, spanning_links
 from .substring_dedup import POWERS, _ranges
 
@@ -32,6 +33,9 @@ SHORTEST = 16
 #: Lines of one key in one task, about.
 BLOCK = 2048
 STEP_BYTES = 4 << 20
+#: Bits of a lookup key and of the part of an identifier that goes with it.  Lines
+#: that share either by chance only meet for nothing.
+KEY_BITS, SHORT_BITS = 48, 40
 
 
 def lines_of(text: bytes) -> list[str]:
@@ -88,14 +92,14 @@ def _probe_rows(docs: DataFrame, edits: int, shortest: int) -> DataFrame:
         if not lines:
             return None
         lines = sorted(lines)
-        ids = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big", signed=True) for x in lines], np.int64)
+        ids = np.array([int.from_bytes(hashlib.md5(x.encode()).digest()[:SHORT_BITS // 8], "big") for x in lines], np.int64)
         codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
         length = np.array([len(x) for x in lines], np.int64)
         start = np.cumsum(length) - length
         found = list(probes(length, edits))
         row, first, end, kind = (np.concatenate([f[k] for f in found]) for k in range(4))
         filed = np.repeat([f[4] for f in found], [len(f[0]) for f in found])
-        key = _ranges(codes, start[row] + first, start[row] + end, POWERS[0]) ^ (kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        key = (_ranges(codes, start[row] + first, start[row] + end, POWERS[0]) ^ (kind.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))) >> np.uint64(64 - KEY_BITS)
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(filed)], ["key", "short_id", "filed"])
 
     return map_text(docs, ["__text"], "__text", "key long, short_id long, filed boolean", step, STEP_BYTES)
@@ -164,21 +168,31 @@ def _linker(edits: int):
 
 
 def _short(id_: Column) -> Column:
-    return F.conv(F.hex(F.substring(id_, 1, 8)), 16, -10).cast("long")
+    return F.conv(F.hex(F.substring(id_, 1, SHORT_BITS // 8)), 16, 10).cast("long")
+
+
+#: A line's place in the order of keys, then of lines: one number.  Null keys come last.
+_LAST = (1 << 63) - 1
+
+
+def _order(key: Column, place: Column) -> Column:
+    return (F.coalesce(key, F.lit(_LAST)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + place).cast("decimal(38,0)")
 
 
 def _texts_of(whole: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) of wanted lines (id, key, place), cut from the documents."""
-    places = wanted.groupBy("__key").agg(F.collect_list(F.struct("place", "id")).alias("places")).withColumnRenamed("__key", "__k")
-    held = whole.join(places, F.col("__key") == F.col("__k"), "left").where(F.col("places").isNotNull())
+    """(id, line) of the wanted lines (id, k, place), cut from the documents."""
+    places = wanted.groupBy("k").agg(F.collect_list(F.struct("place", "id")).alias("places")).withColumnRenamed("k", "__k")
+    own = F.coalesce(F.col("__key.k"), F.lit(_LAST))
+    held = maybe_in(whole, own, wanted, F.col("k"), "__maybe").where("__maybe").select(own.alias("__own"), "__text").join(places, F.col("__own") == F.col("__k"))
 
     def step(batch):
         ids, out = [], []
         for t, places in zip(texts(batch.column("__text")), batch.column("places").to_pylist()):
             lines = lines_of(t)
-            for p in places:
-                ids.append(p["id"])
-                out.append(lines[p["place"]])
+            for p in places:  # another row with this key may have other lines
+                if p["place"] < len(lines) and hashlib.md5(lines[p["place"]].encode()).digest() == p["id"]:
+                    ids.append(p["id"])
+                    out.append(lines[p["place"]])
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["id", "line"])
 
     return map_text(held, ["__text", "places"], "__text", "id binary, line string", step).dropDuplicates(["id"])
@@ -186,26 +200,28 @@ def _texts_of(whole: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def repeated_lines(whole: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """(key, places): the lines that go, for (``__key``: struct of k and h, ``__text``)."""
-    order = F.coalesce(F.col("__key.k").cast("decimal(20,0)"), F.lit((1 << 63) - 1).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(10,0)") + F.col("place")
-    rows = _line_rows(whole, shortest).withColumn("at", order.cast("decimal(38,0)"))
-    rows = stored(rows, "lines")
-    lines = rows.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = stored(_line_rows(whole, shortest).withColumn("at", _order(F.col("__key.k"), F.col("place"))), "lines")
+    lines = stored(rows.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     # lines that share a key with another line, of which one is filed there
     w = Window.partitionBy("key")
     met = stored(_probe_rows(whole, edits, shortest)
-           .withColumn("low", F.min("short_id").over(w)).withColumn("high", F.max("short_id").over(w)).withColumn("any", F.max("filed").over(w))
-           .where(F.col("any") & (F.col("low") != F.col("high"))).select("key", "short_id").distinct(), "line-keys")
+                 .withColumn("low", F.min("short_id").over(w)).withColumn("high", F.max("short_id").over(w)).withColumn("any", F.max("filed").over(w))
+                 .where(F.col("any") & (F.col("low") != F.col("high"))).select("key", "short_id").distinct(), "line-keys")
+    span = F.lit(1 << 32).cast("decimal(10,0)")
+    k = F.floor(F.col("first") / span).cast("long")
     wanted = (lines.join(met.select("short_id").distinct(), _short(F.col("id")) == F.col("short_id"), "left_semi")
-              .join(rows.withColumnRenamed("id", "__id"), (F.col("id") == F.col("__id")) & (F.col("first") == F.col("at")))
-              .select("__key", "place", "id"))
+              .select("id", k.alias("k"), (F.col("first") % span).cast("int").alias("place")))
     known = stored(_texts_of(whole, wanted).withColumn("__short", _short(F.col("id"))), "line-texts")
     meetings = met.join(known, F.col("short_id") == F.col("__short")).select("key", "id", "line")
     links = links_within(meetings, ["key"], "id", block, F.length("line"), _linker(edits), "a binary, b binary")
     found = connected_components(links)
     members = found.union(found.select("component", "component").distinct().toDF("node", "component"))
-    classes = lines.join(members, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id"))
-    heads = classes.groupBy("class").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    heads = classes.join(heads, "class").select(F.col("id").alias("__id"), "head")
+    # the first line of every class with more than one line
+    linked = lines.join(members, F.col("id") == F.col("node")).select("id", "component", "first", "n")
+    heads = linked.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))
+    heads = linked.join(heads, F.col("component") == F.col("c")).select("id", "head")
+    alone = lines.where("n > 1").join(members, F.col("id") == F.col("node"), "left_anti").select("id", F.col("first").alias("head"))
+    heads = heads.union(alone).withColumnRenamed("id", "__id")
     gone = rows.join(heads, (F.col("id") == F.col("__id")) & (F.col("at") != F.col("head")))
     return gone.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("place").alias("places"))
 
@@ -228,6 +244,11 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     gone = repeated_lines(whole, edits, shortest, block).withColumnRenamed("places", "__places")
     split = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__places", i)), "\n")
-    out = docs.withColumn("__key", own).join(gone, F.col("__key") == F.col("__k"), "left")
-    more = [F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long").alias("n_removed")] if counts else []
-    return out.select(*[F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns], *more)
+    more = [F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+            F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long").alias("n_removed")] if counts else []
+    gone = stored(gone, "lines-gone")
+    marked = maybe_in(docs.withColumn("__key", own), F.col("__key"), gone, F.col("__k"), "__maybe")
+    some = marked.where("__maybe").join(gone, F.col("__key") == F.col("__k"), "left").select(
+        *[F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns], *more)
+    none = marked.where(~F.col("__maybe")).withColumn("__places", F.lit(None).cast("array<int>")).select(*docs.columns, *more)
+    return some.union(none)
