@@ -29,8 +29,8 @@ from .components import _whole_groups
 DEGREE, REVERSE, LEAF, TREES, ROUNDS = 32, 16, 512, 4, 4
 #: Candidates that a node takes from one meeting; neighbours it takes from one leaf.
 OFFERS, LEAF_NEAREST = 8, 20
-#: Nodes that a query expands in a round; rounds; candidates scored exactly.
-EXPAND, SEARCH_ROUNDS, FINAL = 16, 3, 64
+#: Nodes that a query expands in a round; rounds; reverse neighbours it may go to; candidates scored exactly.
+EXPAND, SEARCH_ROUNDS, SEARCH_REVERSE, FINAL = 48, 6, 32, 64
 _PAIR = "v long, u long, score float"
 
 
@@ -179,7 +179,7 @@ def _scored(rows: pa.Table, group: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(u[keep]), pa.array(score[keep])], ["q", "u", "score"])
 
 
-def search(queries: DataFrame, edges: DataFrame, codes: DataFrame, reverse: int = REVERSE, expand: int = EXPAND,
+def search(queries: DataFrame, edges: DataFrame, codes: DataFrame, reverse: int = SEARCH_REVERSE, expand: int = EXPAND,
            rounds: int = SEARCH_ROUNDS, final: int = FINAL) -> DataFrame:
     """(q, u): the best nodes that each query (q, a node of the graph) has met."""
     paths = stored(_both_ways(edges, reverse).select(F.col("v").alias("at"), F.col("u").alias("next")), "ann-paths")
