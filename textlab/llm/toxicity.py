@@ -86,7 +86,12 @@ def word_bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(owner, minlength=len(words))
-    return bucket[order].astype(np.int64), counts
+    return bucket[order].astype(np.int32), counts
+
+
+def _bags_in_parts(words: list[bytes], part: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    bags = [word_bags(words[a:a + part]) for a in range(0, len(words), part)] or [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
+    return np.concatenate([b for b, _ in bags]), np.concatenate([c for _, c in bags])
 
 
 @dataclass
@@ -178,15 +183,16 @@ def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = ROUNDS, epochs: int
     for t in texts:
         folded, first, end = words_of(np.frombuffer(t, np.uint8))
         raw = folded.tobytes()
-        docs.append(np.array(sorted({types.setdefault(raw[a:b], len(types)) for a, b in zip(first.tolist(), end.tolist())}), np.int64))
-    buckets, counts = word_bags(list(types))
+        docs.append(np.array(sorted({types.setdefault(raw[a:b], len(types)) for a, b in zip(first.tolist(), end.tolist())}), np.int32))
+    buckets, counts = _bags_in_parts(list(types))
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     sizes = np.array([len(d) for d in docs])
     flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
     # how much more often, at least, toxic documents hold each n-gram: the first guess
-    pair = np.unique(np.repeat(owner, counts[flat]) * BUCKETS + buckets[np.repeat(starts[flat], counts[flat]) + _within(counts[flat])])
-    in_toxic = toxic[pair // BUCKETS] == 1
-    hits = [np.bincount(pair[side] % BUCKETS, minlength=BUCKETS) + 0.5 for side in (in_toxic, ~in_toxic)]
+    hits = [np.full(BUCKETS, 0.5), np.full(BUCKETS, 0.5)]
+    for d, y in zip(docs, toxic.tolist()):
+        n = counts[d]
+        hits[1 - y][np.unique(buckets[np.repeat(starts[d], n) + _within(n)])] += 1
     lift = np.log(hits[0] / toxic.sum()) - np.log(hits[1] / (toxic == 0).sum())
     sure = lift - 1.5 * np.sqrt(1 / hits[0] + 1 / hits[1])
     guess = np.maximum.reduceat(sure[buckets], starts)
