@@ -51,18 +51,41 @@ class WordIds:
         self.end = np.array([end_id], "<u4").tobytes()
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id last."""
-        words = [d.split() for d in docs]
+        """Little-endian unsigned 32-bit ids of each text, the end id last.
+
+        ASCII capitals are lowered first, as the tokenizer would, but not where
+        the text may hold a special token's string."""
+        words = [(d if b"<|" in d else d.lower()).split() for d in docs]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        for a in range(0, len(new), 4096):
-            part = new[a:a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        known = self.known
+        new = {w for ws in words for w in ws if w not in known}
+        if new:
+            self.learn(new)
+        get = known.__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in words]
 
+    def learn(self, words: set[bytes]) -> None:
+        # a full stop or comma behind an ASCII letter or digit is a word of its own
+        tailed = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
+        words = words.difference(tailed).union(w[:-1] for w in tailed).union((b".", b",")) - self.known.keys()
+        text = {w: w.decode() for w in words}
+        plain = [w for w, t in text.items() if t.lower().isalpha() and (t.isascii() or max(t) < "\u0250")]
+        for a in range(0, len(plain), 4096):
+            part = plain[a:a + 4096]  # one word each to the tokenizer, so that its word numbers tell them apart
+            e = self.tokenizer.encode(" ".join([text[w] for w in part]), add_special_tokens=False)
+            if e.word_ids[-1] != len(part) - 1:
+                continue
+            bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
+            ids = np.array(e.ids, "<u4").tobytes()
+            self.known.update((w, ids[4 * b:4 * c]) for w, b, c in zip(part, bounds, bounds[1:]))
+        other = [w for w in words if w not in self.known]
+        for a in range(0, len(other), 4096):
+            part = other[a:a + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch([text[w] for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in tailed)
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str, end_id: int) -> WordIds:
