@@ -79,3 +79,10 @@ def test_levels_nulls_repeats_empty(spark):
     assert sequences <= total // 64 + 3
     assert sum(r.doc_id is None for r in out) == 2
     assert packing.pack(packing.pieces(df.limit(0), PATH, text="body")).count() == 0
+
+
+def test_lengths_that_never_fill_a_window_end(spark):
+    df = spark.range(400).selectExpr("id as doc_id", "0L as start", "40L as length", "0L as ids_crc32", "40L as doc_tokens")
+    df = df.union(spark.range(300).selectExpr("id", "40L", "64L", "0L", "104L"))
+    out = packing.pack(df, capacity=64, group=30).collect()
+    assert len(out) == 700 and len({r.sequence_id for r in out}) == 700 and all(r.offset == 0 for r in out)

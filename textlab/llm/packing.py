@@ -28,8 +28,6 @@ from .arrow import map_text, texts
 CAPACITY = 4096
 #: Pieces in one group, about; the work of a group is bounded by it.
 GROUP = 4096
-#: A window that lacks at most this many tokens is closed at once, except in the last group.
-SLACK = 0
 #: Distinct words whose ids one Python worker remembers; it starts anew beyond that.
 REMEMBERED = 500_000
 
@@ -166,19 +164,29 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def _placer(columns: list[str], capacity: int, level: int, last: bool):
-    """One group's rows with sequence_id (-1: its window stays open) and offset."""
+    """One group's rows with sequence_id (-1: its window stays open) and offset.
+
+    Except in the last group, the emptiest windows stay open, as long as they hold
+    no more than a quarter of the group's pieces: so each level has fewer."""
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "__place"], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].tolist()
         sequence, offset = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), np.int64)
         base = level << 57 | int(pdf["__group"].iloc[0]) << 29
+        open_, may = [], 0 if last else len(pdf) // 4
         for k, window in enumerate(pack_group(lengths, capacity)):
             used = 0
             for i in window:
                 offset[i] = used
                 used += lengths[i]
-            if last or used >= capacity - SLACK:
-                sequence[window] = base | k
+            sequence[window] = base | k
+            if used < capacity:
+                open_.append((used, k, window))
+        for _, _, window in sorted(open_):
+            may -= len(window)
+            if may < 0:
+                break
+            sequence[window], offset[window] = -1, 0
         out = pdf[columns].copy()
         out["sequence_id"], out["offset"], out["__place"] = sequence, offset, pdf["__place"]
         return out
@@ -189,18 +197,20 @@ def pack(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, group: i
     """Adds sequence_id and offset to pieces (rows with a ``length`` up to ``capacity``).
 
     Each row is placed once; a sequence is gapless from 0.  Which pieces meet is a
-    pure function of the checkpointed pieces.  A sequence id is made of level (6
-    bits), group (28 bits) and place in the group (29 bits).  Empty input: no rows.
+    pure function of the checkpointed pieces.  A sequence id is made of level (5
+    bits), group (28 bits) and place in the group (29 bits); a full piece is a
+    sequence of its own, above those.  Empty input: no rows.
     """
     ensure_checkpoint_dir(cut.sparkSession)
     columns = cut.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     # dealt by place, not by key: repeated or null keys are spread too
-    left = cut.withColumn("__place", F.monotonically_increasing_id()).checkpoint()
-    done, level = [], 0
+    every = cut.withColumn("__place", F.monotonically_increasing_id()).checkpoint()
+    zero = F.lit(0).cast("long")
+    done = [every.where(F.col("length") >= capacity).select(*columns, (F.col("__place") + F.lit(1 << 62)).alias("sequence_id"), zero.alias("offset"))]
+    left, level = every.where(F.col("length") < capacity), 0
     while True:
-        n_short = left.where(F.col("length") < capacity).count()
-        groups = max(1, -(-n_short // group))
+        groups = max(1, -(-left.count() // group))
         dealt = left.withColumn("__group", F.pmod(F.xxhash64("__place", F.lit(level)), F.lit(groups)))
         placed = dealt.groupBy("__group").applyInPandas(_placer(columns, capacity, level, groups == 1), schema + ", __place long").checkpoint()
         done.append(placed.where("sequence_id >= 0").drop("__place"))
