@@ -26,7 +26,37 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 NEVER = np.int64(1) << 40
 #: Distinct chunks whose ids one Python worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Longer words (in bytes) are merged one by one, with a heap.
+LONG = 48
+
+
+class Table:
+    """Numbers by 64-bit key, looked up many at a time (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER + 1)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):  # each free place takes one of those that want it
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            placed = self.keys[at] == keys[left]
+            self.values[at[placed]] = values[left[placed]]
+            left, at = left[~placed], at[~placed] + 1 & (1 << self.bits) - 1
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' values, ``NEVER + 1`` for keys that are not there."""
+        at = self._home(keys)
+        off = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] >= 0))
+        while len(off):
+            at[off] = at[off] + 1 & (1 << self.bits) - 1
+            there = self.keys[at[off]]
+            off = off[(there != keys[off]) & (there >= 0)]
+        return np.where(self.keys[at] == keys, self.values[at], NEVER + 1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,8 +91,8 @@ class Codec:
             self.merge[x, y] = rank, made
             if self.born[made] < 0:
                 self.left[made], self.right[made], self.born[made] = x, y, rank
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.ranks = Table(np.array(keys, np.int64), np.array(ranks, np.int64))
+        self.made = np.array([self.merge[k >> 20, k & 0xFFFFF][1] for k in keys], np.int64)  # by rank
         self.byte_id = {v[0]: i for i, v in enumerate(self.bytes) if len(v) == 1 and self.born[i] < 0}
         made = np.flatnonzero(self.born >= 0)
         # a token that its own letters do not merge into is never part of an encoding
@@ -72,18 +102,21 @@ class Codec:
         self.split_special = regex.compile(f"({names})").split if names else None
         self.words = regex.compile(WORDS).findall
         self.chunks = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.first_id = np.array([self.byte_id[b] for b in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
         self.path, self._library = path, None
 
     def _build_trie(self, ids: list[int]) -> None:
-        self.step, self.token = {}, [-1]
+        step, token = {}, [-1]
         for i in ids:
             node = 0
             for b in self.bytes[i]:
-                node = self.step.setdefault(node << 8 | b, len(self.token))
-                if node == len(self.token):
-                    self.token.append(-1)
-            self.token[node] = i
+                node = step.setdefault(node << 8 | b, len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = i
+        self.step = Table(np.fromiter(step.keys(), np.int64), np.fromiter(step.values(), np.int64))
+        self.token = np.array(token, np.int64)
 
     def compatible(self, x: np.ndarray, y: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
         """For each pair of neighbours: whether merging keeps them apart.
@@ -97,9 +130,7 @@ class Codec:
         y_ends = x_ends.copy() if before is None else before.astype(np.int64) - 1
         good, live = np.ones(len(x), bool), np.arange(len(x))
         while len(live):
-            key = x[live] << 20 | y[live]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.ranks[at], NEVER + 1)
+            rank = self.ranks.get(x[live] << 20 | y[live])
             joined = (rank < x_ends[live]) & (rank <= y_ends[live])
             good[live[joined]] = False
             bx, by = self.born[x[live]], self.born[y[live]]
@@ -110,18 +141,66 @@ class Codec:
             y_ends[j], y[j] = by[~undo_x], self.left[y[j]]
         return good
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, i, n = [], 0, len(word)
-        step, token = self.step, self.token
-        while i < n:
-            node, j, stop, best = 0, i, i, -1
-            while j < n and (node := step.get(node << 8 | word[j], -1)) >= 0:
-                j += 1
-                if token[node] >= 0:
-                    best, stop = token[node], j
-            out.append(best)
-            i = stop
-        return out
+    def greedy(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, owners): the longest match again and again in each word data[first:end].
+
+        All words walk the trie together, each from where its last match ended."""
+        word = np.flatnonzero(end > first)
+        start = first[word]
+        at, node = start.copy(), np.zeros(len(word), np.int64)
+        best, stop = np.full(len(word), -1), start.copy()
+        out, owners, places = [], [], []
+        while len(word):
+            inside = at < end[word]
+            next_node = np.full(len(word), NEVER + 1)
+            next_node[inside] = self.step.get(node[inside] << 8 | data[at[inside]])
+            goes = next_node <= NEVER
+            node, at = np.where(goes, next_node, 0), at + 1
+            token = self.token[node]
+            hit = goes & (token >= 0)
+            best, stop = np.where(hit, token, best), np.where(hit, at, stop)
+            ends = np.flatnonzero(~goes)
+            if len(ends):
+                out.append(best[ends])
+                owners.append(word[ends])
+                places.append(stop[ends])
+                at[ends], best[ends] = stop[ends], -1
+                stay = goes | (stop < end[word])
+                if not stay.all():
+                    word, at, node, best, stop = (v[stay] for v in (word, at, node, best, stop))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        tokens, owner, place = (np.concatenate(v) for v in (out, owners, places))
+        order = np.argsort(place, kind="stable")  # words lie in the order of their places
+        return tokens[order], owner[order]
+
+    def merged(self, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, owners): exact merging of all the words together, one merge a round in each."""
+        size = end - first
+        owner = np.repeat(np.arange(len(first)), size)
+        ids = self.first_id[data[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]]
+        done_ids, done_owner = [], []
+        while len(ids):
+            rank = np.full(len(ids), NEVER + 1)
+            inner = np.flatnonzero(owner[1:] == owner[:-1])
+            rank[inner] = self.ranks.get(ids[inner] << 20 | ids[inner + 1])
+            heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            low = np.minimum.reduceat(rank, heads)
+            low_of = np.repeat(low, np.diff(np.concatenate([heads, [len(ids)]])))
+            over = low_of > NEVER
+            if over.any():
+                done_ids.append(ids[over])
+                done_owner.append(owner[over])
+            place = np.flatnonzero((rank == low_of) & ~over)
+            place = place[np.concatenate([[True], owner[place][1:] != owner[place][:-1]])[:len(place)]]  # the leftmost in each word
+            ids[place] = self.made[rank[place]]
+            over[place + 1] = True
+            ids, owner = ids[~over], owner[~over]
+        if not done_ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        tokens, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        order = np.argsort(owner, kind="stable")
+        return tokens[order], owner[order]
 
     def exact(self, word: bytes) -> list[int]:
         """Merges in the order of their ranks, of equal ones the leftmost first."""
@@ -144,21 +223,35 @@ class Codec:
                     heapq.heappush(heap, (m[0], left, ids[left], ids[right]))
         return [t for t in ids if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Speculate on every word, verify all neighbours at once, merge the failing words."""
-        out = [self.greedy(w) for w in words]
-        lengths = np.array([len(t) for t in out], np.int64)
-        flat = np.array([t for tokens in out for t in tokens], np.int64)
-        owner = np.repeat(np.arange(len(out)), lengths)
-        inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(flat) else np.zeros(0, np.int64)
-        pairs, which = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
-        bad = ~self.compatible(pairs >> 20, pairs & 0xFFFFF)[which] if len(pairs) else np.zeros(0, bool)
-        for i in np.unique(owner[inner[bad]]).tolist():
-            out[i] = self.exact(words[i])
-        return out
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(int32 tokens of all words, bounds of each): speculate on every word,
+        verify all neighbours at once, and merge the failing words."""
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        first = end - size
+        tokens, owner = self.greedy(data, first, end)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs, which = np.unique(tokens[inner] << 20 | tokens[inner + 1], return_inverse=True)
+        bad = np.unique(owner[inner[~self.compatible(pairs >> 20, pairs & 0xFFFFF)[which]]])
+        fails = np.zeros(len(words), bool)
+        fails[bad] = True
+        short, long = bad[size[bad] <= LONG], bad[size[bad] > LONG]
+        more, more_owner = self.merged(data, first[short], end[short])
+        by_heap = [self.exact(words[i]) for i in long.tolist()]
+        stay = ~fails[owner]
+        tokens = np.concatenate([tokens[stay], more, np.array([t for ids in by_heap for t in ids], np.int64)])
+        owner = np.concatenate([owner[stay], short[more_owner], np.repeat(long, [len(ids) for ids in by_heap])])
+        order = np.argsort(owner, kind="stable")
+        return tokens[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
     def split_words(self, chunk: str) -> list[str]:
         if chunk.isascii() or max(chunk) < "ɐ":
+            body = chunk[1:] if chunk[0] == " " else chunk
+            if body.isalpha():
+                return [chunk]
+            if body[:-1].isalpha() and body[-1] in ".,;:!?|":
+                return [chunk[:-1], chunk[-1]]
             return self.words(chunk)
         # other scripts: the library's own tables of letters and digits
         if self._library is None:
@@ -169,28 +262,34 @@ class Codec:
     def learn(self, chunks: set[str]) -> None:
         """Remember the ids of new chunks.  A chunk (white space and what follows
         up to the next white space) is encoded alike wherever it stands."""
-        plan, words = [], {}
+        words: dict[str, int] = {}
+        number, special = words.setdefault, self.special
+        plan = []
         for chunk in chunks:
-            parts = []
-            for part in self.split_special(chunk) if self.split_special else [chunk]:
-                if part in self.special:
-                    parts.append(self.special[part])
-                elif part:
-                    parts += [words.setdefault(w.encode(), -1 - len(words)) for w in self.split_words(part)]
-            plan.append((chunk, parts))
-        ids = self.encode_words(list(words))
-        for chunk, parts in plan:
-            self.known[chunk] = np.array([t for p in parts for t in ([p] if p >= 0 else ids[-1 - p])], np.int32).tobytes()
+            if self.split_special and "<|" in chunk:
+                parts = [(special[p],) if p in special else number(w, len(words)) for p in self.split_special(chunk) if p
+                         for w in ([p] if p in special else self.split_words(p))]
+            else:
+                parts = [number(w, len(words)) for w in self.split_words(chunk)]
+            plan.append(parts)
+        tokens, bounds = self.encode_words([w.encode() for w in words])
+        blob, bounds = tokens.tobytes(), (bounds * 4).tolist()
+        for chunk, parts in zip(chunks, plan):
+            if len(parts) == 1 and type(parts[0]) is int:
+                self.known[chunk] = blob[bounds[parts[0]]:bounds[parts[0] + 1]]
+            else:
+                self.known[chunk] = b"".join([blob[bounds[p]:bounds[p + 1]] if type(p) is int else np.array(p, np.int32).tobytes() for p in parts])
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """int32 ids of each text."""
         cut = [self.chunks(d) for d in docs]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = {c for chunks in cut for c in chunks} - self.known.keys()
+        known = self.known
+        new = {c for chunks in cut for c in chunks if c not in known}
         if new:
             self.learn(new)
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
     def decode(self, ids: list[int]) -> str:
