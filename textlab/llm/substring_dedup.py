@@ -15,7 +15,7 @@ A window is ``WINDOW`` consecutive words of one text.  Three steps:
 3.  Stream every document through its shard's automaton; the words that an
     occurrence covers go.
 
-Documents cross the network once; the exchange is used by the steps 1 and 2.
+Documents cross the network once; steps 1 and 2 use the same exchange.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_text, texts
+from .arrow import map_text, stored, texts
 
 WINDOW, SHINGLE = 35, 8
 #: Bytes of text that one vectorised step, and one automaton, handles.
 STEP_BYTES = 1 << 20
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd multipliers of the two polynomial hashes
+_COUNT = 4096  # more than the windows of a segment
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -107,47 +108,51 @@ def segments(words: Words, window: int, shingle: int):
     return first, count, anchors[anchor_at], seg
 
 
-def _segment_rows(docs: DataFrame, window: int, shingle: int) -> DataFrame:
-    kind = docs.schema["__key"].dataType.simpleString()
+def _segment_rows(whole: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(k, h, at, anchor, seg): at is the first word times ``_COUNT`` plus the number of windows."""
+    assert window - shingle < _COUNT - 1
+    kind = whole.schema["k"].dataType.simpleString()
 
     def step(batch):
-        words = Words(list(texts(batch.column("__text"))))
+        words = Words(list(texts(batch.column("text"))))
         found = segments(words, window, shingle)
         if found is None:
             return None
         first, count, anchor, seg = found
         doc = words.doc[first]
-        start = first - words.bounds[doc]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("__key").take(pa.array(doc)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int16)),
-             pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))], ["__key", "start", "n", "anchor", "seg"])
+        at = (first - words.bounds[doc]) * _COUNT + count
+        own = pa.array(doc)
+        return pa.RecordBatch.from_arrays([batch.column("k").take(own), batch.column("h").take(own), pa.array(at), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))],
+                                          ["k", "h", "at", "anchor", "seg"])
 
-    return map_text(docs, ["__key", "__text"], "__text", f"__key {kind}, start int, n short, anchor long, seg long", step, STEP_BYTES)
+    return map_text(whole, ["k", "h", "text"], "text", f"k {kind}, h int, at long, anchor long, seg long", step, STEP_BYTES)
 
 
-def _window_rows(spans: DataFrame, window: int) -> DataFrame:
+def _window_rows(marked: DataFrame, window: int) -> DataFrame:
     """Two hashes of every window of the segments to open."""
-    kind = spans.schema["__key"].dataType.simpleString()
+    kind = marked.schema["k"].dataType.simpleString()
 
     def step(batch):
         batch = batch.filter(batch.column("opened"))
         if not batch.num_rows:
             return None
-        words = Words(list(texts(batch.column("__text"))))
-        row, start, place, sure = [], [], [], []
-        for i, spans_of in enumerate(batch.column("spans").to_pylist()):
-            for s in spans_of:
+        words = Words(list(texts(batch.column("text"))))
+        row, place, sure = [], [], []
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            for s in spans:
                 if s["open"]:
-                    row += [i] * s["n"]
-                    place += range(s["start"], s["start"] + s["n"])
-                    sure += [s["sure"]] * s["n"]
+                    first, n = divmod(s["at"], _COUNT)
+                    row += [i] * n
+                    place += range(first, first + n)
+                    sure += [s["sure"]] * n
         row, place = np.array(row), np.array(place)
         first = place + words.bounds[row]
         a, b = (_ranges(words.hash, first, first + window, p).view(np.int64) for p in POWERS)
-        return pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(sure, pa.bool_()),
-                                           pa.array(a), pa.array(b)], ["__key", "place", "sure", "a", "b"])
+        own = pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column("k").take(own), batch.column("h").take(own), pa.array(place.astype(np.int32)), pa.array(sure, pa.bool_()),
+                                           pa.array(a), pa.array(b)], ["k", "h", "place", "sure", "a", "b"])
 
-    return map_text(spans, ["__key", "__text", "spans", "opened"], "__text", f"__key {kind}, place int, sure boolean, a long, b long", step, STEP_BYTES)
+    return map_text(marked, ["k", "h", "text", "spans", "opened"], "text", f"k {kind}, h int, place int, sure boolean, a long, b long", step, STEP_BYTES)
 
 
 def cover(docs: list[list[bytes]], confirmed: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
@@ -180,19 +185,25 @@ def cover(docs: list[list[bytes]], confirmed: list[list[tuple[int, int]]], windo
     return out
 
 
-def _automata(docs: DataFrame, window: int) -> DataFrame:
-    kind = docs.schema["__key"].dataType.simpleString()
+def _automata(ready: DataFrame, window: int) -> DataFrame:
+    kind = ready.schema["k"].dataType.simpleString()
 
     def step(batch):
-        split = [t.split() for t in texts(batch.column("__text"))]
-        runs = [[(s["start"], s["n"]) for s in spans or () if s["sure"]] + [(p, 1) for p in places or ()]
+        split = [t.split() for t in texts(batch.column("text"))]
+        runs = [[divmod(s["at"], _COUNT) for s in spans or () if s["sure"]] + [(p, 1) for p in places or ()]
                 for spans, places in zip(batch.column("spans").to_pylist(), batch.column("places").to_pylist())]
         hits = cover(split, runs, window)
         kept = [b" ".join([w for w, gone in zip(words, hit.tolist()) if not gone] if hit.any() else words) for words, hit in zip(split, hits)]
-        return pa.RecordBatch.from_arrays([batch.column("__key"), pa.array([len(w) for w in split], pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()),
-                                           pa.array(kept, pa.binary()).cast(pa.string())], ["__key", "n_words", "n_removed", "text"])
+        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array([len(w) for w in split], pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()),
+                                           pa.array(kept, pa.binary()).cast(pa.string())], ["k", "n_words", "n_removed", "text"])
 
-    return map_text(docs, ["__key", "__text", "spans", "places"], "__text", f"__key {kind}, n_words long, n_removed long, text string", step, STEP_BYTES)
+    return map_text(ready, ["k", "text", "spans", "places"], "text", f"k {kind}, n_words long, n_removed long, text string", step, STEP_BYTES)
+
+
+def _of_row(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``df`` left-joined to ``rows`` (k, h, and what to add)."""
+    rows = rows.withColumnRenamed("k", "__k").withColumnRenamed("h", "__h")
+    return df.join(rows, F.col("k").eqNullSafe(F.col("__k")) & (F.col("h") == F.col("__h")), "left").drop("__k", "__h")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -205,23 +216,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     another place where its words stand; repeated and null keys keep their rows.
     Empty table: no rows.
     """
-    # a row is known by its key and its text, so versions under one key stay apart
-    whole = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("__key"), F.col(text).alias("__text"))
+    # a row is known by its key and a hash of its text, so versions under one key stay apart
+    whole = docs.select(F.col(key).alias("k"), F.hash(text).alias("h"), F.col(text).alias("text"))
     rows = _segment_rows(whole, window, shingle)
-    # which anchors and segments recur
-    by_seg = rows.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.xxhash64("__key", "start")).alias("one"))
-    by_anchor = by_seg.groupBy("anchor").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("all") > 1)
-    status = by_seg.join(by_anchor, "anchor").select(
-        F.col("anchor").alias("__a"), F.col("seg").alias("__s"), (F.col("c") > 1).alias("sure"),
-        F.when(F.col("kinds") > 1, F.col("one")).alias("opens"))
-    # a segment is opened if its anchor has several: once for a recurring one, to be met by the others
-    spans = (rows.join(status, (F.col("anchor") == F.col("__a")) & (F.col("seg") == F.col("__s")))
-             .select("__key", F.struct("start", "n", "sure", (F.coalesce(F.xxhash64("__key", "start") == F.col("opens"), F.lit(False))).alias("open")).alias("s"))
-             .groupBy("__key").agg(F.collect_list("s").alias("spans")))
-    spans = spans.withColumn("opened", F.exists("spans", lambda s: s["open"])).withColumnRenamed("__key", "__k")
-    marked = whole.join(spans, F.col("__key") == F.col("__k"), "left").drop("__k").withColumn("opened", F.coalesce("opened", F.lit(False)))
+    # anchors met more than once; mixed: with several segments
+    again = (rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
+             .select(F.col("anchor").alias("a"), _fold("anchor").alias("f"), (F.col("low") != F.col("high")).alias("mixed")))
+    # the second key makes both sides shuffles of their own, so that Spark can split an anchor met very often
+    found = rows.join(again, (F.col("anchor") == F.col("a")) & (_fold("anchor") == F.col("f"))).select("k", "h", "at", "anchor", "seg", "mixed")
+    found = stored(found, "recurring-segments")  # read several times below
+    plain = found.where(~F.col("mixed")).select("k", "h", "at", F.lit(True).alias("sure"), F.lit(False).alias("open"))
+    # a recurring segment of a mixed anchor is opened once, to be met by the windows of the others
+    mixed, one = found.where("mixed").select("k", "h", "at", "anchor", "seg"), F.hash("k", "h", "at")
+    kinds = mixed.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("one")).select(
+        F.col("anchor").alias("a"), F.col("seg").alias("s"), _fold("seg").alias("f"), "c", "one")
+    opened = mixed.join(kinds, (F.col("anchor") == F.col("a")) & (F.col("seg") == F.col("s")) & (_fold("seg") == F.col("f"))).select(
+        "k", "h", "at", (F.col("c") > 1).alias("sure"), (one == F.col("one")).alias("open"))
+    spans = plain.union(opened).groupBy("k", "h").agg(F.collect_list(F.struct("at", "sure", "open")).alias("spans"))
+    marked = _of_row(whole, spans.withColumn("opened", F.exists("spans", lambda s: s["open"]))).withColumn("opened", F.coalesce("opened", F.lit(False)))
     windows = _window_rows(marked, window)
     met = windows.groupBy("a", "b").agg((F.count(F.lit(1)) + F.max(F.col("sure").cast("int"))).alias("met")).where(F.col("met") > 1).select("a", "b")
-    places = windows.where(~F.col("sure")).join(met, ["a", "b"], "left_semi").groupBy(F.col("__key").alias("__k")).agg(F.collect_set("place").alias("places"))
-    ready = marked.join(places, F.col("__key") == F.col("__k"), "left").drop("__k")
-    return _automata(ready, window).select(F.col("__key.k").alias(key), "n_words", "n_removed", "text")
+    places = windows.where(~F.col("sure")).join(met, ["a", "b"], "left_semi").groupBy("k", "h").agg(F.collect_set("place").alias("places"))
+    return _automata(_of_row(marked, places), window).withColumnRenamed("k", key)
+
+
+def _fold(name: str):
+    return F.pmod(F.col(name), F.lit(1009))
