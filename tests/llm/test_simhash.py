@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from textlab.llm import simhash as S
-from textlab.llm.components import connected_components
+from textlab.llm.components import connected_components, spanning_links
 from textlab.llm.queries import QUERIES
 from tests.conftest import SF001
 
@@ -86,6 +86,44 @@ def test_links_equal_all_pairs(spark):
     assert components_of(spark, fps, block=3) == plain  # every key is dealt into blocks
 
 
+def spanned(n, links):
+    """The parts that spanning_links leaves of rows 0..n-1 of one group with these links."""
+    near = lambda a, b: np.array([(x, y) in links for x, y in zip(a.tolist(), b.tolist())], bool)
+    part = list(range(n))
+    for a, b in zip(*(x.tolist() for x in spanning_links(np.zeros(n, int), np.zeros(n, int), 0, near))):
+        part = [part[a] if p == part[b] else p for p in part]
+    return part
+
+
+def test_earlier_links_outlast_later_ones():
+    a, b, c, d = spanned(4, {(2, 3), (0, 2), (1, 3)})
+    assert a == b == c == d
+    rng = random.Random(3)
+    for _ in range(400):
+        n = rng.randint(3, 40)
+        links = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, n))}
+        plain = list(range(n))
+        for a, b in links:
+            plain = [plain[a] if p == plain[b] else p for p in plain]
+        got = spanned(n, links)
+        assert len(set(zip(got, plain))) == len(set(got)) == len(set(plain))
+
+
+def test_links_of_one_key_only(spark):
+    # paths whose links differ by one bit in each of the same four blocks, so that only one key holds them
+    def chain():
+        x = rng.getrandbits(64)
+        out = [x]
+        for _ in range(3):
+            for bits in ((0, 9), (9, 18), (18, 27), (27, 36)):
+                x ^= 1 << rng.randrange(*bits)
+            out.append(x)
+        return out
+    rng = random.Random(4)
+    chains = [chain() for _ in range(200)]
+    assert components_of(spark, [x for c in chains for x in c]) == {frozenset(c) for c in chains}
+
+
 def test_one_large_group(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)

@@ -76,16 +76,19 @@ def spanning_links(group: np.ndarray, first: np.ndarray, width: int,
     live, step, held = np.arange(n), 1, []
 
     def merge():
+        """Hooks roots to smaller roots until no held pair is apart; labels are roots before and after."""
         nonlocal label
         a, b = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         while True:
-            low = np.minimum(label[a], label[b])
-            if (label[a] == low).all() and (label[b] == low).all():
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            apart = low < high
+            if not apart.any():
                 break
-            for side in (label[a], label[b], a, b):
-                np.minimum.at(label, side, low)
-            label = label[label]
-        held.clear()
+            a, b = a[apart], b[apart]
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] != label).any():
+                label = label[label]
 
     while True:
         live = live[live < n - step]
@@ -102,8 +105,6 @@ def spanning_links(group: np.ndarray, first: np.ndarray, width: int,
         step += 1
     if held:
         merge()
-    while (label[label] != label).any():
-        label = label[label]
     member = np.flatnonzero(label != np.arange(n))
     return label[member], member
 
