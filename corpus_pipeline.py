@@ -39,8 +39,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from textlab.llm import secret_scan
     path = scratch_path(spark, "blob-ledger")
     secret_scan.update_ledger(docs, path, first=True)
-    found = secret_scan.findings(docs, path)
-    return secret_scan.redact(docs, found).withColumn("n_chars", F.length("text").cast("long"))
+    return secret_scan.redact_blobs(docs, path).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

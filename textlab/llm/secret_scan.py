@@ -100,32 +100,56 @@ def update_ledger(docs: DataFrame, path: str, text: str = "text", rules=RULES, f
     scan_blobs(unseen, rules).write.mode("append").parquet(path)
 
 
-def findings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """(key, findings) of every row of ``docs``, from the ledger; only the current
-    rule versions count.  Findings are ordered by start, then by the rules' order;
-    offsets are code points, ends exclusive.  No finding, null and empty texts:
-    an empty list.  Repeated rows and null keys keep their rows."""
-    spark = docs.sparkSession
+def _blob_findings(spark: SparkSession, path: str, rules) -> DataFrame:
+    """(blob, findings) of every blob with findings; only the current rule versions count."""
     order = F.create_map(*[x for i, kind in enumerate(rules) for x in (F.lit(kind), F.lit(i))])
     have = (read_ledger(spark, path).where(F.size(F.array_intersect("scanned", F.array(*map(F.lit, rule_names(rules))))) > 0)
             .groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("f")))
-    have = have.where(F.size("f") > 0).select("blob", F.transform(
+    return have.where(F.size("f") > 0).select("blob", F.transform(
         F.array_sort(F.transform("f", lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("place"), s.stop.alias("stop"), s.kind.alias("kind")))),
         lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.stop.alias("stop"))).alias("findings"))
-    # the second key makes both sides shuffles of their own, so that Spark can split a blob of very many rows
-    fold = F.pmod(F.xxhash64("blob"), F.lit(1009)).alias("fold")
+
+
+def _fold(blob_: Column) -> Column:
+    """A second key makes both sides of a join shuffles of their own, so that Spark can split a blob of very many rows."""
+    return F.pmod(F.xxhash64(blob_), F.lit(1009))
+
+
+def findings(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
+    """(key, findings) of every row of ``docs``, from the ledger; only the current
+    rule versions count.  Findings are ordered by start, then by the rules' order;
+    offsets are code points, ends exclusive.  No finding, null and empty texts:
+    an empty list.  Repeated rows and null keys keep their rows."""
+    fold = _fold(F.col("blob")).alias("fold")
+    have = _blob_findings(docs.sparkSession, path, rules)
     paths = docs.select(key, blob(F.col(text)).alias("blob")).select(key, "blob", fold)
     return paths.join(have.select("*", fold), ["blob", "fold"], "left").select(key, F.coalesce("findings", F.array().cast(SPAN)).alias("findings"))
 
 
-def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every finding's span replaced by ``mask`` (overlapping spans as one);
-    ``found``: (key, findings), one row for each key."""
-    spans = found.where(F.size("findings") > 0).select(F.col(key).alias("__key"), F.col("findings").alias("__spans"))
-    # spans in order of start: pieces between them, each from the furthest stop so far
-    state = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(
+def _masked(text: str, mask: str) -> Column:
+    """The text with the spans of ``__spans``, in order of start, replaced by ``mask``."""
+    # pieces between the spans, each from the furthest stop so far
+    return F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda s, x: F.struct(
         F.greatest(s["at"], x["stop"]).alias("at"),
         F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit(mask))).alias("out")),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every finding's span replaced by ``mask`` (overlapping spans as one);
+    ``found``: (key, findings), one row for each key.  Where keys are null or repeated,
+    use ``redact_blobs``."""
+    spans = found.where(F.size("findings") > 0).select(F.col(key).alias("__key"), F.col("findings").alias("__spans"))
     joined = docs.join(spans, F.col(key) == F.col("__key"), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(state)).select(*docs.columns)
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_masked(text, mask))).select(*docs.columns)
+
+
+def redact_blobs(docs: DataFrame, path: str, text: str = "text", rules=RULES, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every finding of the ledger replaced by ``mask`` (overlapping spans
+    as one).  Rows meet their findings by content address: every row stays one row,
+    whatever its key, and is cut at its own text's offsets."""
+    have = _blob_findings(docs.sparkSession, path, rules).select(
+        F.col("blob").alias("__b"), _fold(F.col("blob")).alias("__f"), F.col("findings").alias("__spans"))
+    rows = docs.withColumn("__blob", blob(F.col(text)))
+    joined = rows.join(have, (F.col("__blob") == F.col("__b")) & (_fold(F.col("__blob")) == F.col("__f")), "left")
+    return joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(_masked(text, mask))).select(*docs.columns)
