@@ -80,6 +80,23 @@ def test_redaction_of_null_and_repeated_keys(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((k, masked[t]) for k, t in rows), key=str)
 
 
+def test_private_key_bodies_are_masked(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "abc"] + ["Zm9v=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join([head, *lines, end])
+    locked = "\n".join([head, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, end])
+    cut = "\n".join([head, *lines])
+    escaped = head + "\\n" + "\\n".join(lines) + "\\n" + end
+    cases = {f"see {key} - end": "see [SECRET] - end", f"{locked}\nafter": "[SECRET]\nafter", cut: "[SECRET]",
+             f"{cut}\n\n{key} é": "[SECRET]\n\n[SECRET] é", f"k='{escaped}'": "k='[SECRET]'",
+             f"{head}\nis how it starts": "[SECRET]\nis how it starts", f"{key}\n{key}": "[SECRET]\n[SECRET]"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    path = scratch_path(spark, "t")
+    S.update_ledger(df, path, first=True)
+    got = {r.doc_id: r.text for r in S.redact_blobs(df, path).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_query_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
     rows = QUERIES["op9_secret_scan"](spark, SF001).collect()

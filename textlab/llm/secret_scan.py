@@ -18,13 +18,19 @@ from pyspark.sql import functions as F
 
 from .arrow import map_text, texts
 
+#: A private key from its BEGIN line to the END line before the next BEGIN; without one,
+#: to the end of the base64 text (one more word after long ones may be its last line).
+#: Possessive throughout: one pass, however many BEGIN lines have no END.
+PEM = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+       r"(?:[^-]*+(?:-(?!----(?:BEGIN |END [A-Z ]{0,40}PRIVATE KEY-----))[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+       r"|(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[rn])++[A-Za-z0-9+/=]++(?!\S))?)?")
 #: The base kinds in their order, then the kinds added here.
 #: kind -> (version, pattern, group whose length counts, least length)
 RULES = {
     "assign": (1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (1, r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (1, r"[0-9a-f]{16,}", 0, 16),
-    "pem": (1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+    "pem": (1, PEM, 0, 0),
     "jwt": (1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 }
 BASE = ("assign", "access", "hex")
