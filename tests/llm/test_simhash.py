@@ -156,3 +156,17 @@ def test_nulls_ties_repeats(spark):
     kept = S.keep_one(df)
     assert kept.columns == df.columns and sorted(kept.collect(), key=str) == sorted(df.where("doc_id in (3, 9) or text = 'one two'").collect(), key=str)
     assert S.near_groups(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group(spark):
+    import corpus_pipeline
+    rows = [(4, None, "a"), (None, "", "a"), (3, " ", "b"), (3, " ", "b"), (3, " ", "a"), (3, "", "a"), (9, "alpha beta gamma", "a"),
+            (None, "one two", "b"), (None, "one two", "a"), (None, "one  two", "a"), (None, "other words here", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_dedup(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(out.collect(), key=str)
+    assert len(got) == 4 and all(tuple(r) in rows for r in got)
+    assert [r.doc_id for r in got if r.text in ("", " ")] == [3] and sum(r.text in ("one two", "one  two") for r in got) == 1
+    assert {r.doc_id for r in got} == {3, 9, None} and got == sorted(corpus_pipeline.near_dedup(spark, df.repartition(5), "").collect(), key=str)
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0

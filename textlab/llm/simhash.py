@@ -122,13 +122,18 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     keys are never the smallest unless a component has no key.  Repeated rows
     stay, with the same component.  An empty table gives an empty table.
     """
+    return _members(docs, key, text, shingle, distance).select(F.col("__key").alias(key), "h", "fp", "component_id")
+
+
+def _members(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """(__key, h, fp, component, component_id) of every row; component: a fingerprint."""
     fps = stored(fingerprints(docs, key, text, shingle).withColumnRenamed(key, "__key"), "fingerprints")
     distinct = fps.groupBy("fp").agg(F.min("__key").alias("first"))
     found = connected_components(near_links(distinct.select("fp"), distance))
     member = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = member.join(least, "component").select("fp", "component_id")
-    return fps.join(names, "fp").select(F.col("__key").alias(key), "h", "fp", "component_id")
+    names = member.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(names, "fp")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,5 +143,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.join(stay, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h")), "left_semi")
 
 
+def keep_single(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Exactly one row of ``docs`` of each near-duplicate group, all columns as they are.
+
+    The smallest key stays (null keys come last), then the smallest hash of the
+    text, then the smallest row by its columns; rows equal in all of them are
+    alike, so it does not matter which is meant.
+    """
+    null = F.col("__key").isNull()
+    each = _members(docs, key, text).groupBy("component", "__key", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = stored(each.groupBy("component").agg(F.min(F.struct(null.alias("null"), "__key", "h", "n")).alias("s")).select(
+        F.col("s.__key").alias("__k"), F.col("s.h").alias("__h"), F.col("s.n").alias("__n")), "kept")
+
+    def of(rows):
+        return docs.join(rows, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__h")), "left_semi")
+
+    # only rows with copies are gathered by key and text
+    copies = of(first.where("__n > 1")).select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), F.struct(*docs.columns).alias("__row"))
+    one = copies.groupBy("__k", "__h").agg(F.min("__row").alias("__row")).select("__row.*")
+    return of(first.where("__n = 1")).union(one)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
