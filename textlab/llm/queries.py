@@ -116,3 +116,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ann
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@register("op13_token_store")
+def op13_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_store
+    docs, folder = read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-ids")
+    token_store.write(docs, folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_store.checksums(spark, folder).withColumnRenamed("key", "doc_id")
