@@ -23,7 +23,6 @@ import hashlib
 import os
 import re
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,14 +38,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .arrow import slices, texts
+from .latin import beyond_latin, latin_words
 from .remember import Remembered
 
 MAGIC = b"TOKENID1"
 HEADER, FOOTER = struct.Struct("<8sI32s"), struct.Struct("<QQ8s")
 DICTIONARY = "dictionary.zstd"
 #: Largest dictionary in bytes; it is trained on the ids of one window of
-#: ``SAMPLE_CHARS`` characters from each of at most ``SAMPLE`` documents (those first in
-#: hash order).  It decides sizes only, never what is read back.
+#: ``SAMPLE_CHARS`` characters from each of at most ``SAMPLE`` texts (those first in hash
+#: order).  It decides sizes only, never what is read back.
 DICTIONARY_BYTES, SAMPLE, SAMPLE_CHARS = 64 << 10, 2000, 2048
 LEVEL = 3
 #: Words in one generation of a worker's memory.
@@ -65,11 +65,6 @@ def _store(folder: str) -> tuple[pafs.FileSystem, str]:
 
 # --- ids of whole texts ---
 
-def _class(initial: str, top: int = 0x250) -> str:
-    """Characters below ``top`` whose Unicode category starts with ``initial``, for a pattern."""
-    return "".join(f"\\u{c:04x}" for c in range(top) if unicodedata.category(chr(c))[0] == initial)
-
-
 class ByteIds:
     """Ids of whole texts by a byte-level tokenizer file, through the tokenizers library.
 
@@ -88,15 +83,11 @@ class ByteIds:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.end = np.array([end_id], self.kind).tobytes()
-        letter, number, space = _class("L"), _class("N"), r"\x09-\x0d\x20\x85\xa0"
-        self.words = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+"
-                                f"|[{space}]+(?![^{space}])|[{space}]+").findall
-        self.other = re.compile("[^\\x00-\\u024f]").search
         self.memory = Remembered(self.learn, REMEMBERED)
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """Each text's ids and the end id as little-endian integers of ``width`` bytes."""
-        cut = [None if self.other(d) or "<|" in d else self.words(d) for d in docs]
+        cut = [None if beyond_latin(d) or "<|" in d else latin_words(d) for d in docs]
         get = self.memory.of(w for w in cut if w is not None).__getitem__
         return [(self._library([d])[0] if w is None else b"".join(map(get, w))) + self.end for d, w in zip(docs, cut)]
 
@@ -142,11 +133,15 @@ def train_dictionary(arrays: list[bytes], size: int = DICTIONARY_BYTES) -> bytes
 
 
 def dictionary_sample(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> list[bytes]:
-    """Serialised ids of one window a document, of the ``SAMPLE`` documents first in hash order."""
+    """Serialised ids of one window a document, of about ``SAMPLE`` different texts first in hash order.
+
+    Their share of the hash range follows from the number of rows, so few rows leave the tasks."""
+    share = min(2 * SAMPLE / max(docs.count(), 1), 1.0)
     place = F.pmod(F.xxhash64(F.length(text), F.lit(3)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    window = docs.where(F.length(text) > 0).select(F.substring(F.col(text), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"),
-                                                   F.xxhash64(key, F.lit(17)).alias("at"))
-    rows = window.orderBy("at", "window").limit(SAMPLE).collect()  # bounded: SAMPLE x SAMPLE_CHARS characters
+    at = F.shiftright(F.xxhash64(text, F.lit(17)), 1)
+    window = docs.where(F.length(text) > 0).select(F.substring(F.col(text), place.cast("int"), F.lit(SAMPLE_CHARS)).alias("window"), at.alias("at"))
+    few = window.where(F.abs("at") < int(share * (1 << 62))).groupBy("at").agg(F.min("window").alias("window"))
+    rows = few.orderBy("at").limit(SAMPLE).collect()  # bounded: SAMPLE x SAMPLE_CHARS characters
     return byte_ids(path, end_id).encode([r["window"] for r in rows])
 
 
