@@ -5,9 +5,9 @@ chunks wherever they stand.  Every chunk gets an identifier (a digest) that is
 verified: the distinct (identifier, chunk text) pairs are gathered once, and an
 identifier that stands for two texts sends the whole step to another digest.
 A document is then its recipe, the ordered list of identifiers, 16 bytes for
-each chunk instead of some hundred characters.  Only recipes are grouped and
-joined: a long text crosses the network once, as chunks that each task has
-already made distinct.
+each chunk instead of some hundred characters.  Texts are cut once, into a stored
+table.  Only recipes are grouped and joined: a long text crosses the network
+once, as chunks that each task has already made distinct.
 
 Only DataFrame functions are used.
 """
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch_path
+
 #: Shortest and longest chunk in characters.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 ROUNDS = 4
@@ -52,10 +54,18 @@ def digest(chunk: Column, round_no: int) -> Column:
     return F.unhex(F.md5(chunk if round_no == 0 else F.concat(F.lit(f"{round_no}:"), chunk)))
 
 
-def _verified(texts: DataFrame, round_no: int, identify) -> bool:
+def _recipes(texts: DataFrame, round_no: int, identify) -> DataFrame:
+    """(__key, text_sha256, __recipe, __chunks), written once: texts are cut in one pass."""
+    path = scratch_path(texts.sparkSession, "recipes")
+    cut = texts.select("__key", F.sha2("__text", 256).alias("text_sha256"), chunks(F.col("__text")).alias("__chunks"))
+    cut.select("__key", "text_sha256", F.transform("__chunks", lambda c: identify(c, round_no)).alias("__recipe"), "__chunks").write.parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
+def _verified(recipes: DataFrame) -> bool:
     """True if no identifier stands for two different chunks anywhere."""
-    pairs = (texts.select(F.explode(chunks(F.col("__text"))).alias("chunk"))
-             .select(identify(F.col("chunk"), round_no).alias("id"), "chunk").distinct())
+    pairs = recipes.select(F.explode(F.arrays_zip("__recipe", "__chunks")).alias("c")).select(
+        F.col("c.__recipe").alias("id"), F.col("c.__chunks").alias("chunk")).distinct()
     return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0
 
 
@@ -69,16 +79,17 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", ident
     An empty table gives an empty table; other columns are not read.
     """
     texts = docs.select(F.col(key).alias("__key"), normalised(F.col(text)).alias("__text"))
-    round_no = 0
-    while not _verified(texts, round_no, identify):
-        round_no += 1
-        if round_no == ROUNDS:
-            raise ValueError(f"no verified identifiers in {ROUNDS} rounds")
-    recipes = texts.select("__key", F.sha2("__text", 256).alias("text_sha256"),
-                           F.transform(chunks(F.col("__text")), lambda c: identify(c, round_no)).alias("__recipe"))
-    # the second key makes both sides shuffles of their own, so that Spark can split a very large group
-    fold = F.pmod(F.xxhash64("__recipe"), F.lit(1009)).alias("__fold")
-    groups = recipes.groupBy("__recipe").agg(F.min("__key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("*", fold)
-    return recipes.select("*", fold).join(groups, ["__recipe", "__fold"]).select(
+    for round_no in range(ROUNDS):
+        recipes = _recipes(texts, round_no, identify)
+        if _verified(recipes):
+            break
+    else:
+        raise ValueError(f"no verified identifiers in {ROUNDS} rounds")
+    # only identifiers are read from here on; the second key makes both sides shuffles of
+    # their own, so that Spark can split a very large group
+    recipes = recipes.select("__key", "text_sha256", "__recipe", F.pmod(F.xxhash64("__recipe"), F.lit(1009)).alias("__fold"))
+    groups = recipes.groupBy("__recipe").agg(F.min("__key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select(
+        "*", F.pmod(F.xxhash64("__recipe"), F.lit(1009)).alias("__fold"))
+    return recipes.join(groups, ["__recipe", "__fold"]).select(
         F.col("__key").alias(key), "keep_id", "group_size",
         F.col("__key").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
