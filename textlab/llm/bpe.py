@@ -9,6 +9,7 @@ only words with a failing pair are merged step by step.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from functools import lru_cache
@@ -19,14 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .arrow import list_column, map_text, texts
-
-#: Unicode white space, and the words of a byte-level tokenizer.
-SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+from .latin import beyond_latin, latin_words
+from .remember import Remembered
 
 NEVER = np.int64(1) << 40
-#: Distinct chunks whose ids one Python worker remembers; it starts anew beyond that.
-REMEMBERED = 250_000
+#: Distinct words in one generation of a Python worker's memory.
+REMEMBERED = 300_000
 #: Longer words (in bytes) are merged one by one, with a heap.
 LONG = 48
 
@@ -100,11 +99,11 @@ class Codec:
         self._build_trie([*self.byte_id.values(), *made[own].tolist()])
         names = "|".join(map(regex.escape, self.special))
         self.split_special = regex.compile(f"({names})").split if names else None
-        self.words = regex.compile(WORDS).findall
-        self.chunks = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.first_id = np.array([self.byte_id[b] for b in range(256)], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.memory = Remembered(self.learn, REMEMBERED)
         self.path, self._library = path, None
+        size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+        self.spelled = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(size) - size, size
 
     def _build_trie(self, ids: list[int]) -> None:
         step, token = {}, [-1]
@@ -245,55 +244,51 @@ class Codec:
         order = np.argsort(owner, kind="stable")
         return tokens[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
 
-    def split_words(self, chunk: str) -> list[str]:
-        if chunk.isascii() or max(chunk) < "ɐ":
-            body = chunk[1:] if chunk[0] == " " else chunk
-            if body.isalpha():
-                return [chunk]
-            if body[:-1].isalpha() and body[-1] in ".,;:!?|":
-                return [chunk[:-1], chunk[-1]]
-            return self.words(chunk)
+    def words(self, text: str) -> list[str]:
+        """The words of a text, special tokens among them."""
+        if self.split_special and "<|" in text:
+            return [w for p in self.split_special(text) if p for w in ([p] if p in self.special else self._plain(p))]
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[str]:
+        if not beyond_latin(text):
+            return latin_words(text)
         # other scripts: the library's own tables of letters and digits
         if self._library is None:
             from tokenizers import Tokenizer
             self._library = Tokenizer.from_file(self.path).pre_tokenizer
-        return [chunk[a:b] for _, (a, b) in self._library.pre_tokenize_str(chunk)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Remember the ids of new chunks.  A chunk (white space and what follows
-        up to the next white space) is encoded alike wherever it stands."""
-        words: dict[str, int] = {}
-        number, special = words.setdefault, self.special
-        plan = []
-        for chunk in chunks:
-            if self.split_special and "<|" in chunk:
-                parts = [(special[p],) if p in special else number(w, len(words)) for p in self.split_special(chunk) if p
-                         for w in ([p] if p in special else self.split_words(p))]
-            else:
-                parts = [number(w, len(words)) for w in self.split_words(chunk)]
-            plan.append(parts)
-        tokens, bounds = self.encode_words([w.encode() for w in words])
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+
+    def learn(self, words: set[str]):
+        """(word, ids) of new words; no ordinary word spells a special token."""
+        plain = [w for w in words if w not in self.special]
+        tokens, bounds = self.encode_words([w.encode() for w in plain])
         blob, bounds = tokens.tobytes(), (bounds * 4).tolist()
-        for chunk, parts in zip(chunks, plan):
-            if len(parts) == 1 and type(parts[0]) is int:
-                self.known[chunk] = blob[bounds[parts[0]]:bounds[parts[0] + 1]]
-            else:
-                self.known[chunk] = b"".join([blob[bounds[p]:bounds[p + 1]] if type(p) is int else np.array(p, np.int32).tobytes() for p in parts])
+        yield from ((w, blob[a:b]) for w, a, b in zip(plain, bounds, bounds[1:]))
+        yield from ((w, np.array([self.special[w]], np.int32).tobytes()) for w in words if w in self.special)
 
     def encode(self, docs: list[str]) -> list[bytes]:
         """int32 ids of each text."""
-        cut = [self.chunks(d) for d in docs]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
-        if new:
-            self.learn(new)
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        cut = [self.words(d) for d in docs]
+        get = self.memory.of(cut).__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        data, first, size = self.spelled
+        n = size[ids]
+        at = np.repeat(first[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return data[at].tobytes().decode("utf-8", "replace")
+
+
+def decimals(ids: np.ndarray) -> bytes:
+    """Numbers below a million as decimal text, joined by commas."""
+    digits = np.full((len(ids), 7), ord(","), np.uint8)
+    for k in range(6):
+        digits[:, k] = ids // 10 ** (5 - k) % 10 + ord("0")
+    shown = np.ones(digits.shape, bool)
+    for k in range(5):
+        shown[:, k] = ids >= 10 ** (5 - k)
+    return digits[shown].tobytes()[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -326,7 +321,23 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
             lists = batch.column(ids)
             for a in range(0, batch.num_rows, 256):
                 part = lists.slice(a, 256)
-                out = [codec(path).decode(row.values.to_pylist() if row.is_valid else []) for row in part]
+                out = [codec(path).decode(row.values.to_numpy() if row.is_valid else np.zeros(0, np.int64)) for row in part]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, 256), pa.array(out, pa.string())], [key, "text"])
 
     return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+
+
+def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): every whole text encoded, and its ids
+    decoded again, with the hashes of the decimal ids (joined by commas) and of the
+    decoded text.  Rows as in ``encode``; only the hashes leave the task."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def step(batch):
+        own = codec(path)
+        ids = [np.frombuffer(i, np.int32) for i in own.encode([t.decode() for t in texts(batch.column(text))])]
+        return pa.RecordBatch.from_arrays([
+            batch.column(key), pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(decimals(i)).hexdigest() for i in ids]),
+            pa.array([hashlib.sha256(own.decode(i).encode()).hexdigest() for i in ids])], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return map_text(docs, [key, text], text, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", step)

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .arrow import map_text, texts
+from .remember import Remembered
 
 CAPACITY = 4096
 #: Pieces in one group, about; the work of a group is bounded by it.
 GROUP = 4096
-#: Distinct words whose ids one Python worker remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+#: Distinct words in one generation of a Python worker's memory.
+REMEMBERED = 300_000
 
 
 class WordIds:
@@ -45,7 +46,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Remembered(self.learn, REMEMBERED)
         self.end = np.array([end_id], "<u4").tobytes()
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
@@ -54,19 +55,21 @@ class WordIds:
         ASCII capitals are lowered first, as the tokenizer would, but not where
         the text may hold a special token's string."""
         words = [(d if b"<|" in d else d.lower()).split() for d in docs]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            self.learn(new)
-        get = known.__getitem__
+        get = self.memory.of(words).__getitem__
         return [b"".join(map(get, ws)) + self.end for ws in words]
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """ids of new words."""
         # a full stop or comma behind an ASCII letter or digit is a word of its own
         tailed = [w for w in words if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
-        words = words.difference(tailed).union(w[:-1] for w in tailed).union((b".", b",")) - self.known.keys()
+        known: dict[bytes, bytes] = {}
+        words = words.difference(tailed)
+        for w in (b".", b",", *(w[:-1] for w in tailed)):
+            held = self.memory.get(w)
+            if held is None:
+                words.add(w)
+            else:
+                known[w] = held
         text = {w: w.decode() for w in words}
         plain = [w for w, t in text.items() if t.lower().isalpha() and (t.isascii() or max(t) < "\u0250")]
         for a in range(0, len(plain), 4096):
@@ -76,13 +79,14 @@ class WordIds:
                 continue
             bounds = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
             ids = np.array(e.ids, "<u4").tobytes()
-            self.known.update((w, ids[4 * b:4 * c]) for w, b, c in zip(part, bounds, bounds[1:]))
-        other = [w for w in words if w not in self.known]
+            known.update((w, ids[4 * b:4 * c]) for w, b, c in zip(part, bounds, bounds[1:]))
+        other = [w for w in words if w not in known]
         for a in range(0, len(other), 4096):
             part = other[a:a + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch([text[w] for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        self.known.update((w, self.known[w[:-1]] + self.known[w[-1:]]) for w in tailed)
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        known.update([(w, known[w[:-1]] + known[w[-1:]]) for w in tailed])
+        return known
 
 
 @lru_cache(maxsize=2)

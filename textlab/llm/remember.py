@@ -19,6 +19,11 @@ class Remembered:
         self.young: dict = {}
         self.old: dict = {}
 
+    def get(self, key):
+        """The key's value, if it is remembered."""
+        value = self.young.get(key)
+        return self.old.get(key) if value is None else value
+
     def of(self, batch: Iterable[Iterable]) -> dict:
         """A dictionary that holds at least the keys of the lists in ``batch``."""
         if len(self.young) > self.size:
