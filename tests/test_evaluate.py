@@ -89,11 +89,33 @@ def test_exact_percentiles_match_numpy(spark):
     rows = [("hot", 7.0) for _ in range(300)] + [("hot", float(x)) for x in rng.integers(0, 50, 200)]
     rows += [("one", 3.5)] + [("cont", float(x)) for x in rng.normal(size=257)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {(r.g, r.p): r.q for r in exact_percentiles(df, "g", "v", [0.0, 0.25, 0.5, 0.9, 1.0], n_buckets=16).collect()}
-    for g in ("hot", "one", "cont"):
-        vals = np.array([v for gg, v in rows if gg == g])
-        for p in (0.0, 0.25, 0.5, 0.9, 1.0):
-            assert math.isclose(got[(g, p)], float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
+    for accuracy in (30, 100, 20_000):
+        got = {(r.g, r.p): r.q for r in exact_percentiles(df, "g", "v", [0.0, 0.25, 0.5, 0.9, 1.0], accuracy).collect()}
+        for g in ("hot", "one", "cont"):
+            vals = np.array([v for gg, v in rows if gg == g])
+            for p in (0.0, 0.25, 0.5, 0.9, 1.0):
+                assert math.isclose(got[(g, p)], float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_quartiles_of_all_columns_take_two_readings(spark, tmp_path):
+    import numpy as np
+    from textlab.operators.profile import describe_by_label, exact_quantiles
+    rng = np.random.default_rng(3)
+    rows = [(g, int(a), float(b) if a % 7 else None) for g in ("x", None) for a, b in zip(rng.integers(0, 30, 400), rng.normal(size=400))] + [("empty", None, None)]
+    spark.createDataFrame(rows, "g string, a int, b double").repartition(5).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = exact_quantiles(df, "g", ["a", "b"], [0.25, 0.5, 0.99], 50)
+    got = {(r.g, r.col, r.p): r.q for r in found.collect()}
+    for g in ("x", None):
+        for i, c in ((1, "a"), (2, "b")):
+            vals = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            for p in (0.25, 0.5, 0.99):
+                assert math.isclose(got.pop((g, c, p)), float(np.percentile(vals, p * 100)), rel_tol=1e-12, abs_tol=1e-12)
+    assert not got
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+    described = {r.g: r for r in describe_by_label(df, "g", ["a", "b"]).collect()}
+    assert described["empty"].a_count == 0 and described["empty"].b_p50 is None and described["x"].a_p50 == np.percentile([r[1] for r in rows if r[0] == "x"], 50)
 
 
 def test_prob_xent(spark):

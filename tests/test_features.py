@@ -59,14 +59,34 @@ def test_scaling_constant_columns(spark):
 
 def test_lsa_matches_numpy_svd(spark):
     rng = np.random.default_rng(0)
-    X = rng.random((30, 8))
-    from pyspark.ml.linalg import Vectors
-    df = spark.createDataFrame([(i, Vectors.dense(row.tolist())) for i, row in enumerate(X)], ["id", "v"])
-    out, s = FE.lsa(df, "id", "v", 3)
+    X = rng.random((30, 8)) * (rng.random((30, 8)) < 0.6)
+    X[4] = 0
+    rows = [(i, "kept", np.flatnonzero(x).astype(int).tolist(), x[x != 0].tolist()) for i, x in enumerate(X)]
+    df = spark.createDataFrame(rows, "id long, other string, idx array<int>, val array<double>")
+    out, s = FE.lsa(df, "id", 3)
     sv = np.linalg.svd(X, compute_uv=False)[:3]
-    assert np.allclose(s, sv, rtol=1e-6)
-    us = np.array([r.lsa.toArray() for r in out.orderBy("id").collect()])
+    assert np.allclose(s, sv, rtol=1e-6) and out.columns == ["id", "other", "lsa"]
+    us = np.array([r.lsa for r in out.orderBy("id").collect()])
     assert np.allclose(np.abs(us), np.abs(np.linalg.svd(X)[0][:, :3] * sv), rtol=1e-5, atol=1e-8)
+    # directions of some rows only, all rows projected on them
+    out, s = FE.lsa(df, "id", 3, fit_on=F.col("id") < 20)
+    _, sv, vt = np.linalg.svd(X[:20])
+    us = np.array([r.lsa for r in out.orderBy("id").collect()])
+    assert np.allclose(s, sv[:3], rtol=1e-6) and np.allclose(np.abs(us), np.abs(X @ vt[:3].T), rtol=1e-5, atol=1e-8)
+    assert FE.lsa(df.limit(0), "id", 3)[0].count() == 0
+
+
+def test_tfidf_rows_equal_the_vectors(spark):
+    docs = _docs(spark).unionByName(spark.createDataFrame([(9, []), (10, ["unseen"])], "id long, tokens array<string>"))
+    for fit_on in (None, docs.where("id < 3")):
+        vec, _ = FE.tfidf_vectors(docs, "id", "tokens", 4, fit_on=fit_on)
+        want = {r.id: r.tfidf.toArray().tolist() for r in vec.collect()}
+        for r in FE.tfidf_rows(docs, "id", "tokens", 4, fit_on=fit_on).collect():
+            got = [0.0] * len(want[r.id])
+            for i, v in zip(r.idx, r.val):
+                got[i] = v
+            assert np.allclose(got, want.pop(r.id))
+        assert not want
 
 
 def test_padding_edges(spark):

@@ -53,7 +53,7 @@ RE_CLOUD_WORD = WORD_CHAR + "(?:" + WORD_CHAR + "|')*"
 KERAS_FILTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: label dictionaries of the analysed experiments
+# FIXED VALUES: domain words of the analysed experiments
 # ---------------------------------------------------------------------------
 
 # domain words appended to the base stop-word list

@@ -135,26 +135,31 @@ def compose_lexicons(lexicons: Sequence[DataFrame], lower_lookup: bool = True) -
     return cur.where(F.col("__v").isNotNull()).select(F.col("__p").alias("src"), F.col("__v").alias("dst"))
 
 
-def lexicon_translate(df: DataFrame, key: str, text: str, lexicons: Sequence[DataFrame],
-                      out: str = "translated", lower_lookup: bool = True) -> DataFrame:
-    """Per-word substitution through one or more lexicons (src, dst) applied in
-    order; unknown words are kept, word order is kept, words are re-joined by
-    one space.  A text without words becomes ''.
+def translations(df: DataFrame, key: str, text: str, lexicons: Sequence[DataFrame],
+                 out: str = "translated", lower_lookup: bool = True) -> DataFrame:
+    """(key, out): per-word substitution through one or more lexicons (src, dst) applied in
+    order; unknown words are kept, word order is kept, words are re-joined by one
+    space.  A text without words becomes ''.
 
     Several legs are composed on the dictionary side first, so the exploded
     token stream is joined exactly once.  The lexicon join is a plain join:
     AQE broadcasts it when the materialised dictionary is small and keeps a
-    skew-split sort-merge join otherwise.
+    skew-split sort-merge join otherwise.  Only keys and tokens move: a text
+    without words keeps one row of nulls, and nothing is joined back.
     """
     lex = lexicons[0] if len(lexicons) == 1 else compose_lexicons(lexicons, lower_lookup)
-    t = TX.explode_tokens(df, [key], TX.tokenize_ws(text), "w", pos="pos")
+    t = df.select(key, F.posexplode_outer(TX.tokenize_ws(text)).alias("pos", "w"))
     probe = F.lower("w") if lower_lookup else F.col("w")
     lx = lex.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
-    t = t.withColumn("__src", probe).join(lx, "__src", "left") \
-         .withColumn("w", F.coalesce(F.col("__dst"), F.col("w"))).drop("__src", "__dst")
-    coll = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("__s"))
-    coll = coll.select(key, F.array_join(F.transform("__s", lambda x: x["w"]), " ").alias(out))
-    return df.join(coll, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    t = t.join(lx, probe == F.col("__src"), "left").select(key, "pos", F.coalesce("__dst", "w").alias("w"))
+    words = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "w"))))
+    return t.groupBy(key).agg(words.alias("__s")).select(key, F.array_join(F.transform("__s", lambda x: x["w"]), " ").alias(out))
+
+
+def lexicon_translate(df: DataFrame, key: str, text: str, lexicons: Sequence[DataFrame],
+                      out: str = "translated", lower_lookup: bool = True) -> DataFrame:
+    """``df`` with its texts' ``translations``; keys are unique."""
+    return df.join(translations(df, key, text, lexicons, out, lower_lookup), key)
 
 
 def back_translate(df: DataFrame, key: str, text: str, legs: Sequence[DataFrame],
@@ -184,36 +189,41 @@ def bt_diversity(a: Column, b: Column) -> tuple[Column, Column]:
     return jac, changed
 
 
-STYLES = ("natural", "augment", "1pBT", "2pBT")
+#: Training styles and the variants of the training texts that each one holds.
+STYLE_VARIANTS = {"natural": ("original",), "augment": ("original", "augmented"), "1pBT": ("original", "bt_1p"), "2pBT": ("original", "bt_2p")}
+STYLES = tuple(STYLE_VARIANTS)
 
 
-def adjust_data(par: DataFrame, key: str, label: str, val_frac: float = 0.2, seed=42,
-                aug_frac: float = 0.49, aug_seed=42) -> DataFrame:
-    """One table holding every style's training set and the shared validation set.
+def variants(par: DataFrame, key: str, label: str, val_frac: float = 0.2, seed=42, aug_frac: float = 0.49, aug_seed=42) -> DataFrame:
+    """Every text of every style once: (split, src_id, variant, label, text).
 
-    ``par`` has (key, label, text, bt1, bt2): originals and their 1-phase /
-    2-phase back-translations.  The validation rows are originals only (no
-    copy of a validation text enters training).  Output columns:
-    (style, split, src_id, variant, label, text).
+    ``par`` has (key, label, text, bt1, bt2): originals and their 1-phase / 2-phase
+    back-translations.  Validation rows are originals only (no copy of a validation
+    text enters training).  A row's variants come from one reading of it.
     """
     s = S.holdout_split(par, key, val_frac, seed)
-    val = s.where(F.col("split") == "val")
-    train = s.where(F.col("split") == "train")
-
-    def rows(d, style, split, variant, col):
-        return d.select(F.lit(style).alias("style"), F.lit(split).alias("split"), F.col(key).alias("src_id"),
-                        F.lit(variant).alias("variant"), label, F.col(col).alias("text"))
-
-    parts = []
-    for style in STYLES:
-        parts.append(rows(val, style, "val", "original", "text"))
-        parts.append(rows(train, style, "train", "original", "text"))
-    aug = with_augment_text(S.sample_frac(train.select(key, label, "text"), key, aug_frac, aug_seed),
-                            "text", key, aug_seed, "__aug").drop("text").withColumnRenamed("__aug", "text")
-    parts.append(rows(aug, "augment", "train", "augmented", "text"))
-    parts.append(rows(train, "1pBT", "train", "bt_1p", "bt1"))
-    parts.append(rows(train, "2pBT", "train", "bt_2p", "bt2"))
-    return J.union_all(*parts)
+    train = F.col("split") == "train"
+
+    def variant(name, col):
+        return F.struct(F.lit(name).alias("variant"), F.col(col).alias("text"))
+
+    kinds = F.when(train, F.array(variant("original", "text"), variant("bt_1p", "bt1"), variant("bt_2p", "bt2"))).otherwise(
+        F.array(variant("original", "text")))
+    own = s.select("split", F.col(key).alias("src_id"), label, F.explode(kinds).alias("v")).select("split", "src_id", "v.variant", label, "v.text")
+    aug = with_augment_text(S.sample_frac(s.where(train).select(key, label, "text"), key, aug_frac, aug_seed), "text", key, aug_seed, "__aug")
+    return own.unionByName(aug.select(F.lit("train").alias("split"), F.col(key).alias("src_id"), F.lit("augmented").alias("variant"), label,
+                                      F.col("__aug").alias("text")))
+
+
+def adjust_data(par: DataFrame, key: str, label: str, val_frac: float = 0.2, seed=42,
+                aug_frac: float = 0.49, aug_seed=42) -> DataFrame:
+    """One table holding every style's training set and the shared validation set:
+    (style, split, src_id, variant, label, text).  A variant names the styles that
+    hold it; rows are read once, not once per style."""
+    of = F.create_map(*[x for v in {v for vs in STYLE_VARIANTS.values() for v in vs}
+                        for x in (F.lit(v), F.array(*[F.lit(s) for s, vs in STYLE_VARIANTS.items() if v in vs]))])
+    rows = variants(par, key, label, val_frac, seed, aug_frac, aug_seed)
+    return rows.select(F.explode(of[F.col("variant")]).alias("style"), "split", "src_id", "variant", label, "text")
 
 
 def style_grid(adjusted: DataFrame, label: str) -> DataFrame:

@@ -19,10 +19,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,11 +88,15 @@ def tfidf_topk(docs: DataFrame, key: str, tokens: str | Column, k: int, digits:
     """TF-IDF over the k most frequent terms (sklearn ``max_features``): the
     vocabulary is restricted first (broadcast semi join, k rows), then idf and
     the L2 norm are computed over the kept terms."""
-    tf = tf_count(docs, key, tokens)
+    return tfidf_topk_of(tf_count(docs, key, tokens), key, k, F.lit(docs.agg(F.count(F.lit(1))).scalar()), digits)
+
+
+def tfidf_topk_of(tf: DataFrame, key: str, k: int, n_docs: Column, digits: int | None = None) -> DataFrame:
+    """``tfidf_topk`` of counted terms; the k idf values are broadcast, so counts that are
+    partitioned by document stay where they are."""
     keep = F.broadcast(top_terms(tf, k).select("term"))
     tfk = tf.join(keep, "term", "left_semi")
-    n = F.lit(docs.agg(F.count(F.lit(1))).scalar())
-    return tfidf_transform(tfk, key, idf_table(tfk, key, n), digits)
+    return tfidf_transform(tfk, key, F.broadcast(idf_table(tfk, key, n_docs).select("term", "idf")), digits)
 
 
 # --- scaling -------------------------------------------------------------------
@@ -168,13 +170,43 @@ def assemble_features(df: DataFrame, inputs: Sequence[str], out: str = "features
 
 #: Passes of the subspace iteration over the rows, and extra directions it carries.
 LSA_PASSES, LSA_EXTRA = 5, 10
+#: Entries of rows that one vectorised step multiplies.
+LSA_STEP = 1 << 16
 
 
-def _sparse(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, index, value) of the non-zero entries of a list column of dense rows."""
-    dense = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-    row, index = np.nonzero(dense)
-    return np.searchsorted(row, np.arange(len(column) + 1)), index, dense[row, index]
+def tfidf_rows(docs: DataFrame, key: str, tokens: str, k: int, fit_on: DataFrame | None = None) -> DataFrame:
+    """(key, idx array<int>, val array<double>): TF-IDF over the top-k terms of ``fit_on``
+    (default ``docs``), as sparse rows, idx in ascending order.  Every document is kept."""
+    src = fit_on if fit_on is not None else docs
+    fitted = tf_count(src, key, tokens)
+    top = F.broadcast(top_terms(fitted, k).select("term", "term_idx"))   # k rows
+    idf = idf_table(fitted.join(top.select("term"), "term", "left_semi"), key, F.lit(src.count()))
+    weights = tfidf_transform(tf_count(docs, key, tokens).join(top.select("term"), "term", "left_semi"), key, idf).join(top, "term")
+    rows = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term_idx", "weight"))).alias("__own"))
+    none = F.array().cast("array<struct<term_idx:int,weight:double>>")
+    own = docs.select(key).join(rows, key, "left").select(key, F.coalesce("__own", none).alias("__own"))
+    return own.select(key, F.col("__own.term_idx").alias("idx"), F.col("__own.weight").alias("val"))
+
+
+def _entries(batch: pa.RecordBatch):
+    """(rows, owner, index, value) of the entries of some sparse rows, ``LSA_STEP`` entries (or one row) at a time."""
+    idx, val = batch.column("idx"), batch.column("val")
+    at = idx.offsets.to_numpy().astype(np.int64)
+    at, index, value = at - at[0], idx.flatten().to_numpy(), val.flatten().to_numpy()
+    a, n = 0, batch.num_rows
+    while a < n:
+        b = max(int(np.searchsorted(at, at[a] + LSA_STEP, "right")) - 1, a + 1)
+        yield slice(a, b), np.repeat(np.arange(b - a), np.diff(at[a:b + 1])), index[at[a]:at[b]], value[at[a]:at[b]]
+        a = b
+
+
+def _times(owner, index, value, v: np.ndarray, rows: int) -> np.ndarray:
+    """X V of some sparse rows."""
+    out = np.zeros((rows, v.shape[1]))
+    if len(owner):
+        head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[head]] = np.add.reduceat(v[index] * value[:, None], head)
+    return out
 
 
 def _gram_product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
@@ -191,13 +223,14 @@ def _gram_product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
 
     def product(batches):
         total = np.zeros((n, width))
-        for b in batches:
-            idx, val = b.column("idx"), b.column("val")
-            first = idx.offsets.to_numpy().astype(np.int64) - idx.offsets[0].as_py()
-            index, value = idx.flatten().to_numpy(), val.flatten().to_numpy()
-            for i in range(len(first) - 1):
-                c, w = index[first[i]:first[i + 1]], value[first[i]:first[i + 1]]
-                total[c] += np.outer(w, w @ v[c])
+        for batch in batches:
+            for part, owner, index, value in _entries(batch):
+                y = _times(owner, index, value, v, part.stop - part.start)
+                order = np.argsort(index, kind="stable")
+                if len(order):
+                    col = index[order]
+                    head = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
+                    total[col[head]] += np.add.reduceat(y[owner[order]] * value[order][:, None], head)
         yield from out(total)
 
     def add(batches):
@@ -213,38 +246,41 @@ def _gram_product(rows: DataFrame, v: np.ndarray) -> np.ndarray:
     return total
 
 
-def lsa(df: DataFrame, key: str, vec: str, k: int, out: str = "lsa") -> tuple[DataFrame, list[float]]:
-    """Truncated SVD (uncentred, like sklearn TruncatedSVD): rows X V = U S.
+def lsa(rows: DataFrame, key: str, k: int, fit_on: Column | None = None, out: str = "lsa") -> tuple[DataFrame, list[float]]:
+    """Truncated SVD (uncentred, like sklearn TruncatedSVD) of sparse rows (key, idx, val):
+    the rows of U S as ``out`` array<double>, with all other columns, and the singular values.
 
-    Randomised subspace iteration: ``LSA_PASSES`` + 1 passes over the rows, kept
-    once as sparse arrays below the checkpoint folder.  A pass multiplies a
-    (columns x (k + ``LSA_EXTRA``)) block by X'X; the block is all that reaches the
-    driver, bounded by the vocabulary cap.  The projection is row-local.
+    Randomised subspace iteration: ``LSA_PASSES`` + 1 passes over the rows, which are
+    written once below the checkpoint folder and are never dense.  A pass
+    multiplies a (columns x (k + ``LSA_EXTRA``)) block by X'X; the block is all that
+    reaches the driver, bounded by the vocabulary cap.  ``fit_on``: the rows (a
+    condition) that the directions come from; all rows are projected.  Each direction
+    points to where its largest entry (the first of equal ones) is positive.
     """
-    dense = df.select(vector_to_array(vec).alias("x"))
-    n = (dense.select(F.size("x").alias("n")).first() or [0])[0]
-    if not n:
-        return df.withColumn(out, array_to_vector(F.array().cast("array<double>"))), []
-
-    def to_sparse(batches):
-        for b in batches:
-            first, index, value = _sparse(b.column("x"))
-            at = pa.array(first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(at, pa.array(index.astype(np.int32))),
-                                              pa.ListArray.from_arrays(at, pa.array(value))], ["idx", "val"])
-
-    path = scratch_path(df.sparkSession, "lsa-rows")
-    dense.mapInArrow(to_sparse, "idx array<int>, val array<double>").write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
+    path = scratch_path(rows.sparkSession, "lsa-rows")
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.parquet(path)
+    fitted = rows.where(fit_on) if fit_on is not None else rows
+    n = (fitted.agg(F.max(F.array_max("idx"))).first()[0] or 0) + 1
+    kept = fitted.select("idx", "val")
     v = np.linalg.qr(np.random.default_rng(42).normal(size=(n, min(n, k + LSA_EXTRA))))[0]
     for _ in range(LSA_PASSES):
-        v = np.linalg.qr(_gram_product(rows, v))[0]
-    values, turn = np.linalg.eigh(v.T @ _gram_product(rows, v))
+        v = np.linalg.qr(_gram_product(kept, v))[0]
+    values, turn = np.linalg.eigh(v.T @ _gram_product(kept, v))
     best = np.argsort(-values)[:k]
     v, singular = v @ turn[:, best], np.sqrt(np.maximum(values[best], 0))
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(x.to_numpy()) @ v)) if len(x) else pd.Series([], dtype=object)
-
-    return df.withColumn(out, array_to_vector(project(vector_to_array(vec)))), singular.tolist()
+    v = v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+
+    def project(batches):
+        for batch in batches:
+            parts = []
+            for part, owner, index, value in _entries(batch):
+                known = index < n
+                parts.append(_times(owner[known], index[known], value[known], v, part.stop - part.start))
+            y = np.concatenate(parts) if parts else np.zeros((0, v.shape[1]))
+            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(y) + 1) * v.shape[1]).astype(np.int32)), pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), lists], [*names, out])
+
+    names = [c for c in rows.columns if c not in ("idx", "val")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
+    return rows.mapInArrow(project, f"{schema}, `{out}` array<double>"), singular.tolist()

@@ -9,27 +9,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bits of the membership filter for each wanted key, and its largest size (64 MB): a
+#: larger set of keys has no filter, and every row takes the join.
+BITS_PER_KEY, MOST_BITS = 8, 1 << 29
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str = "__maybe") -> DataFrame:
+    """``df`` with boolean ``name``: false only where ``key`` is none of ``keys`` (one column).
+
+    A bitmap of hashed keys, as large as their number asks for, is built by
+    aggregation (maps are merged bit by bit) and broadcast in pieces of 4 KB.  Rows that
+    cannot match can then skip a shuffle; the join that follows decides on the others.
+    """
+    n = keys.count()
+    bits = max(1 << 15, 1 << (BITS_PER_KEY * max(n, 1) - 1).bit_length())
+    if bits > MOST_BITS:
+        return df.withColumn(name, F.lit(True))
+
+    def slot(k):
+        return F.pmod(F.xxhash64(k), F.lit(bits)) + 1
+
+    pieces = keys.select(slot(F.col(keys.columns[0])).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    place = F.bitmap_bit_position(slot(key))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2.0), place % 8)) % 2 == 1
+    marked = df.withColumn("__in", F.bitmap_bucket_number(slot(key))).join(F.broadcast(pieces), F.col("__in") == F.col("__piece"), "left")
+    return marked.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__in", "__piece", "__bits")
+
+
 def anti_join_natural(full: DataFrame, sample: DataFrame) -> DataFrame:
     """Rows of ``full`` not in ``sample`` on all common columns; null matches
     null; duplicates of ``full`` stay (pandas merge indicator semantics).
 
     Rows meet on a hash of the common columns; the columns themselves are compared
-    null-safely behind it and are not sort keys."""
+    null-safely behind it and are not sort keys.  Rows whose hash the sample cannot
+    hold are not shuffled."""
     common = [c for c in full.columns if c in sample.columns]
-    left = full.withColumn("__h", F.xxhash64(*common))
     right = sample.select(F.xxhash64(*common).alias("__h"), *[F.col(c).alias(f"__s_{c}") for c in common])
+    left = maybe_in(full.withColumn("__h", F.xxhash64(*common)), F.col("__h"), right.select("__h"))
     same = F.col("l.__h") == F.col("r.__h")
     for c in common:   # equal or both null; written so that it is checked behind the hash, not sorted by
         same = same & (F.size(F.array_distinct(F.array(F.col(f"l.{c}"), F.col(f"r.__s_{c}")))) == 1)
-    return left.alias("l").join(right.alias("r"), same, "left_anti").drop("__h")
+    decided = left.where("__maybe").alias("l").join(right.alias("r"), same, "left_anti")
+    return left.where("not __maybe").unionByName(decided).drop("__h", "__maybe")
 
 
 def anti_join_key(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return df.join(other.select(key), key, "left_anti")
+    """Rows of ``df`` whose key is not in ``other``; rows whose key it cannot hold are not shuffled."""
+    keys = other.select(key)
+    marked = maybe_in(df, F.col(key), keys)
+    return marked.where("not __maybe").unionByName(marked.where("__maybe").join(keys, key, "left_anti").select(*marked.columns)).drop("__maybe")
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, key: str, how: str = "left") -> DataFrame:

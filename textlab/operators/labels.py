@@ -42,10 +42,17 @@ def encode_label_alpha(df: DataFrame, label: str, out: str = "label_idx") -> Dat
     """Index = rank of the label among the sorted distinct labels (0-based).
 
     The sorted label array is a scalar subquery (one row, one small array), so
-    the encoding is a lookup with no join and is fitted once for all splits.
+    the encoding is a lookup with no join and is fitted once for all splits.  More
+    than ``MAX_CLASSES`` labels, as in a wrongly chosen column, are an error.
     """
-    classes = df.agg(F.array_sort(F.collect_set(label))).scalar()
-    return df.withColumn(out, (F.array_position(classes, F.col(label)) - 1).cast("int"))
+    few = df.select(F.col(label).alias("__l")).where(F.col("__l").isNotNull()).distinct().orderBy("__l").limit(MAX_CLASSES + 1)
+    classes = few.agg(F.array_sort(F.collect_list("__l"))).scalar()
+    place = (F.array_position(classes, F.col(label)) - 1).cast("int")
+    return df.withColumn(out, F.when(F.size(classes) <= MAX_CLASSES, place).otherwise(F.raise_error(F.lit(f"more than {MAX_CLASSES} labels")).cast("int")))
+
+
+#: Most classes that a label column may have.
+MAX_CLASSES = 10_000
 
 
 def one_hot(idx, k: int) -> Column:

@@ -1,18 +1,17 @@
-"""Classifiers on MLlib: fit / score / cross-validate / parameter runs.
+"""Classifiers on MLlib: fit, score, parameter grids.
 
 Training is distributed by MLlib itself (gradient and histogram aggregation
 with ``treeAggregate``); nothing here collects training data.  Features are TF-IDF
-over all terms (hashed into a documented width) or over the top terms, scaled
-meta blocks, LSA, or pooled embeddings.
+over all terms (hashed into a documented width), scaled meta blocks, LSA, or pooled
+embeddings.
 
-Text preparation is packaged as ML stages (``SklearnTokenizer``,
-``SklearnTfidf``) so a whole chain is one ``pyspark.ml.Pipeline`` that can be
-fitted, saved and re-applied (``batch_score``).
+Text preparation is packaged as ML stages (``SklearnTokenizer``, ``SmoothIdf``) so a
+whole chain is one ``pyspark.ml.Pipeline`` that can be fitted, saved and re-applied
+(``batch_score``).  Experiments with many fits are in ``experiments``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import keyword_only
@@ -20,16 +19,15 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        OneVsRest)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
-from . import features as FE
 
 
 class SklearnTokenizer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -50,48 +48,6 @@ class SklearnTokenizer(Transformer, HasInputCol, HasOutputCol, DefaultParamsRead
         return df.withColumn(self.getOutputCol(), TX.tokenize_sklearn(x))
 
 
-class SklearnTfidfModel(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    vocabulary = Param(Params._dummy(), "vocabulary", "terms", typeConverter=TypeConverters.toListString)
-    idf = Param(Params._dummy(), "idf", "idf per term", typeConverter=TypeConverters.toListFloat)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        cv = CountVectorizerModel.from_vocabulary(self.getOrDefault(self.vocabulary), inputCol=self.getInputCol(),
-                                                  outputCol="__tf")
-        x = ElementwiseProduct(scalingVec=Vectors.dense(self.getOrDefault(self.idf)), inputCol="__tf",
-                               outputCol="__tfidf").transform(cv.transform(df))
-        return Normalizer(p=2.0, inputCol="__tfidf", outputCol=self.getOutputCol()).transform(x) \
-            .drop("__tf", "__tfidf")
-
-
-class SklearnTfidf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """ML stage: TfidfVectorizer(max_features=k) semantics (top-k terms by
-    count, smooth idf + 1, L2).  Fitting collects only k terms and k idf
-    values - the bound is ``maxFeatures``."""
-
-    maxFeatures = Param(Params._dummy(), "maxFeatures", "vocabulary cap", typeConverter=TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, inputCol="tokens", outputCol="tfidf", maxFeatures=500):
-        super().__init__()
-        self._setDefault(maxFeatures=500)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> SklearnTfidfModel:
-        tokens = F.col(self.getInputCol())
-        # term totals (for the top-k) and document frequencies; no row key is
-        # needed: a document counts once per term via array_distinct
-        totals = TX.explode_tokens(df, [], tokens, "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
-        top = FE.top_terms(totals, self.getOrDefault(self.maxFeatures))
-        dfreq = TX.explode_tokens(df, [], F.array_distinct(tokens), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        n = df.count()
-        stats = top.join(dfreq, "term").select("term_idx", "term", "df").orderBy("term_idx").collect()   # <= k rows
-        m = SklearnTfidfModel()
-        m._set(inputCol=self.getInputCol(), outputCol=self.getOutputCol(),
-               vocabulary=[r["term"] for r in stats],
-               idf=[math.log((1.0 + n) / (1.0 + r["df"])) + 1.0 for r in stats])
-        return m
-
-
 class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """ML stage: term counts times ``ln((1 + n) / (1 + df)) + 1``.
 
@@ -153,14 +109,6 @@ def accuracy_evaluator(label: str = "label", metric: str = "accuracy") -> Multic
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
 
 
-def cv_experiment(df: DataFrame, estimator, grid, num_folds: int, label: str = "label", fold_col: str = "fold",
-                  metric: str = "f1", parallelism: int = 2):
-    """Cross-validation over user-given folds 0..num_folds-1 (e.g. ``kfold_contiguous``)."""
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=accuracy_evaluator(label, metric),
-                        numFolds=num_folds, foldCol=fold_col, parallelism=parallelism, collectSubModels=False)
-    return cv.fit(df)
-
-
 def param_runs(estimator, params: dict) -> list:
     """All combinations of the given parameter values (a ParamGridBuilder grid)."""
     b = ParamGridBuilder()

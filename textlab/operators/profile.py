@@ -88,72 +88,93 @@ def hist_by_label(df: DataFrame, label: str, x: str, bins: int = 10) -> DataFram
         rround(F.col("lo") + (F.col("bin") * (F.col("hi") - F.col("lo")) / bins), 6).alias("bin_lo"))
 
 
-def exact_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
-                      n_buckets: int = 1024) -> DataFrame:
-    """(group, p, q): exact percentiles with linear interpolation (pandas /
-    ``quantile_cont``), computed without holding a group in one task.
-
-    1. counts per (group, value) - a hot value collapses in partial aggregation;
-    2. values bucketed by approximate quantiles (monotone in the value);
-    3. per (group, bucket) totals -> running offsets (a small table);
-    4. each target rank finds its bucket on that small table;
-    5. an equi-join on (group, bucket) with a running count inside the bucket
-       picks the value at the rank.  Spark's ``percentile`` instead keeps every
-       distinct value of a group in one aggregation buffer.
+#: Accuracy of the quantile sketch: its ranks are off by one of so many rows at most.
+SKETCH = 20_000
+
+
+def exact_quantiles(df: DataFrame, group: str, cols: Sequence[str], probs: Sequence[float], accuracy: int = SKETCH) -> DataFrame:
+    """(group, col, p, q): exact percentiles with linear interpolation (pandas /
+    ``quantile_cont``) of all columns at once; nulls do not count.
+
+    1. One aggregation makes a mergeable quantile sketch of every column and group.
+       It brackets each wanted rank: the value at that rank lies between two values
+       of the sketch, with about 6 / ``accuracy`` of the rows between them (more in a
+       group of fewer than about 2 ``accuracy`` rows).
+    2. One pass counts the rows below each bracket and the values inside, by value,
+       so a hot value collapses in partial aggregation.  The rank is then found
+       among the bracket's values.
+
+    ``df`` is read twice, whatever the number of columns.  Spark's ``percentile``
+    keeps every distinct value of a group in one aggregation buffer instead.
     """
-    vc = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("__c"))
-    from . import rank as R
-    vc = R.with_quantile_bucket(vc, value, "__b", n_buckets)
-    bt = vc.groupBy(group, "__b").agg(F.sum("__c").alias("__bc"))
-    w_off = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("__off", F.coalesce(F.sum("__bc").over(w_off), F.lit(0)))
-    n = bt.groupBy(group).agg(F.sum("__bc").alias("__n"))
-    # two target ranks (1-based) per probability: floor and ceil of (n-1)p
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    t = n.select(group, "__n", F.explode(pr).alias("p"))
-    t = t.withColumn("__h", (F.col("__n") - 1) * F.col("p"))
-    t = t.select(group, "p", "__h", F.explode(F.array(F.floor("__h"), F.ceil("__h"))).alias("__r0")) \
-         .withColumn("__r", F.col("__r0").cast("long") + 1).distinct()
-    tb = t.join(bt, group).where((F.col("__r") > F.col("__off")) & (F.col("__r") <= F.col("__off") + F.col("__bc"))) \
-          .select(group, "p", "__h", "__r", "__b", "__off")
-    w_in = Window.partitionBy(group, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    vcc = vc.withColumn("__cum", F.sum("__c").over(w_in))
-    hit = tb.join(vcc, [group, "__b"]) \
-            .where((F.col("__r") > F.col("__off") + F.col("__cum") - F.col("__c")) &
-                   (F.col("__r") <= F.col("__off") + F.col("__cum"))) \
-            .select(group, "p", "__h", "__r", F.col(value).cast("double").alias("__v"))
-    lo = F.min_by("__v", "__r")
-    hi = F.max_by("__v", "__r")
-    return hit.groupBy(group, "p").agg(F.first("__h").alias("__h"), lo.alias("__lo"), hi.alias("__hi")) \
-              .select(group, "p", (F.col("__lo") + (F.col("__h") - F.floor("__h")) * (F.col("__hi") - F.col("__lo"))).alias("q"))
+    wide = [F.col(c).cast("double") for c in cols]
+    # a ladder of brackets, ever wider: a group takes the first that is sure to hold its rank
+    margins = [3.0 / accuracy]
+    while margins[-1] < 1.0:
+        margins.append(margins[-1] * 8)
+    edges = [e for p in probs for m in margins for e in (max(p - m, 0.0), min(p + m, 1.0))]
+    sketch = df.groupBy(group).agg(*[F.struct(F.count(x).alias("n"), F.percentile_approx(x, edges, accuracy).alias("at")).alias(f"__{i}")
+                                     for i, x in enumerate(wide)])
+
+    def bracket(i, k):
+        n, at, step = F.col(f"__{i}.n"), F.col(f"__{i}.at"), F.lit(len(margins) - 1)
+        for j in reversed(range(len(margins) - 1)):
+            step = F.when((F.lit(margins[j]) - 2.0 / accuracy) * n >= 2, j).otherwise(step)
+        place = (step + k * len(margins)) * 2
+        return n.alias("n"), F.get(at, place).alias("lo"), F.get(at, place + 1).alias("hi")
+
+    wanted = [F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), *bracket(i, k)) for i in range(len(cols)) for k, p in enumerate(probs)]
+    # a row a group, as wide as the wanted ranks: joined to the rows, AQE broadcasts it when it is small
+    brackets = sketch.select(F.col(group).alias("__g"), F.filter(F.array(*wanted), lambda w: w["n"] > 0).alias("__w"))
+    values = F.array(*wide)
+    rows = df.select(group, values.alias("__v")).join(brackets, F.col(group).eqNullSafe(F.col("__g")))
+    # of each bracket a row matters if it is not above: below it as a count, inside by its value
+    own = F.transform("__w", lambda w: F.struct(w["i"].alias("i"), w["p"].alias("p"), w["n"].alias("n"), w["lo"].alias("lo"), w["hi"].alias("hi"),
+                                                F.col("__v")[w["i"]].alias("v")))
+    near = rows.select(group, F.explode(F.filter(own, lambda x: x["v"] <= x["hi"])).alias("x")).select(
+        group, "x.i", "x.p", "x.n", F.when(F.col("x.v") >= F.col("x.lo"), F.col("x.v")).alias("v"))
+    counts = near.groupBy(group, "i", "p", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+    # null, the rows below, comes first; a bracket's values are few
+    upto = F.sum("c").over(Window.partitionBy(group, "i", "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    h = (F.col("n") - 1) * F.col("p")
+    held = counts.withColumn("upto", upto).where(F.col("v").isNotNull())
+    at = [F.min(F.when(F.col("upto") >= rank + 1, F.col("v"))).alias(name) for rank, name in ((F.floor(h), "a"), (F.ceil(h), "b"))]
+    found = held.groupBy(group, "i", "p", "n").agg(*at, F.min(F.col("upto") - F.col("c")).alias("below"), F.max("upto").alias("to"))
+    # a sketch that is worse than it promises would show here; it never gives a wrong value
+    held_in = (F.col("below") <= F.floor(h)) & (F.col("to") > F.ceil(h))
+    q = F.when(held_in, F.col("a") + (h - F.floor(h)) * (F.col("b") - F.col("a"))).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("double"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1)
+    return found.select(group, name.alias("col"), "p", q.alias("q"))
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, probs: Sequence[float], accuracy: int = SKETCH) -> DataFrame:
+    """(group, p, q): ``exact_quantiles`` of one column."""
+    return exact_quantiles(df, group, [value], probs, accuracy).drop("col")
+
+
+def _quartiles(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """(group, <col>_p25, <col>_p50, <col>_p75 of every column): one row a group."""
+    q = exact_quantiles(df, group, cols, [0.25, 0.5, 0.75])
+    picked = [F.max(F.when((F.col("col") == c) & (F.col("p") == p), F.col("q"))).alias(f"{c}_{n}")
+              for c in cols for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    return q.groupBy(F.col(group).alias("__g")).agg(*picked)
 
 
 def describe_by_label(df: DataFrame, label: str, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max.
 
-    Moments are one aggregation; percentiles come from ``exact_percentiles``
-    (distributed, exact) and are joined on the label."""
+    Moments are one aggregation; the quartiles of all columns come from
+    ``exact_quantiles`` and are joined on the label."""
     aggs = []
     for c in cols:
         aggs += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).cast("double").alias(f"{c}_min"),
                  F.max(c).cast("double").alias(f"{c}_max")]
-    out = df.groupBy(label).agg(*aggs)
-    for c in cols:
-        q = exact_percentiles(df, label, c, [0.25, 0.5, 0.75]) \
-            .groupBy(label).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-        q = q.select(label, *[F.col(f"`{p}`").alias(f"__{c}_{n}") for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
-        out = out.join(q, label, "left")
+    out = df.groupBy(label).agg(*aggs).join(_quartiles(df, label, cols), F.col(label).eqNullSafe(F.col("__g")), "left")
     sel = [F.col(label)]
     for c in cols:
         sel += [F.col(f"{c}_count").cast("long").alias(f"{c}_count"),
-                rround(f"{c}_mean", digits).alias(f"{c}_mean"),
-                rround(f"{c}_std", digits).alias(f"{c}_std"),
-                rround(f"{c}_min", digits).alias(f"{c}_min"),
-                rround(f"__{c}_p25", digits).alias(f"{c}_p25"),
-                rround(f"__{c}_p50", digits).alias(f"{c}_p50"),
-                rround(f"__{c}_p75", digits).alias(f"{c}_p75"),
-                rround(f"{c}_max", digits).alias(f"{c}_max")]
+                *[rround(f"{c}_{n}", digits).alias(f"{c}_{n}") for n in ("mean", "std", "min", "p25", "p50", "p75", "max")]]
     return out.select(*sel)
 
 
@@ -198,9 +219,8 @@ def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6, whis
     """Box-plot data per group: min, quartiles, max; the whiskers (the furthest
     values within ``whisker`` times the quartile distance of the box) and the number
     of values beyond them."""
-    q = exact_percentiles(df, group, value, [0.25, 0.5, 0.75]).groupBy(group) \
-        .pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    box = q.select(group, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
+    q = _quartiles(df, group, [value])
+    box = q.select(F.col("__g").alias(group), F.col(f"{value}_p25").alias("q1"), F.col(f"{value}_p50").alias("median"), F.col(f"{value}_p75").alias("q3"))
     reach = F.lit(whisker) * (F.col("q3") - F.col("q1"))
     v = F.col(value).cast("double")
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
@@ -212,10 +232,10 @@ def grouped_boxplot(df: DataFrame, group: str, value: str, digits: int = 6, whis
 
 def boxplot_outliers(df: DataFrame, group: str, value: str, whisker: float = 1.5) -> DataFrame:
     """The rows of ``df`` whose value lies beyond the whiskers of its group."""
-    q = exact_percentiles(df, group, value, [0.25, 0.75]).groupBy(group).pivot("p", [0.25, 0.75]).agg(F.first("q"))
-    reach = F.lit(whisker) * (F.col("`0.75`") - F.col("`0.25`"))
+    q = _quartiles(df, group, [value]).select(F.col("__g").alias(group), F.col(f"{value}_p25").alias("__q1"), F.col(f"{value}_p75").alias("__q3"))
+    reach = F.lit(whisker) * (F.col("__q3") - F.col("__q1"))
     j = df.join(q, group)
-    return j.where((F.col(value) < F.col("`0.25`") - reach) | (F.col(value) > F.col("`0.75`") + reach)).select(*df.columns)
+    return j.where((F.col(value) < F.col("__q1") - reach) | (F.col(value) > F.col("__q3") + reach)).select(*df.columns)
 
 
 def vocab_stats(tokens_df: DataFrame, tokens: str) -> DataFrame:

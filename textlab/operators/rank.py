@@ -90,17 +90,6 @@ def with_quantile_bucket(df: DataFrame, col: str, out: str, n_buckets: int = 102
     return kd.withColumn(out, F.col("__qb").cast("int")).drop("__qk", "__qb")
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int = 1024) -> Column:
-    """Equal-width bucket 0..n_buckets-1 of a numeric column; min / max come
-    from one aggregation (one bounded row).  Monotone in ``col``; balanced for
-    dense keys.  Use on a materialised table (it runs a job)."""
-    lo, hi = df.agg(F.min(F.col(col)), F.max(F.col(col))).first()
-    if lo is None:
-        return F.lit(0)
-    width = (hi - lo + 1) / n_buckets
-    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("int")
-
-
 def running_total(df: DataFrame, order: str, value: str, out: str, descending: bool = False,
                   n_buckets: int = 256) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in ``order``
@@ -151,24 +140,34 @@ def with_count(df: DataFrame, name: str = "__total", partition_by: Sequence[str]
     return df.join(counts, list(partition_by))
 
 
-def _cut_rows(keys: DataFrame, order: Sequence[str], wanted: Sequence, total: Column) -> list[Column]:
-    """Order values (structs) of the rows with the wanted ranks.
+#: Buckets whose sizes are added up in one task before the sums of those runs are.
+RUN = 1 << 10
+
+
+def _cut_rows(keys: DataFrame, order: Sequence[str], wanted: Sequence, total: Column) -> Column:
+    """Map i -> order value (a struct) of the row with the i-th wanted rank, from one plan
+    (a scalar subquery; a rank of 0 has no entry).
 
     ``keys`` has ``__b`` (a bucket monotone in the order) and the order columns.
-    Buckets are counted, the one that holds a rank is found on that bounded
-    table, and only its keys are ranked.  No other column moves.
+    Buckets are counted, those that hold a wanted rank are found on that bounded
+    table (running sums in two levels), and only their keys are ranked.  No other
+    column moves.
     """
-    counts = keys.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    table = counts.withColumn("__before", before)
-    out = []
-    for size in wanted:
-        place = F.greatest(size(total).cast("long"), F.lit(0))
-        hit = table.where((F.col("__before") < place) & (place <= F.col("__before") + F.col("__n")))
-        hit = F.broadcast(hit.select("__b", (place - F.col("__before")).alias("__at")))   # one row, or none for rank 0
-        inside = keys.join(hit, "__b").withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
-        out.append(inside.where(F.col("__rn") == F.col("__at")).select(F.struct(*order).alias("cut")).scalar())
-    return out
+    counts = keys.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__run", F.floor(F.col("__b") / RUN))
+    runs = counts.groupBy("__run").agg(F.sum("__n").alias("__s"))     # at most MAX_BROADCAST_BUCKETS / RUN rows
+    earlier = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = F.broadcast(runs.select("__run", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__base")))
+    inside = Window.partitionBy("__run").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
+    table = counts.join(runs, "__run").select("__b", "__n", before.alias("__before"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(size(total).cast("long"), F.lit(0)).alias("place")) for i, size in enumerate(wanted)])
+    hits = table.select("__b", "__n", "__before", F.explode(places).alias("__w")).where(
+        (F.col("__before") < F.col("__w.place")) & (F.col("__w.place") <= F.col("__before") + F.col("__n")))
+    hits = hits.select("__b", F.col("__w.i").alias("__i"), (F.col("__w.place") - F.col("__before")).alias("__at"))  # one row a wanted rank, none for rank 0
+    held = keys.join(F.broadcast(hits.select("__b").distinct()), "__b")
+    ranked = held.withColumn("__rn", F.row_number().over(Window.partitionBy("__b").orderBy(*order)))
+    found = ranked.join(F.broadcast(hits.withColumnRenamed("__b", "__hb")), (F.col("__b") == F.col("__hb")) & (F.col("__rn") == F.col("__at")))
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("__i", F.struct(*order)))).alias("cuts")).scalar()
 
 
 def hash_cuts(df: DataFrame, key: str, seed, *wanted, total: Column) -> tuple[Column, list[Column]]:
@@ -180,14 +179,45 @@ def hash_cuts(df: DataFrame, key: str, seed, *wanted, total: Column) -> tuple[Co
     """
     keys = df.select(hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k"))
     cuts = _cut_rows(keys.withColumn("__b", hash_bucket(F.col("__h"))), ["__h", "__k"], wanted, total)
+    return F.struct(hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k")), [cuts[F.lit(i)] for i in range(len(wanted))]
+
+
+def group_cuts(df: DataFrame, key: str, group: str, seed, wanted) -> tuple[Column, DataFrame]:
+    """(order, cuts): as ``hash_cuts``, one cut for each group: cuts has (__g, cut), where
+    ``wanted`` is a function of the group's row count.  A large group is counted in many
+    buckets, of which one is ranked; cuts has a row a group (none for a wanted rank of 0)."""
+    keys = df.select(F.col(group).alias("__g"), hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k"))
+    keys = keys.withColumn("__b", hash_bucket(F.col("__h")))
+    counts = keys.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy("__g")
+    table = counts.select("__g", "__b", "__n", F.coalesce(F.sum("__n").over(every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+                          wanted(F.sum("__n").over(every)).cast("long").alias("__place"))
+    hit = table.where((F.col("__before") < F.col("__place")) & (F.col("__place") <= F.col("__before") + F.col("__n"))).select(
+        F.col("__g").alias("__hg"), F.col("__b").alias("__hb"), (F.col("__place") - F.col("__before")).alias("__at"))
+    inside = keys.join(hit, F.col("__g").eqNullSafe(F.col("__hg")) & (F.col("__b") == F.col("__hb")))
+    ranked = inside.withColumn("__rn", F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h", "__k")))
+    cuts = ranked.where(F.col("__rn") == F.col("__at")).select("__g", F.struct("__h", "__k").alias("cut"))
     return F.struct(hash_order_col(seed, key).alias("__h"), F.col(key).alias("__k")), cuts
 
 
-def key_cuts(df: DataFrame, key: str, *wanted, total: Column, n_buckets: int = 4096) -> tuple[Column, list[Column]]:
-    """As ``hash_cuts``, in the order of the (numeric, unique) key."""
+def _key_cut_map(df: DataFrame, key: str, wanted: Sequence, total: Column, n_buckets: int) -> tuple[Column, Column]:
     keys = with_quantile_bucket(df.select(F.col(key).alias("__k")), "__k", "__b", n_buckets)
     return F.struct(F.col(key).alias("__k")), _cut_rows(keys, ["__k"], wanted, total)
 
 
+def key_cuts(df: DataFrame, key: str, *wanted, total: Column, n_buckets: int = 4096) -> tuple[Column, list[Column]]:
+    """As ``hash_cuts``, in the order of the (numeric, unique) key."""
+    order, cuts = _key_cut_map(df, key, wanted, total, n_buckets)
+    return order, [cuts[F.lit(i)] for i in range(len(wanted))]
+
+
+def key_cuts_passed(df: DataFrame, key: str, *wanted, total: Column, n_buckets: int = 4096) -> Column:
+    """How many of the ``wanted`` cuts a row lies behind, in the order of the key; the cuts
+    stand in the plan once, however many there are."""
+    order, cuts = _key_cut_map(df, key, wanted, total, n_buckets)
+    place = F.array_position(F.sort_array(F.concat(F.map_values(cuts), F.array(order))), order) - 1  # among the cuts
+    return place + len(wanted) - F.size(cuts)
+
+
 def up_to(order: Column, cut: Column) -> Column:
     return F.coalesce(order <= cut, F.lit(False))

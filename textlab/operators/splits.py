@@ -11,12 +11,13 @@ complete, and a re-run on any partitioning gives the same rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_uniform
+from ..sources.files import stored
 from . import rank as R
 
 
@@ -55,6 +56,17 @@ def split_ceil(df: DataFrame, key: str, test_frac: float, seed=42, split_col: st
     return df.withColumn(split_col, F.when(R.up_to(order, cut), "test").otherwise("train"))
 
 
+def split_many(df: DataFrame, key: str, test_frac: float, seeds: Mapping[str, object]) -> DataFrame:
+    """One ``split_ceil`` column for each of ``seeds`` (column name -> seed).  Every cut is
+    found on the keys of ``df`` alone, which should be stored."""
+    keys = df.select(key)
+    out = df
+    for name, seed in seeds.items():
+        order, (cut,) = R.hash_cuts(keys, key, seed, lambda n: F.ceil(n * F.lit(test_frac)), total=_n(keys))
+        out = out.withColumn(name, F.when(R.up_to(order, cut), "test").otherwise("train"))
+    return out
+
+
 def split_70_15_15(df: DataFrame, key: str, seed=42, split_col: str = "split") -> DataFrame:
     """70 % sample train; half of the remainder valid; the rest test."""
     def n_train(n):
@@ -73,13 +85,12 @@ def split_tail(df: DataFrame, key: str, val_frac: float = 0.2, split_col: str =
 
 def stratified_split(df: DataFrame, key: str, label: str, test_frac: float, seed=42,
                      split_col: str = "split") -> DataFrame:
-    """Same ratio inside each label: per label the first ceil(n_label * t)
-    shuffled rows are test.  Ranks restart per label but a large label is still
-    spread over many hash buckets (no single-task group)."""
-    r = R.hash_rank(df, key, seed, "__r", partition_by=[label])
-    r = R.with_count(r, "__nl", partition_by=[label])
-    return r.withColumn(split_col, F.when(F.col("__r") <= F.ceil(F.col("__nl") * F.lit(test_frac)), "test")
-                        .otherwise("train")).drop("__r", "__nl")
+    """Same ratio inside each label: per label the first ceil(n_label * t) shuffled rows
+    are test.  A row is compared with its label's cut; rows are neither ranked nor
+    moved (the cuts, a row a label, are broadcast by AQE when they are small)."""
+    order, cuts = R.group_cuts(df, key, label, seed, lambda n: F.ceil(n * F.lit(test_frac)))
+    j = df.join(cuts, F.col(label).eqNullSafe(F.col("__g")), "left")
+    return j.withColumn(split_col, F.when(R.up_to(order, F.col("cut")), "test").otherwise("train")).select(*df.columns, split_col)
 
 
 def kfold_contiguous(df: DataFrame, key: str, k: int = 10, fold_col: str = "fold") -> DataFrame:
@@ -88,9 +99,7 @@ def kfold_contiguous(df: DataFrame, key: str, k: int = 10, fold_col: str = "fold
     def first_rows(i):   # rows in the folds before fold i
         return lambda n: F.floor(n / k) * i + F.least(n % k, F.lit(i))
 
-    order, cuts = R.key_cuts(df, key, *[first_rows(i) for i in range(1, k)], total=_n(df))
-    passed = [F.when(R.up_to(order, cut), 0).otherwise(1) for cut in cuts]
-    return df.withColumn(fold_col, sum(passed, F.lit(0)).cast("long"))
+    return df.withColumn(fold_col, R.key_cuts_passed(df, key, *[first_rows(i) for i in range(1, k)], total=_n(df)).cast("long"))
 
 
 def split_halves(df: DataFrame, key: str, test_frac: float, seed=42, split_col: str = "split") -> DataFrame:
@@ -119,31 +128,43 @@ def split_pairs(df: DataFrame, pair_key: str, test_frac: float, seed=42, split_c
     return df.join(side, pair_key)   # shuffle join: both sides grow with the data
 
 
-def bootstrap_oob(df: DataFrame, key: str, rounds: int = 10, n_draws: int | None = None,
-                  seed0: int = 0) -> DataFrame:
-    """Bootstrap with replacement, round i seeded by seed0 + i.
+def bootstrap_draws(df: DataFrame, key: str, rounds: int = 10, n_draws: int | None = None, seed0: int = 0) -> DataFrame:
+    """(round, key, times_drawn) of the rows that a round drew, with replacement.
 
-    Returns (round, key, times_drawn) for every row and round; rows with
-    ``times_drawn = 0`` are the out-of-bag test set of that round.  Draws are
-    generated with ``spark.range`` (distributed) as rank targets
-    1 + floor(u * n) and counted (partial aggregation) before the join.
+    Round i is seeded by seed0 + i.  Draws are generated with ``spark.range``
+    (distributed) as rank targets 1 + floor(u * n) and counted (partial aggregation)
+    before they meet the rows; a round has about 0.63 n rows where n are drawn.
     """
-    spark = df.sparkSession
     n_rows = df.count()
-    draws_per_round = n_rows if n_draws is None else n_draws
-    ranked = R.hash_rank(df, key, "bootstrap-order", "__r")
-    d = spark.range(rounds * draws_per_round).select(
-        (F.floor(F.col("id") / draws_per_round) + seed0).cast("long").alias("round"),
-        (F.col("id") % draws_per_round).alias("__j"))
-    d = d.select("round", (F.floor(hash_uniform("draw", F.col("round"), F.col("__j")) * n_rows) + 1)
-                 .cast("long").alias("__r"))
+    per_round = n_rows if n_draws is None else n_draws
+    ranked = R.hash_rank(df.select(key), key, "bootstrap-order", "__r")
+    d = df.sparkSession.range(rounds * per_round).select(
+        (F.floor(F.col("id") / per_round) + seed0).cast("long").alias("round"), (F.col("id") % per_round).alias("__j"))
+    d = d.select("round", (F.floor(hash_uniform("draw", F.col("round"), F.col("__j")) * n_rows) + 1).cast("long").alias("__r"))
     drawn = d.groupBy("round", "__r").agg(F.count(F.lit(1)).alias("times_drawn"))
-    rows = ranked.select(key, "__r", F.explode(F.sequence(F.lit(seed0).cast("long"),
-                                                          F.lit(seed0 + rounds - 1).cast("long"))).alias("round"))
-    out = rows.join(drawn, ["round", "__r"], "left")
+    return drawn.join(ranked, "__r").select("round", key, "times_drawn")
+
+
+def bootstrap_oob(df: DataFrame, key: str, rounds: int = 10, n_draws: int | None = None,
+                  seed0: int = 0) -> DataFrame:
+    """(round, key, times_drawn) for every row and round: ``bootstrap_draws`` with the
+    rows that a round never drew (its out-of-bag test set) as zeros."""
+    drawn = bootstrap_draws(df, key, rounds, n_draws, seed0)
+    every = F.sequence(F.lit(seed0).cast("long"), F.lit(seed0 + rounds - 1).cast("long"))
+    rows = df.select(key, F.explode(every).alias("round"))
+    out = rows.join(drawn, ["round", key], "left")
     return out.select("round", key, F.coalesce("times_drawn", F.lit(0)).cast("long").alias("times_drawn"))
 
 
+def leaked_rows(df: DataFrame, key: str, text: str, clean, split: str = "split", train: str = "train", val: str = "val") -> DataFrame:
+    """Keys of validation rows whose cleaned text also occurs in training, from one
+    table of both.  Texts are cleaned once: (key, split, hash) is stored, and the
+    validation part is semi-joined to the other; hashes that training cannot hold
+    are told by a Bloom filter that Spark builds where it pays."""
+    hashed = stored(df.select(key, split, F.unhex(F.md5(clean(F.col(text)))).alias("__h")), "clean-hashes")
+    return hashed.where(F.col(split) == val).join(hashed.where(F.col(split) == train).select("__h"), "__h", "left_semi").select(key)
+
+
 def leak_check(train: DataFrame, val: DataFrame, text: str, clean) -> DataFrame:
     """Validation rows whose cleaned text also occurs in train (exact match on
     a hash of the cleaned text, semi join)."""
@@ -152,44 +173,45 @@ def leak_check(train: DataFrame, val: DataFrame, text: str, clean) -> DataFrame:
     return v.join(t, "__h", "left_semi").drop("__h")
 
 
+def nested_prefixes(df: DataFrame, key: str, cells: Mapping[str, Column], top: int, seed="grid") -> DataFrame:
+    """``df`` with (cell, rank) for each cell's first ``top`` rows in its own seeded order.
+
+    ``cells``: name -> condition for rows of the cell.  The order starts with u, the
+    first 8 hex digits of an MD5 over 2**32, so the rows with u <= t are a prefix of
+    every cell's order.  One scan gives each row the cells where it is in the
+    prefix; t leaves about ``top`` rows a cell, by eight standard deviations more
+    than ``top``.  Should a cell with enough rows have kept fewer all the same, all
+    its rows are ranked: the result is exact in any case.
+    """
+    sizes = df.agg(*[F.count(F.when(c, 1)).alias(f"c{i}") for i, c in enumerate(cells.values())]).first()
+    sizes = dict(zip(cells, sizes)) if cells else {}
+    share = {c: min(1.0, (top + 8.0 * math.sqrt(top) + 64.0) / n) if n else 1.0 for c, n in sizes.items()}
+
+    def kept(shares):
+        marks = [F.when(where & (hash_uniform(seed, F.lit(c), F.col(key)) <= F.lit(shares[c])), F.lit(c)) for c, where in cells.items()]
+        return df.withColumn("cell", F.explode(F.filter(F.array(*marks), lambda c: c.isNotNull())))
+
+    rows = stored(kept(share), "prefixes")
+    have = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a cell
+    short = {c for c in cells if have.get(c, 0) < min(top, sizes[c])}
+    if short:
+        rows = kept({c: 1.0 if c in short else share[c] for c in cells})
+    ranked = rows.withColumn("__k", F.concat_ws(":", "cell", F.col(key).cast("string")))
+    return R.hash_rank(ranked, "__k", seed, "rank", partition_by=["cell"]).where(F.col("rank") <= top).drop("__k")
+
+
 def size_grid_counts(df: DataFrame, key: str, label: str, sizes: Sequence[int],
                      splits: Sequence[int], iterations: Sequence[int], seed="grid") -> DataFrame:
     """Learning-curve grid: for every (split, iteration) cell and size the
     label mix of the nested training subset ``rank <= size`` (rank in the
-    cell's own seeded order).
-
-    Only a cell's first max(sizes) rows matter.  The order starts with
-    u = first 8 hex digits of md5 / 2**32, so rows with u <= t are a prefix of
-    every cell's order.  Rows are kept for the cells where u <= t (no
-    replication of the table), t chosen so about max(sizes) rows survive per
-    cell; if any cell kept fewer than min(n, max(sizes)) rows, t is doubled and
-    the step repeated - the result is exact, never capped.
-    """
+    cell's own seeded order, see ``nested_prefixes``)."""
     sizes = sorted(sizes)
-    top = sizes[-1]
-    n = df.count()
-    cells = [(s, i) for s in splits for i in iterations]
-    need = min(n, top)
-    t = 1.0 if n == 0 else min(1.0, (top + 8.0 * math.sqrt(top) + 64.0) / n)
-    base = df.select(key, label)
-    while True:
-        kept = F.array(*[F.when(hash_uniform(seed, F.lit(f"{s}-{i}"), F.col(key)) <= F.lit(t),
-                                F.struct(F.lit(s).alias("split_no"), F.lit(i).alias("iteration")))
-                         for s, i in cells])
-        rep = base.select(key, label, F.explode(F.filter(kept, lambda c: c.isNotNull())).alias("__cell")) \
-                  .select(key, label, "__cell.split_no", "__cell.iteration")
-        if t >= 1.0:
-            break
-        short = rep.groupBy("split_no", "iteration").count().where(F.col("count") >= need).count()
-        if short == len(cells):
-            break
-        t = min(1.0, 2.0 * t)
-    rep = rep.withColumn("__seed", F.concat_ws("-", F.col("split_no"), F.col("iteration")))
-    rep = R.hash_rank(rep.withColumn("__k", F.concat_ws(":", "__seed", F.col(key).cast("string"))),
-                      "__k", seed, "__r", partition_by=["__seed"])
+    cells = {f"{s}-{i}": F.lit(True) for s in splits for i in iterations}
+    rep = nested_prefixes(df.select(key, label), key, cells, sizes[-1], seed)
     size_arr = F.array(*[F.lit(s) for s in sizes])
-    rep = rep.where(F.col("__r") <= top) \
-             .withColumn("size", F.element_at(F.filter(size_arr, lambda s: s >= F.col("__r")), 1))
+    part = F.split("cell", "-")
+    rep = rep.select(part[0].cast("int").alias("split_no"), part[1].cast("int").alias("iteration"), label,
+                     F.element_at(F.filter(size_arr, lambda s: s >= F.col("rank")), 1).alias("size"))
     cnt = rep.groupBy("split_no", "iteration", label, "size").agg(F.count(F.lit(1)).alias("__c"))
     grid = cnt.select("split_no", "iteration", label).distinct() \
               .select("split_no", "iteration", label, F.explode(size_arr).alias("size"))

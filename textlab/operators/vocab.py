@@ -26,12 +26,16 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     of their first appearance, the ranges are numbered in two levels, and
     ``row_number`` runs inside a range.
     """
-    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
+    return vocab_of(TX.explode_tokens(docs, [key], tokens, "token", pos="pos"), key)
+
+
+def vocab_of(t: DataFrame, key: str) -> DataFrame:
+    """``build_vocab`` of tokens that are rows already: (key, pos, token)."""
     place = (F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
     counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     # The word table is read several times below; it is materialised once with a
     # reliable checkpoint instead of re-exploding every document each time.
-    R.ensure_checkpoint(docs.sparkSession)
+    R.ensure_checkpoint(t.sparkSession)
     counts = counts.checkpoint(eager=True)
     n_ranges = max(1, counts.count() // RANGE)
     counts = R.with_quantile_bucket(counts, "first", "__range", min(n_ranges, MAX_RANGES), 1.0 / (4 * min(n_ranges, MAX_RANGES)))
@@ -65,35 +69,57 @@ def capped_vocab(vocab: DataFrame, n_words: int | None) -> DataFrame:
     return F.broadcast(capped) if n_words * WORD_BYTES <= MAX_BROADCAST_BYTES else capped
 
 
-def _ordered_collect(j: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    coll = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", value))).alias("__s"))
-    return coll.select(key, F.transform("__s", lambda x: x[value]).alias(out))
+def _positions(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
+    """(key, pos, token), one row for each token; a document without tokens keeps one row of nulls."""
+    return docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
+
+
+def _ordered(t: DataFrame, key: str, vocab: DataFrame, value: str, out: str) -> DataFrame:
+    """Per document the vocabulary's ``value`` of its tokens, in order; tokens that are not in
+    it are left out.  The row of nulls keeps empty documents, so nothing is joined back."""
+    j = t.join(vocab.select(F.col("token").alias("__t"), F.col(value).alias("__v")), F.col("token") == F.col("__t"), "left")
+    own = F.array_sort(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct("pos", "__v"))))
+    return j.groupBy(key).agg(own.alias("__s")).select(key, F.transform("__s", lambda x: x["__v"]).alias(out))
 
 
 def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                        n_words: int | None = None, out: str = "seq") -> DataFrame:
     """Token arrays -> id arrays in order; OOV and ids >= n_words dropped.
-    Every document is kept (empty sequence when nothing survives)."""
-    # partitioned by document first: with the (broadcast) capped vocabulary
-    # the join keeps that partitioning, so re-collecting per document and the
-    # final join back need no shuffle of exploded tokens
+    Every document is kept (empty sequence when nothing survives); keys are unique."""
+    # partitioned by document first: with the (broadcast) capped vocabulary the join
+    # keeps that partitioning, so re-collecting needs no shuffle of exploded tokens
     docs = docs.repartition(key) if n_words is not None else docs
-    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
-    j = t.join(capped_vocab(vocab, n_words).select("token", "idx"), "token")
-    seq = _ordered_collect(j, key, "idx", out)
-    return docs.select(key).join(seq, key, "left") \
-               .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))
+    return _ordered(_positions(docs, key, tokens), key, capped_vocab(vocab, n_words), "idx", out)
 
 
 def custom_tokenizer(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                      n_words: int | None = None, out: str = "kept") -> DataFrame:
     """Keep in-vocabulary tokens as strings, order kept."""
     docs = docs.repartition(key) if n_words is not None else docs
-    t = TX.explode_tokens(docs, [key], tokens, "token", pos="pos")
-    j = t.join(capped_vocab(vocab, n_words).select("token"), "token")
-    kept = _ordered_collect(j, key, "token", out)
-    return docs.select(key).join(kept, key, "left") \
-               .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    return _ordered(_positions(docs, key, tokens), key, capped_vocab(vocab, n_words), "token", out)
+
+
+# --- a token table that keeps its partitioning ---
+
+def save_tokens(docs: DataFrame, key: str, tokens: str | Column, name: str, path: str, buckets: int) -> DataFrame:
+    """Saves (key, pos, token) as table ``name`` at ``path``, bucketed and sorted by key.
+
+    The tokens cross the network once, here.  Whatever groups, windows or joins by
+    document then reads them as they lie, without an exchange, in any later job of
+    the catalogue that holds the table."""
+    rows = _positions(docs.repartition(buckets, key), key, tokens)
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return docs.sparkSession.table(name)
+
+
+def saved_tf(table: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) of a saved token table."""
+    return table.where(F.col("token").isNotNull()).groupBy(key, F.col("token").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def saved_sequences(table: DataFrame, key: str, vocab: DataFrame, n_words: int | None, value: str = "idx", out: str = "seq") -> DataFrame:
+    """As ``texts_to_sequences`` (``value`` idx) or ``custom_tokenizer`` (token), of a saved token table."""
+    return _ordered(table, key, capped_vocab(vocab, n_words), value, out)
 
 
 def pad_pre(df: DataFrame, seq: str, maxlen: int | None = None, out: str = "padded") -> DataFrame:
@@ -158,8 +184,13 @@ def pool_max(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 
 def pool_first(df: DataFrame, group: str, order: str, vec: str) -> DataFrame:
-    """Vector of the first row (by ``order``) of each group (the CLS position)."""
-    return df.groupBy(group).agg(F.min_by(vec, order).alias(vec))
+    """Vector of the first row (by ``order``) of each group (the CLS position).
+
+    The least order value of each group comes from a hash aggregate over two narrow
+    columns; the vectors of those rows alone are fetched then."""
+    first = df.groupBy(F.col(group).alias("__g")).agg(F.min(order).alias("__o"))
+    own = df.join(first, F.col(group).eqNullSafe(F.col("__g")) & (F.col(order) == F.col("__o")), "left_semi")
+    return own.select(group, vec)
 
 
 def synonym_lookup(words: DataFrame, word: str, synonyms: DataFrame, synset: str = "synset",

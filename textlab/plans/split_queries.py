@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as TX
 from ..operators import splits as S
-from ..sources.tables import read_table
+from ..sources.tables import read_spread
 from . import duck as D
 from .registry import register
 
@@ -24,7 +24,7 @@ def _hr(seed, key="doc_id", part=""):
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents")
+    return read_spread(spark, sf_dir, "documents")
 
 
 @register("shuffle", f"SELECT doc_id, CAST({_hr(42)} AS BIGINT) AS rank FROM documents")
@@ -123,6 +123,17 @@ def q_bootstrap_oob(spark, sf_dir):
     return S.bootstrap_oob(_docs(spark, sf_dir).select("doc_id"), "doc_id", rounds=10)
 
 
+@register("bootstrap_draws", f"""
+WITH ranked AS (SELECT doc_id, {_hr('bootstrap-order')} AS r FROM documents),
+draws AS (SELECT id // {N} AS round, id % {N} AS j FROM range(10 * {N}) t(id)),
+drawn AS (SELECT round, CAST(floor({D.hash_uniform('draw', 'round', 'j')} * {N}) + 1 AS BIGINT) AS r, count(*) AS c
+          FROM draws GROUP BY ALL)
+SELECT d.round, k.doc_id, CAST(d.c AS BIGINT) AS times_drawn FROM drawn d JOIN ranked k USING (r)""")
+def q_bootstrap_draws(spark, sf_dir):
+    """The rows each of ten rounds drew, with their number; what is missing is out of bag."""
+    return S.bootstrap_draws(_docs(spark, sf_dir).select("doc_id"), "doc_id", rounds=10)
+
+
 @register("leak_check", f"""
 WITH s AS (SELECT doc_id, text, CASE WHEN {_hr(42)} <= floor({N} * CAST(0.2 AS DOUBLE)) THEN 'val' ELSE 'train' END AS split
            FROM documents)
@@ -131,9 +142,7 @@ WHERE v.split = 'val' AND md5({D.clean_text('v.text')}) IN
       (SELECT md5({D.clean_text('t.text')}) FROM s t WHERE t.split = 'train')""")
 def q_leak_check(spark, sf_dir):
     s = S.holdout_split(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id", 0.2, 42)
-    train = s.where(F.col("split") == "train")
-    val = s.where(F.col("split") == "val")
-    return S.leak_check(train, val, "text", TX.clean_text).select("doc_id")
+    return S.leaked_rows(s, "doc_id", "text", TX.clean_text)
 
 
 _SIZES = list(range(200, 2601, 200))

@@ -11,7 +11,7 @@ from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import profile as P
 from ..operators import splits as S
-from ..sources.tables import read_table
+from ..sources.tables import read_spread, read_table
 from . import duck as D
 from .registry import register
 
@@ -20,7 +20,7 @@ LANG_CASE = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.TEST_LA
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents")
+    return read_spread(spark, sf_dir, "documents")
 
 
 # --- 2.2 labels ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as TX
 from ..operators import profile as P
-from ..sources.tables import read_table
+from ..sources.tables import read_spread
 from . import duck as D
 from .registry import register
 
@@ -19,7 +19,7 @@ SW = K.TEST_STOPWORDS
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents")
+    return read_spread(spark, sf_dir, "documents")
 
 
 # --- flagship: documents -> clean -> meta features -> mean by label ----------
@@ -71,7 +71,7 @@ def q_remove_stopwords(spark, sf_dir):
 @register("clean_pages", f"SELECT page_id, {D.clean_text('html')} AS clean FROM pages")
 def q_clean_pages(spark, sf_dir):
     """clean_text on raw HTML pages: exercises the tag and URL steps."""
-    p = read_table(spark, sf_dir, "pages")
+    p = read_spread(spark, sf_dir, "pages")
     return p.select("page_id", TX.clean_text("html").alias("clean"))
 
 

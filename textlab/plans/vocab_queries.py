@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as TX
 from ..functions.numeric import rround
+from ..operators import features as FE
 from ..operators import vocab as V
-from ..sources.tables import read_table
+from ..sources.files import scratch_path
+from ..sources.tables import read_spread, read_table
 from . import duck as D
-from .registry import register
+from .feature_queries import TOPK
+from .registry import ORACLE, register
 
 SW = K.TEST_STOPWORDS
 NB_WORDS = 20000     # FIXED VALUE: vocabulary cap of the analysed experiments
@@ -25,7 +28,7 @@ DIM = 64             # dimension of the ``embeddings`` test vectors
 
 
 def _tokens(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents")
     return d.select("doc_id", TX.tokenize_keras(TX.remove_stopwords("text", SW)).alias("tokens"))
 
 
@@ -74,6 +77,56 @@ def q_custom_tokenizer(spark, sf_dir):
     return V.custom_tokenizer(t, "doc_id", "tokens", v, NB_WORDS).select("doc_id", F.array_join("kept", " ").alias("kept"))
 
 
+_ENCODE_SQL = f"""WITH {_SEQ_SQL}
+SELECT doc_id,
+       array_to_string(list_concat(ids[1:{MAX_LEN}], list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda i: 0)), ' ') AS input_ids,
+       array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask
+FROM seq"""
+
+
+# --- the same results from a token table bucketed by document ---
+
+def _saved(spark, sf_dir, tokens):
+    """The tokens of documents as a saved table (a fresh one for each call)."""
+    path = scratch_path(spark, "tokens")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return V.save_tokens(tokens, "doc_id", "tokens", "tokens_" + path.rsplit("-", 1)[1], path, n)
+
+
+def _saved_keras(spark, sf_dir):
+    t = _saved(spark, sf_dir, _tokens(spark, sf_dir))
+    return t, V.vocab_of(t.where(F.col("token").isNotNull()), "doc_id")
+
+
+def _saved_sklearn(spark, sf_dir):
+    return _saved(spark, sf_dir, read_spread(spark, sf_dir, "documents").select("doc_id", TX.tokenize_sklearn("text").alias("tokens")))
+
+
+@register("saved_tf_count", ORACLE["tf_count"])
+def q_saved_tf_count(spark, sf_dir):
+    return V.saved_tf(_saved_sklearn(spark, sf_dir), "doc_id")
+
+
+@register("saved_tfidf_topk", ORACLE["tfidf_topk"])
+def q_saved_tfidf_topk(spark, sf_dir):
+    t = _saved_sklearn(spark, sf_dir)
+    n = F.lit(t.agg(F.count_distinct("doc_id")).scalar())
+    return FE.tfidf_topk_of(V.saved_tf(t, "doc_id"), "doc_id", TOPK, n, digits=6)
+
+
+@register("saved_sequences", f"WITH {_SEQ_SQL} SELECT doc_id, array_to_string(ids, ' ') AS seq FROM seq")
+def q_saved_sequences(spark, sf_dir):
+    t, v = _saved_keras(spark, sf_dir)
+    return V.saved_sequences(t, "doc_id", v, NB_WORDS).select("doc_id", F.array_join("seq", " ").alias("seq"))
+
+
+@register("saved_encode_fixed", _ENCODE_SQL)
+def q_saved_encode_fixed(spark, sf_dir):
+    t, v = _saved_keras(spark, sf_dir)
+    s = V.encode_fixed(V.saved_sequences(t, "doc_id", v, NB_WORDS), "seq", MAX_LEN)
+    return s.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("attention_mask", " ").alias("attention_mask"))
+
+
 @register("pad_pre", f"""WITH {_SEQ_SQL}, m AS (SELECT max(len(ids)) AS L FROM seq)
 SELECT doc_id, array_to_string(list_concat(list_transform(range(L - len(ids)), lambda i: 0), ids), ' ') AS padded
 FROM seq, m""")
@@ -87,11 +140,7 @@ def q_pad_pre(spark, sf_dir):
     return s.select("doc_id", F.array_join("padded", " ").alias("padded"))
 
 
-@register("encode_fixed", f"""WITH {_SEQ_SQL}
-SELECT doc_id,
-       array_to_string(list_concat(ids[1:{MAX_LEN}], list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda i: 0)), ' ') AS input_ids,
-       array_to_string(list_transform(range(1, {MAX_LEN} + 1), lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask
-FROM seq""")
+@register("encode_fixed", _ENCODE_SQL)
 def q_encode_fixed(spark, sf_dir):
     s = V.encode_fixed(_seq(spark, sf_dir), "seq", MAX_LEN)
     return s.select("doc_id", F.array_join("input_ids", " ").alias("input_ids"),
@@ -157,7 +206,7 @@ FROM w JOIN syn s ON s.lemma = w.word JOIN m USING (synset) GROUP BY w.word""")
 def q_synonym_lookup(spark, sf_dir):
     """Case-variant synonym table derived from documents (synset = lower-cased
     word, lemma = surface form); looked up for the words of ``benchmark``."""
-    d = read_table(spark, sf_dir, "documents")
+    d = read_spread(spark, sf_dir, "documents")
     syn = TX.explode_tokens(d, [], TX.tokenize_ws("text"), "lemma") \
            .select(F.lower("lemma").alias("synset"), "lemma").distinct()
     words = TX.explode_tokens(read_table(spark, sf_dir, "benchmark"), [], TX.tokenize_ws("text"), "word")

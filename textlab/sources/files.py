@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/textlab-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to a fresh folder and read again: computed once, and
+    kept when executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sink_csv(df: DataFrame, path: str, header: bool = True, mode: str = "overwrite") -> str:
     """Write CSV without an index column; fields with quotes / newlines are quoted."""
     (df.write.mode(mode).option("header", str(header).lower()).option("quote", '"')
@@ -81,24 +89,30 @@ def scan_wordvec(spark: SparkSession, path: str, dim: int | None = None) -> Data
     """(token, vec array<float>) from word-vector text (plain or .gz).
 
     The count line is recognised by content (exactly two fields), not by
-    position.  A duplicated word keeps its last occurrence: ordered by
-    (file, position in file) via ``max_by``.
+    position.  A duplicated word keeps its last occurrence, by (file, position in
+    file): the place is one decimal number, so a hash aggregate over (word, place)
+    finds it, and only then are the vectors of those lines fetched.
     """
-    raw = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("__f"),
-                                       F.monotonically_increasing_id().alias("__pos"))
+    raw = spark.read.text(path).select(F.col("value"), F.input_file_name().alias("__f"), F.monotonically_increasing_id().alias("__pos"))
+    files = raw.select("__f").distinct().select("__f", F.row_number().over(Window.orderBy("__f")).alias("__no"))  # one row a file
     parts = F.split(F.trim(F.col("value")), " ")
     rows = raw.select(parts.alias("p"), "__f", "__pos").where(F.size("p") > 2)
     if dim is not None:
         rows = rows.where(F.size("p") == dim + 1)
-    rows = rows.select(F.col("p")[0].alias("token"),
-                       F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec"),
-                       F.struct("__f", "__pos").alias("__ord"))
-    return rows.groupBy("token").agg(F.max_by("vec", "__ord").alias("vec"))
+    place = (F.col("__no").cast("decimal(10,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)") + F.col("__pos")).cast("decimal(38,0)")
+    rows = rows.join(files, "__f").select(F.col("p")[0].alias("token"), F.col("p"), place.alias("__at"))
+    last = rows.groupBy(F.col("token").alias("__t")).agg(F.max("__at").alias("__last"))
+    kept = rows.join(last, (F.col("token") == F.col("__t")) & (F.col("__at") == F.col("__last")), "left_semi")
+    return kept.select("token", F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec"))
 
 
 def sink_report(df: DataFrame, path: str, partition_by: Sequence[str] = ("run", "iteration")) -> str:
-    """Per-run / per-iteration report tables, partitioned so later reads prune."""
-    df.write.mode("overwrite").partitionBy(*partition_by).option("header", "true").csv(path)
+    """Per-run / per-iteration report tables, partitioned so later reads prune.
+
+    Writing again replaces the partitions that ``df`` has rows for and leaves all
+    others: a run that is repeated takes its own place and no other's."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+       .option("header", "true").csv(path))
     return path
 
 
