@@ -55,11 +55,22 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert S.read_ledger(spark, path).count() == 3
     S.update_ledger(day2, path)
     ledger = [tuple(r.scanned) for r in S.read_ledger(spark, path).collect()]
-    assert len(ledger) == 6 and sum(x == ("access@1", "pem@1", "jwt@1") for x in ledger) == 3
+    assert len(ledger) == 6 and sum(x == ("access@1", "pem@2", "jwt@1") for x in ledger) == 3
     got = {(r.doc_id, tuple(strings(r.findings))) for r in S.findings(day2, path).collect()}
     assert got == {(1, tuple(brute(TEXTS[0]))), (1, tuple(brute(TEXTS[1]))), (3, ())}
 
 
+def test_a_newer_rule_version_scans_every_blob_again(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "QUJD" * 10 + "\n-----END RSA PRIVATE KEY-----"
+    df, path = spark.createDataFrame([(1, key)], "doc_id long, text string"), scratch_path(spark, "t")
+    old = S.RULES | {"pem": (1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0)}
+    S.update_ledger(df, path, rules=old, first=True)
+    S.update_ledger(df, path)
+    ledger = S.read_ledger(spark, path).collect()
+    assert sorted(tuple(r.scanned) for r in ledger) == sorted([tuple(S.rule_names(old)), ("pem@2",)])
+    assert [(s["start"], s["stop"]) for s in S.findings(df, path).first()["findings"] if s["kind"] == "pem"] == [(0, len(key))]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, __at string")
     path = scratch_path(spark, "t")

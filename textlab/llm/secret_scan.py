@@ -30,7 +30,7 @@ RULES = {
     "assign": (1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     "access": (1, r"AKIA[A-Z0-9]+", 0, 18),
     "hex": (1, r"[0-9a-f]{16,}", 0, 16),
-    "pem": (1, PEM, 0, 0),
+    "pem": (2, PEM, 0, 0),
     "jwt": (1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
 }
 BASE = ("assign", "access", "hex")
@@ -109,7 +109,9 @@ def update_ledger(docs: DataFrame, path: str, text: str = "text", rules=RULES, f
 def _blob_findings(spark: SparkSession, path: str, rules) -> DataFrame:
     """(blob, findings) of every blob with findings; only the current rule versions count."""
     order = F.create_map(*[x for i, kind in enumerate(rules) for x in (F.lit(kind), F.lit(i))])
-    have = (read_ledger(spark, path).where(F.size(F.array_intersect("scanned", F.array(*map(F.lit, rule_names(rules))))) > 0)
+    current = F.create_map(*[x for kind, name in zip(rules, rule_names(rules)) for x in (F.lit(kind), F.lit(name))])
+    own = F.filter("findings", lambda s: F.array_contains("scanned", current[s.kind]))  # of a rule's older versions: none
+    have = (read_ledger(spark, path).select("blob", own.alias("findings")).where(F.size("findings") > 0)
             .groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("f")))
     return have.where(F.size("f") > 0).select("blob", F.transform(
         F.array_sort(F.transform("f", lambda s: F.struct(s.start.alias("start"), order[s.kind].alias("place"), s.stop.alias("stop"), s.kind.alias("kind")))),
