@@ -71,6 +71,19 @@ def test_repeated_rows_null_keys_versions(spark):
     assert D.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_32_bit_hash_and_no_key(spark):
+    from pyspark.sql import Window
+    # two of many texts share Spark's 32-bit hash; only the first has a passage that recurs
+    made = spark.range(400_000).select(F.concat_ws(" ", *[F.concat(F.lit(c), F.col("id").cast("string")) for c in "abcdefgh"]).alias("text"))
+    pairs = made.withColumn("h", F.hash("text")).withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").orderBy("h", "text").limit(2).collect()
+    one, other = (r.text for r in pairs)
+    assert pairs[0].h == pairs[1].h
+    texts = [one, other, one.replace(" h", " z")]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.text) for r in D.remove_repeats(df, window=6, shingle=3).collect())
+    assert got == sorted(brute(texts, 6))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab"), max_size=30), max_size=6))
 def test_equal_windows_have_equal_anchors(docs):

@@ -125,7 +125,7 @@ def _segment_rows(whole: DataFrame, window: int, shingle: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("k").take(own), batch.column("h").take(own), pa.array(at), pa.array(anchor.view(np.int64)), pa.array(seg.view(np.int64))],
                                           ["k", "h", "at", "anchor", "seg"])
 
-    return map_text(whole, ["k", "h", "text"], "text", f"k {kind}, h int, at long, anchor long, seg long", step, STEP_BYTES)
+    return map_text(whole, ["k", "h", "text"], "text", f"k {kind}, h struct<x:long,y:int>, at long, anchor long, seg long", step, STEP_BYTES)
 
 
 def _window_rows(marked: DataFrame, window: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _window_rows(marked: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("k").take(own), batch.column("h").take(own), pa.array(place.astype(np.int32)), pa.array(sure, pa.bool_()),
                                            pa.array(a), pa.array(b)], ["k", "h", "place", "sure", "a", "b"])
 
-    return map_text(marked, ["k", "h", "text", "spans", "opened"], "text", f"k {kind}, h int, place int, sure boolean, a long, b long", step, STEP_BYTES)
+    return map_text(marked, ["k", "h", "text", "spans", "opened"], "text", f"k {kind}, h struct<x:long,y:int>, place int, sure boolean, a long, b long", step, STEP_BYTES)
 
 
 def cover(docs: list[list[bytes]], confirmed: list[list[tuple[int, int]]], window: int) -> list[np.ndarray]:
@@ -216,8 +216,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     another place where its words stand; repeated and null keys keep their rows.
     Empty table: no rows.
     """
-    # a row is known by its key and a hash of its text, so versions under one key stay apart
-    whole = docs.select(F.col(key).alias("k"), F.hash(text).alias("h"), F.col(text).alias("text"))
+    # a row is known by its key and 96 bits of its text's hashes, so versions under one key stay apart
+    whole = docs.select(F.col(key).alias("k"), F.struct(F.xxhash64(text).alias("x"), F.hash(text).alias("y")).alias("h"), F.col(text).alias("text"))
     rows = _segment_rows(whole, window, shingle)
     # anchors met more than once; mixed: with several segments
     again = (rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
@@ -232,11 +232,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         F.col("anchor").alias("a"), F.col("seg").alias("s"), _fold("seg").alias("f"), "c", "one")
     opened = mixed.join(kinds, (F.col("anchor") == F.col("a")) & (F.col("seg") == F.col("s")) & (_fold("seg") == F.col("f"))).select(
         "k", "h", "at", (F.col("c") > 1).alias("sure"), (one == F.col("one")).alias("open"))
-    spans = plain.union(opened).groupBy("k", "h").agg(F.collect_list(F.struct("at", "sure", "open")).alias("spans"))
+    spans = plain.union(opened).groupBy("k", "h").agg(F.collect_set(F.struct("at", "sure", "open")).alias("spans"))
     marked = _of_row(whole, spans.withColumn("opened", F.exists("spans", lambda s: s["open"]))).withColumn("opened", F.coalesce("opened", F.lit(False)))
     windows = _window_rows(marked, window)
-    met = windows.groupBy("a", "b").agg((F.count(F.lit(1)) + F.max(F.col("sure").cast("int"))).alias("met")).where(F.col("met") > 1).select("a", "b")
-    places = windows.where(~F.col("sure")).join(met, ["a", "b"], "left_semi").groupBy("k", "h").agg(F.collect_set("place").alias("places"))
+    met = windows.groupBy("a", "b").agg((F.count(F.lit(1)) + F.max(F.col("sure").cast("int"))).alias("met")).where(F.col("met") > 1).select(
+        "a", "b", _fold("a").alias("f"))
+    places = windows.where(~F.col("sure")).withColumn("f", _fold("a")).join(met, ["a", "b", "f"], "left_semi").groupBy("k", "h").agg(F.collect_set("place").alias("places"))
     return _automata(_of_row(marked, places), window).withColumnRenamed("k", key)
 
 
