@@ -23,10 +23,11 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, edits=2, shortest=16):
-    """Rows (key, text) with unique keys -> texts without repeated lines."""
-    places = sorted((k, j, x.strip(" \t\r\x0b\x0c")) for k, t in rows if t is not None for j, x in enumerate(t.split("\n")))
-    places = [p for p in places if len(p[2]) >= shortest]
+def kept_texts(rows, edits=2, shortest=16):
+    """Texts without repeated lines, one for each row (key, text); rows of one key follow their place."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    places = [(r, j, x.strip(" \t\r\x0b\x0c")) for r in order if rows[r][1] is not None for j, x in enumerate(rows[r][1].split("\n"))]
+    places = [p for p in places if p[2]]
     lines = list(dict.fromkeys(p[2] for p in places))
     label = list(range(len(lines)))
 
@@ -36,14 +37,19 @@ def brute(rows, edits=2, shortest=16):
         return i
     for i, a in enumerate(lines):
         for j in range(i):
-            if abs(len(a) - len(lines[j])) <= edits and distance(a, lines[j]) <= edits:
+            if min(len(a), len(lines[j])) >= shortest and abs(len(a) - len(lines[j])) <= edits and distance(a, lines[j]) <= edits:
                 x, y = root(i), root(j)
                 label[max(x, y)] = min(x, y)
     at, head, gone = {x: root(i) for i, x in enumerate(lines)}, {}, set()
     for k, j, x in places:
         if head.setdefault(at[x], (k, j)) != (k, j):
             gone.add((k, j))
-    return {k: t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (k, j) not in gone) for k, t in rows}
+    return [t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (r, j) not in gone) for r, (_, t) in enumerate(rows)]
+
+
+def brute(rows, edits=2, shortest=16):
+    """Rows (key, text) with unique keys -> texts without repeated lines."""
+    return dict(zip((k for k, _ in rows), kept_texts(rows, edits, shortest)))
 
 
 def edited(rng, line, n):
@@ -109,10 +115,20 @@ def test_repeats_null_keys_empty(spark):
     rows = [(None, "the same long line"), (5, "the same long line\nanother long line"), (5, "the same long line\nanother long line"), (6, "the same long lime")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in L.drop_repeated_lines(df, counts=True).collect()), key=str)
-    assert got == sorted([(None, "", 1, 1), (5, rows[1][1], 2, 0), (5, rows[1][1], 2, 0), (6, "", 1, 1)], key=str)
+    assert got == sorted([(None, "", 1, 1), (5, rows[1][1], 2, 0), (5, "", 2, 2), (6, "", 1, 1)], key=str)
     assert L.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_exactly_one_of_each_line_whatever_the_keys(spark):
+    line = "a line that many documents hold"
+    rows = [(None, f"{line}\n{i}") for i in range(3)] + [(-5, line + "s"), (-(1 << 62), "x\n" + line), (0, "short"), (7, "short\nshort"), (7, "short\n \n\n"),
+                                                       (7, "short\n \n\n"), (None, line), (None, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("__row", F.lit("clash")).withColumn("head", F.lit(1)).drop("__row")
+    got = sorted(((r.doc_id, r.text) for r in L.drop_repeated_lines(df).collect()), key=str)
+    assert got == sorted(zip((k for k, _ in rows), kept_texts(rows)), key=str)
+    assert sum(line in t for _, t in got) == 1 and sum("short" in t for _, t in got) == 1
+
+
 def test_query_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
     rows = {r.doc_id: r for r in QUERIES["op10_line_dedup"](spark, SF001).collect()}

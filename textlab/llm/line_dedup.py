@@ -28,7 +28,8 @@ from .components import connected_components, links_within, spanning_links
 from .substring_dedup import POWERS, _ranges
 
 EDITS = 2
-#: Shorter lines (in characters, ends stripped) are left alone.
+#: Shorter lines (in characters, ends stripped) are compared for equality only: a few
+#: edits make another line of them.  Blank lines are left alone.
 SHORTEST = 16
 #: Lines of one key in one task, about.
 BLOCK = 2048
@@ -42,22 +43,21 @@ def lines_of(text: bytes) -> list[str]:
     return [x.strip(" \t\r\x0b\x0c") for x in text.decode().split("\n")]
 
 
-def _line_rows(docs: DataFrame, shortest: int) -> DataFrame:
-    """(key, place, id) of every line that is long enough; id: MD5 of the stripped line."""
-    kind = docs.schema["__key"].dataType.simpleString()
-
+def _line_rows(whole: DataFrame) -> DataFrame:
+    """(__row, __key, place, id) of every line that is not blank; id: MD5 of the stripped line."""
     def step(batch):
         row, place, ids = [], [], []
         for i, t in enumerate(texts(batch.column("__text"))):
             for j, line in enumerate(lines_of(t)):
-                if len(line) >= shortest:
+                if line:
                     row.append(i)
                     place.append(j)
                     ids.append(hashlib.md5(line.encode()).digest())
-        return pa.RecordBatch.from_arrays([batch.column("__key").take(pa.array(row, pa.int64())), pa.array(place, pa.int32()), pa.array(ids, pa.binary())],
-                                          ["__key", "place", "id"])
+        own = pa.array(row, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("__row").take(own), batch.column("__key").take(own), pa.array(place, pa.int32()), pa.array(ids, pa.binary())],
+                                          ["__row", "__key", "place", "id"])
 
-    return map_text(docs, ["__key", "__text"], "__text", f"__key {kind}, place int, id binary", step)
+    return map_text(whole, ["__row", "__key", "__text"], "__text", "__row long, __key long, place int, id binary", step)
 
 
 def cut(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -171,46 +171,39 @@ def _short(id_: Column) -> Column:
     return F.conv(F.hex(F.substring(id_, 1, SHORT_BITS // 8)), 16, 10).cast("long")
 
 
-#: A line's place in the order of keys, then of lines: one number.  Null keys come last.
-_LAST = (1 << 63) - 1
-
-
-def _order(key: Column, place: Column) -> Column:
-    return (F.coalesce(key, F.lit(_LAST)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + place).cast("decimal(38,0)")
+def _order() -> Column:
+    """A line's place in the order of keys (nulls last), then rows, then lines."""
+    return F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("key"), F.col("__row").alias("row"), F.col("place").alias("place"))
 
 
 def _texts_of(whole: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line) of the wanted lines (id, k, place), cut from the documents."""
-    places = wanted.groupBy("k").agg(F.collect_list(F.struct("place", "id")).alias("places")).withColumnRenamed("k", "__k")
-    own = F.coalesce(F.col("__key.k"), F.lit(_LAST))
-    held = maybe_in(whole, own, wanted, F.col("k"), "__maybe").where("__maybe").select(own.alias("__own"), "__text").join(places, F.col("__own") == F.col("__k"))
+    """(id, line) of the wanted lines (id, row, place), cut from the documents."""
+    places = wanted.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("place", "id")).alias("places"))
+    held = maybe_in(whole, F.col("__row"), wanted, F.col("row"), "__maybe").where("__maybe").select("__row", "__text").join(places, F.col("__row") == F.col("__r"))
 
     def step(batch):
         ids, out = [], []
         for t, places in zip(texts(batch.column("__text")), batch.column("places").to_pylist()):
             lines = lines_of(t)
-            for p in places:  # another row with this key may have other lines
-                if p["place"] < len(lines) and hashlib.md5(lines[p["place"]].encode()).digest() == p["id"]:
-                    ids.append(p["id"])
-                    out.append(lines[p["place"]])
+            for p in places:
+                ids.append(p["id"])
+                out.append(lines[p["place"]])
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.string())], ["id", "line"])
 
-    return map_text(held, ["__text", "places"], "__text", "id binary, line string", step).dropDuplicates(["id"])
+    return map_text(held, ["__text", "places"], "__text", "id binary, line string", step)
 
 
 def repeated_lines(whole: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
-    """(key, places): the lines that go, for (``__key``: struct of k and h, ``__text``)."""
-    rows = stored(_line_rows(whole, shortest).withColumn("at", _order(F.col("__key.k"), F.col("place"))), "lines")
-    lines = stored(rows.groupBy("id").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
+    """(row, places): the lines that go, for (__row: unique, __key, __text)."""
+    rows = stored(_line_rows(whole), "lines")
+    lines = stored(rows.groupBy("id").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("n")), "distinct-lines")
     # lines that share a key with another line, of which one is filed there
     w = Window.partitionBy("key")
     met = stored(_probe_rows(whole, edits, shortest)
                  .withColumn("low", F.min("short_id").over(w)).withColumn("high", F.max("short_id").over(w)).withColumn("any", F.max("filed").over(w))
                  .where(F.col("any") & (F.col("low") != F.col("high"))).select("key", "short_id").distinct(), "line-keys")
-    span = F.lit(1 << 32).cast("decimal(10,0)")
-    k = F.floor(F.col("first") / span).cast("long")
     wanted = (lines.join(met.select("short_id").distinct(), _short(F.col("id")) == F.col("short_id"), "left_semi")
-              .select("id", k.alias("k"), (F.col("first") % span).cast("int").alias("place")))
+              .select("id", "first.row", "first.place"))
     known = stored(_texts_of(whole, wanted).withColumn("__short", _short(F.col("id"))), "line-texts")
     meetings = met.join(known, F.col("short_id") == F.col("__short")).select("key", "id", "line")
     links = links_within(meetings, ["key"], "id", block, F.length("line"), _linker(edits), "a binary, b binary")
@@ -222,33 +215,36 @@ def repeated_lines(whole: DataFrame, edits: int = EDITS, shortest: int = SHORTES
     heads = linked.join(heads, F.col("component") == F.col("c")).select("id", "head")
     alone = lines.where("n > 1").join(members, F.col("id") == F.col("node"), "left_anti").select("id", F.col("first").alias("head"))
     heads = heads.union(alone).withColumnRenamed("id", "__id")
-    gone = rows.join(heads, (F.col("id") == F.col("__id")) & (F.col("at") != F.col("head")))
-    return gone.groupBy(F.col("__key").alias("__k")).agg(F.collect_set("place").alias("places"))
+    stays = (F.col("__row") == F.col("head.row")) & (F.col("place") == F.col("head.place"))
+    gone = rows.join(heads, (F.col("id") == F.col("__id")) & ~stays)
+    return gone.groupBy(F.col("__row").alias("__r")).agg(F.collect_set("place").alias("places"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = SHORTEST,
                         block: int = BLOCK, counts: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, all other columns as they are.
 
-    Lines are parts between newlines; lines whose stripped form has ``shortest``
-    characters or more are compared.  Lines linked by at most ``edits`` edits,
-    directly or through others, form a class; of each class the first occurrence
-    (smallest key, then place in the text) stays.  ``key`` is an integer column;
-    rows with a null key come after all others and count as one document, as do
-    rows that repeat a key, and what stays stays in each.  Null texts stay null
+    Lines are parts between newlines, their ends stripped; blank ones do not count.
+    Equal lines, and lines of ``shortest`` characters or more that are linked by at
+    most ``edits`` edits, directly or through others, form a class; of each class
+    exactly one occurrence stays, the first by key (null keys last), then by row, then
+    by place in the text.  ``key`` is an integer column; repeated and null keys are
+    rows of their own, which follow their place in the table.  Null texts stay null
     and have no lines.  ``counts`` adds n_lines and n_removed.  Empty: no rows.
+
+    The documents are written once with a number for each row, so that every step
+    knows a row by that number.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    own = F.struct(F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("h"))
-    whole = docs.select(own.alias("__key"), F.col(text).alias("__text"))
-    gone = repeated_lines(whole, edits, shortest, block).withColumnRenamed("places", "__places")
+    held = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "line-docs")
+    whole = held.select("__row", F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    gone = stored(repeated_lines(whole, edits, shortest, block).withColumnRenamed("places", "__places"), "lines-gone")
     split = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("__places", i)), "\n")
     more = [F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
             F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long").alias("n_removed")] if counts else []
-    gone = stored(gone, "lines-gone")
-    marked = maybe_in(docs.withColumn("__key", own), F.col("__key"), gone, F.col("__k"), "__maybe")
-    some = marked.where("__maybe").join(gone, F.col("__key") == F.col("__k"), "left").select(
+    marked = maybe_in(held, F.col("__row"), gone, F.col("__r"), "__maybe")
+    some = marked.where("__maybe").join(gone, F.col("__row") == F.col("__r"), "left").select(
         *[F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns], *more)
     none = marked.where(~F.col("__maybe")).withColumn("__places", F.lit(None).cast("array<int>")).select(*docs.columns, *more)
     return some.union(none)
