@@ -131,9 +131,14 @@ def _members(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, dista
     distinct = fps.groupBy("fp").agg(F.min("__key").alias("first"))
     found = connected_components(near_links(distinct.select("fp"), distance))
     member = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = member.groupBy("component").agg(F.min("first").alias("component_id"))
-    names = member.join(least, "component").select("fp", "component", "component_id")
-    return fps.join(names, "fp")
+    # the fold keys make both sides shuffles of their own, so that Spark can split a large component or copy group
+    least = member.groupBy("component").agg(F.min("first").alias("component_id")).withColumn("fold", _fold("component"))
+    names = member.withColumn("fold", _fold("component")).join(least, ["component", "fold"]).select("fp", "component", "component_id")
+    return fps.withColumn("fold", _fold("fp")).join(names.withColumn("fold", _fold("fp")), ["fp", "fold"]).drop("fold")
+
+
+def _fold(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(1009))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
