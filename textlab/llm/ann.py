@@ -197,6 +197,10 @@ def search(queries: DataFrame, edges: DataFrame, codes: DataFrame, reverse: int
     return seen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= final).select("q", "u")
 
 
+def _fold(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(1009))
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", **graph) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, by inner
     product in double precision, ties to the smaller key; a row is not its own neighbour.
@@ -210,8 +214,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("e"), x.alias("x"), is_query.alias("is_query")).where(F.col("id").isNotNull() & usable(F.col(vector)))
     own = own.groupBy("id").agg(F.max("x").alias("x"), F.max("is_query").alias("is_query"))
     # equal vectors: the smallest id stands for all; the k + 1 smallest ids can matter
-    by_vector = own.groupBy("x").agg(F.min("id").alias("v"))
-    named = stored(own.join(by_vector, "x").select("id", "v", "is_query", F.when(F.col("id") == F.col("v"), F.col("x")).alias("x")), "ann-rows")
+    # (fold keys make both sides of a join shuffles of their own, so that Spark can split a vector that very many rows hold)
+    by_vector = own.groupBy("x").agg(F.min("id").alias("v")).withColumn("fold", _fold("x"))
+    named = stored(own.withColumn("fold", _fold("x")).join(by_vector, ["x", "fold"]).select("id", "v", "is_query", F.when(F.col("id") == F.col("v"), F.col("x")).alias("x")), "ann-rows")
     first = Window.partitionBy("v", F.pmod("id", F.lit(64))).orderBy("id")
     then = Window.partitionBy("v").orderBy("id")
     members = (named.select("v", "id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
@@ -231,5 +236,5 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
              .join(members, "u").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("q", "vec_id", "score"))
     asked = named.where("is_query").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (asked.join(lists, "q").where("query_id <> vec_id").withColumn("rank", F.row_number().over(final))
+    return (asked.withColumn("fold", _fold("q")).join(lists.withColumn("fold", _fold("q")), ["q", "fold"]).where("query_id <> vec_id").withColumn("rank", F.row_number().over(final))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
