@@ -247,14 +247,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
                     sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels (0 or 1; a document with any 1 counts as 1) of at most
     ``sample`` documents a class outside the held-out part, first in hash order.
-    Only their keys are ranked; null labels, keys and texts do not count."""
+    Only their keys are ranked; null labels, keys and texts do not count, and of
+    several texts under one key the first in hash order does."""
     one = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     picked = [one.where(F.col("__y") == y).orderBy(F.xxhash64(F.col(key), F.lit(11)), key).limit(sample) for y in (0, 1)]
     ids = picked[0].union(picked[1]).withColumnRenamed(key, "__key")  # bounded: 2 x sample keys
     rows = (docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS)
-            .join(F.broadcast(ids), F.col("__doc") == F.col("__key")).select("__doc", "__text", "__y").dropDuplicates(["__doc"]).collect())
+            .join(F.broadcast(ids), F.col("__doc") == F.col("__key")).groupBy("__doc", "__y")
+            .agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("first")).collect())
     rows = sorted(rows, key=lambda r: r["__doc"])
-    return [r["__text"].encode() for r in rows], np.array([r["__y"] for r in rows], np.int64)
+    return [r["first"]["__text"].encode() for r in rows], np.array([r["__y"] for r in rows], np.int64)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
