@@ -127,3 +127,91 @@ def test_quality_query(spark):
     clean = [rows[r.doc_id].kept for r in labels if r.quality == 1 and not r.toxic]
     junk = [rows[r.doc_id].kept for r in labels if r.quality == 0]
     assert np.mean(clean) > 0.97 and np.mean(junk) < 0.1
+
+
+M32 = (1 << 32) - 1
+
+
+def plain_position(model, text):
+    """A text's place on the quality scale, one feature at a time."""
+    def mix(x):
+        x = (x ^ x >> 16) * 0x7FEB352D & M32
+        x = (x ^ x >> 15) * 0x846CA68B & M32
+        return (x ^ x >> 16) & Q.BUCKETS - 1
+
+    def kind(b):
+        return 0 if b in b"\t\n\x0b\x0c\r " else 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else b + 8
+    grams = [mix(text[i] * 65536 + text[i + 1] * 256 + text[i + 2]) for i in range(len(text) - 2)]
+    words, last_shape, last = [], 0, None
+    for w in text.split():
+        shape = kind(w[0]) + kind(w[-1]) * 256 + min(len(w), 12) * 65536
+        words += [mix(shape + 1), mix((shape * 31 + last_shape * 131071 + 2) & M32), mix(3 + (w == last))]
+        last_shape, last = shape, w
+    s = sum(float(model.weights[g]) for g in grams) / len(grams) if grams else 0.0
+    s += sum(float(model.weights[w + Q.BUCKETS]) for w in words) / (len(words) / 3) if words else 0.0
+    return s * Q.SCALE
+
+
+def plain_toxicity(model, text):
+    """A text's score by its most toxic word, one n-gram at a time."""
+    def fold(b):
+        if b >= 128:
+            return b
+        return b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or chr(b) in "'*@$_-+" else 0
+    words, word = [], []
+    for b in [*map(fold, text), 0]:
+        if b:
+            word.append(b)
+        elif word:
+            words, word = [*words, word], []
+    scores = []
+    for w in words:
+        spelt, found = [0, *w, 0], []
+        for n in T.NGRAMS:
+            for i in range(len(spelt) - n + 1):
+                h = 0
+                for b in spelt[i:i + n]:
+                    h = (h * 0x01000193 + b + 1) & M32
+                h ^= h >> 15
+                found.append(float(model.weight[((h * 0x2C1B3C6D + n & M32) >> 9) & T.BUCKETS - 1]))
+        scores.append(sum(found) / max(len(found), 1) + model.bias)
+    z = model.slope * max(scores, default=-20.0) + model.shift
+    return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity"])
+def test_scores_equal_a_plain_scorer(spark, toxic_model, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = ["", None, " ", "a", "ab", "  again again  again", "It's 9 o'clock\x0b\x1c é", "x" * 5000, "\nA A"]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10_000 + i, t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if name == "toxicity":
+        got = {r.doc_id: r.score for r in T.score(df, toxic_model).collect()}
+        want = {k: plain_toxicity(toxic_model, (t or "").encode()) for k, t in rows}
+    else:
+        model = Q.fit_rows(Q.graded_rows(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), sample=60), epochs=5)
+        got = {r.doc_id: r.expected_grade for r in Q.score(df, model).collect()}
+        want = {k: float(model.tails(np.array([plain_position(model, (t or "").encode())])).sum()) for k, t in rows}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-4, abs=1e-7), k
+
+
+def test_one_text_of_several_under_a_key_is_always_the_same(spark):
+    rows = [(i % 20, f"text {i} of many") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    a, b = (sorted(map(tuple, Q.graded_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels).collect())) for n in (1, 7))
+    assert a == b and len(a) == 20
+    labels = labels.withColumn("toxic", F.col("quality"))
+    a, b = (T.training_sample(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels)[0] for n in (1, 7))
+    assert a == b
+
+
+def test_the_fit_in_a_task_is_the_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = Q.graded_rows(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), sample=50)
+    held = sorted(rows.collect())
+    here = Q.fit(([r.text.encode() for r in held], np.array([r.grade for r in held])), epochs=3)
+    there = Q.fit_rows(rows, epochs=3)
+    assert np.array_equal(here.weights, there.weights) and np.allclose(here.cuts, there.cuts)
+    assert Q.fit_rows(rows.limit(0)).position(b"any text") == 0.0

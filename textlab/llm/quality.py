@@ -60,7 +60,7 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     kind = KIND[data]
     length = (end - first).astype(np.uint32)
     shape = kind[first] + kind[end - 1] * np.uint32(256) + np.minimum(length, 12) * np.uint32(65536)
-    order = np.arange(len(data)) - np.repeat(np.concatenate([[0], first[1:]]), np.diff(np.concatenate([[0], first[1:], [len(data)]])))
+    order = np.arange(len(data)) - np.repeat(first, np.diff(np.concatenate([[0], first[1:], [len(data)]])))
     word = np.add.reduceat(np.where(inside[1:-1], wide * (order.astype(np.uint32) * np.uint32(2654435761) | np.uint32(1)), np.uint32(0)), first)
     same = np.concatenate([[False], word[1:] == word[:-1]])
     before = np.concatenate([[np.uint32(0)], shape[:-1]])
@@ -99,8 +99,8 @@ def fit(sample: tuple[list[bytes], np.ndarray], grades: int = 3, epochs: int = E
     for t in docs:
         grams, words = features(t)
         both, n = np.unique(np.concatenate([grams, words + np.uint32(BUCKETS)]).astype(np.int64), return_counts=True)
-        idx.append(both)
-        val.append(n / np.where(both < BUCKETS, max(len(grams), 1), max(len(words), 1) / 3) * SCALE)
+        idx.append(both.astype(np.int32))
+        val.append((n / np.where(both < BUCKETS, max(len(grams), 1), max(len(words), 1) / 3) * SCALE).astype(np.float32))
         size.append(len(both))
     size, flat, value = np.array(size), np.concatenate(idx), np.concatenate(val)
     first = np.cumsum(size) - size
@@ -144,19 +144,32 @@ def grade(quality, toxic):
     return F.when(quality == 0, 0).when(F.coalesce(toxic, F.lit(0)) == 1, 1).otherwise(2)
 
 
-def graded_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                  sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Texts and grades of at most ``sample`` rated documents a grade, first in hash
-    order.  A document with several ratings has its lowest.  Null keys, texts and
-    qualities do not count.  Only keys are ranked; 3 x sample texts reach the driver."""
+def graded_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """(key, text, grade) of at most ``sample`` rated documents a grade, first in hash order.
+
+    A document with several ratings has its lowest; of several texts under one key
+    the first in hash order counts.  Null keys, texts and qualities do not count.
+    Only keys are ranked."""
     rated = (labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull())
              .groupBy(F.col(key).alias("__key")).agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("__grade")))
     picked = [rated.where(F.col("__grade") == g).orderBy(F.xxhash64("__key", F.lit(23)), "__key").limit(sample) for g in (0, 1, 2)]
     ids = picked[0].union(picked[1]).union(picked[2])  # bounded: 3 x sample keys
     rows = (docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).where(F.length("__text") <= SAMPLE_CHARS)
-            .join(F.broadcast(ids), F.col("__doc") == F.col("__key")).select("__doc", "__text", "__grade").dropDuplicates(["__doc"]).collect())
-    rows = sorted(rows, key=lambda r: r["__doc"])
-    return [r["__text"].encode() for r in rows], np.array([r["__grade"] for r in rows], np.int64)
+            .join(F.broadcast(ids), F.col("__doc") == F.col("__key")))
+    return rows.groupBy("__doc", "__grade").agg(F.min(F.struct(F.xxhash64("__text"), "__text")).alias("__first")).select(
+        F.col("__doc").alias("key"), F.col("__first.__text").alias("text"), F.col("__grade").alias("grade"))
+
+
+def fit_rows(rows: DataFrame, grades: int = 3, epochs: int = EPOCHS) -> Model:
+    """``fit`` on the rows of ``graded_rows``, in one task; only the model reaches the driver."""
+    def run(batches):
+        held = sorted(((r["key"], r["text"], r["grade"]) for b in batches for r in b.to_pylist()), key=lambda r: r[0])
+        model = fit(([t.encode() for _, t, _ in held], np.array([g for _, _, g in held], np.int64)), grades, epochs)
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f4").tobytes()], "cuts": [model.cuts.tolist()]},
+                                         schema=pa.schema([("weights", pa.binary()), ("cuts", pa.list_(pa.float64()))]))
+
+    found = rows.repartition(1).mapInArrow(run, "weights binary, cuts array<double>").collect()  # 3 x sample rows, one model
+    return Model(np.frombuffer(found[0]["weights"], "<f4"), np.array(found[0]["cuts"])) if found else fit(([], []), grades)
 
 
 def _rated(model: Model, column) -> np.ndarray:

@@ -41,12 +41,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
-    path = tokenizer_path("byte_bpe_50k.json")
-    ids = bpe.encode(read_table(spark, sf_dir, "documents"), path).select(
-        F.struct("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                 F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256")).alias("row"), "ids")
-    back = bpe.decode(ids, path, key="row")
-    return back.select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 @register("op6_packing")
@@ -101,7 +96,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
     docs = read_table(spark, sf_dir, "documents")
-    model = quality.fit(quality.graded_sample(docs, read_table(spark, sf_dir, "labels")))
+    model = quality.fit_rows(quality.graded_rows(docs, read_table(spark, sf_dir, "labels")))
     return quality.score(docs, model).withColumn("kept", F.col("tail_probability") >= quality.KEEP_TAIL)
 
 
