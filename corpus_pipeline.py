@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the graded classifier does not reject."""
     from textlab.llm import quality
     labels = read_table(spark, sf_dir, "labels")
-    model = quality.fit(quality.graded_sample(docs, labels))
+    model = quality.fit_rows(quality.graded_rows(docs, labels))
     return quality.keep(docs, model)
 
 
