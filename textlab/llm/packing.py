@@ -30,7 +30,7 @@ CAPACITY = 4096
 #: Pieces in one group, about; the work of a group is bounded by it.
 GROUP = 4096
 #: Distinct words in one generation of a Python worker's memory.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class WordIds:
