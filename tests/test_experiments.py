@@ -153,7 +153,7 @@ def test_sparse_counts_keep_every_row(spark):
     assert sorted(got[1].val) == [1.0, 2.0] and got[1].idx == sorted(got[1].idx) and got[2].idx == [] and got[3].val == []
 
 
-@pytest.mark.parametrize("name, by, rounds", [("cv_experiment", ("setting", "fold"), 20), ("bootstrap_report", ("round",), 10), ("augment_experiment", ("style",), 2)])
+@pytest.mark.parametrize("name, by, rounds", [("cv_experiment", ("setting", "fold"), 20), ("bootstrap_report", ("round",), 10)])
 def test_reports(spark, name, by, rounds):
     rows = Q.queries()[name](spark, SF001).collect()
     groups = {tuple(r[b] for b in by) for r in rows}
