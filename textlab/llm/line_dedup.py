@@ -179,7 +179,7 @@ def _order() -> Column:
 def _texts_of(whole: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, line) of the wanted lines (id, row, place), cut from the documents."""
     places = wanted.groupBy(F.col("row").alias("__r")).agg(F.collect_list(F.struct("place", "id")).alias("places"))
-    held = maybe_in(whole, F.col("__row"), wanted, F.col("row"), "__maybe").where("__maybe").select("__row", "__text").join(places, F.col("__row") == F.col("__r"))
+    held = maybe_in(whole, F.col("__row"), wanted, F.col("row"), "__maybe").where("__maybe").select("__row", "__text").join(places.hint("merge"), F.col("__row") == F.col("__r"))
 
     def step(batch):
         ids, out = [], []
@@ -244,7 +244,8 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     more = [F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
             F.when(F.col("__places").isNull(), 0).otherwise(F.size("__places")).cast("long").alias("n_removed")] if counts else []
     marked = maybe_in(held, F.col("__row"), gone, F.col("__r"), "__maybe")
-    some = marked.where("__maybe").join(gone, F.col("__row") == F.col("__r"), "left").select(
+    # joins with texts are planned alike at every size, so that what a small table shuffles tells about a large one
+    some = marked.where("__maybe").join(gone.hint("merge"), F.col("__row") == F.col("__r"), "left").select(
         *[F.when(F.col("__places").isNull(), F.col(text)).otherwise(left).alias(text) if c == text else F.col(c) for c in docs.columns], *more)
     none = marked.where(~F.col("__maybe")).withColumn("__places", F.lit(None).cast("array<int>")).select(*docs.columns, *more)
     return some.union(none)
