@@ -33,7 +33,7 @@ EDITS = 2
 SHORTEST = 16
 #: Lines of one key in one task, about.
 BLOCK = 2048
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bits of a lookup key and of the part of an identifier that goes with it.  Lines
 #: that share either by chance only meet for nothing.
 KEY_BITS, SHORT_BITS = 48, 40
