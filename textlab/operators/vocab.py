@@ -1,15 +1,19 @@
 """Vocabulary, token-id sequences, padding, embedding lookup and pooling.
 
-Token work is ``posexplode`` -> join -> ordered re-collect.  Word counts use
-partial aggregation, so a very frequent word is pre-counted in every task
-before the shuffle.  A vocabulary capped at ``n_words`` entries is a bounded
-dimension and is broadcast; the uncapped one is joined by shuffle.
+Words are counted per batch of documents before the shuffle, so a very frequent word
+is pre-counted in every task.  A vocabulary capped at ``n_words`` entries is a bounded
+dimension: every task looks its tokens up, and documents travel as arrays of ids.
+With the uncapped one, token work is ``posexplode`` -> join -> ordered re-collect.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as TX
 from . import rank as R
@@ -26,13 +30,50 @@ def build_vocab(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     of their first appearance, the ranges are numbered in two levels, and
     ``row_number`` runs inside a range.
     """
-    return vocab_of(TX.explode_tokens(docs, [key], tokens, "token", pos="pos"), key)
+    d = docs.select(F.col(key).cast("long").alias(key), tokens if isinstance(tokens, Column) else F.col(tokens))
+    return _ranked_words(d.mapInArrow(_word_counts, T.StructType([
+        T.StructField(key, T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("token", T.StringType()),
+        T.StructField("n", T.LongType())])), key, F.sum("n"))
 
 
 def vocab_of(t: DataFrame, key: str) -> DataFrame:
     """``build_vocab`` of tokens that are rows already: (key, pos, token)."""
+    return _ranked_words(t, key, F.count(F.lit(1)))
+
+
+def _word_counts(batches):
+    """(key, pos, token, n): the words of each batch of (key, tokens), with their number and
+    first place in it.  Rows without a key count, but have no place."""
+    for batch in batches:
+        known = pc.is_valid(batch.column(0))
+        for rows in (batch.filter(known), batch.filter(pc.invert(known))):
+            rows = rows.filter(pc.is_valid(rows.column(1)))
+            if not rows.num_rows:
+                continue
+            with_key = not rows.column(0).null_count
+            if with_key:
+                rows = rows.take(pc.sort_indices(rows.column(0)))
+            lists = rows.column(1)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            at, flat = at - at[0], lists.flatten()
+            owner = np.repeat(np.arange(rows.num_rows), np.diff(at))
+            place = np.flatnonzero(flat.is_valid().to_numpy(zero_copy_only=False))
+            keys = rows.column(0).to_numpy() if with_key else np.zeros(rows.num_rows, np.int64)
+            if (keys[1:] == keys[:-1]).any():   # rows of one key: the least position comes first
+                place = place[np.lexsort(((place - at[owner[place]]), keys[owner[place]]))]
+            coded = flat.take(pa.array(place)).dictionary_encode()
+            codes, words = coded.indices.to_numpy(), coded.dictionary
+            first = np.zeros(len(words), np.int64)
+            first[codes[::-1]] = place[::-1]    # the first of each word is written last
+            lead = pa.array(keys[owner[first]]) if with_key else pa.nulls(len(words), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [lead, pa.array((first - at[owner[first]]).astype(np.int32)), words.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(words)).astype(np.int64))],
+                [batch.schema.names[0], "pos", "token", "n"])
+
+
+def _ranked_words(t: DataFrame, key: str, n: Column) -> DataFrame:
     place = (F.col(key).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
-    counts = t.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    counts = t.groupBy("token").agg(n.alias("n"), F.min(place).alias("first"))
     # The word table is read several times below; it is materialised once with a
     # reliable checkpoint instead of re-exploding every document each time.
     R.ensure_checkpoint(t.sparkSession)
@@ -74,6 +115,38 @@ def _positions(docs: DataFrame, key: str, tokens: str | Column) -> DataFrame:
     return docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
 
 
+def _looked_up(docs: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, n_words: int | None, value: str, out: str) -> DataFrame:
+    """``_ordered`` of whole documents.  Below ``MAX_BROADCAST_BYTES`` the capped vocabulary goes
+    to every task, which replaces a document's tokens where they lie; what crosses the
+    network is one array a document (tokens that are not in the vocabulary are nulls until
+    the rows of a key are together, so that several keep the order of their positions)."""
+    def by_join():
+        return _ordered(_positions(docs, key, tokens), key, capped_vocab(vocab, n_words), value, out)
+
+    if n_words is None or n_words * WORD_BYTES > MAX_BROADCAST_BYTES:
+        return by_join()
+    entries = [r for r in vocab.where(F.col("idx") < n_words).select("token", F.col(value).alias("v")).collect() if r["token"] is not None]
+    if len({r["token"] for r in entries}) < len(entries):
+        return by_join()
+    kind, arrow = (T.LongType(), pa.int64()) if value == "idx" else (T.StringType(), pa.string())
+    held = docs.sparkSession.sparkContext.broadcast(([r["token"] for r in entries], [r["v"] for r in entries]))
+
+    def look_up(batches):
+        words, values = pa.array(held.value[0], pa.string()), pa.array(held.value[1], arrow)
+        for batch in batches:
+            lists = batch.column(1)
+            at = lists.offsets.to_numpy()
+            found = values.take(pc.index_in(lists.flatten(), value_set=words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), found)], [key, "__v"])
+
+    d = docs.select(key, tokens if isinstance(tokens, Column) else F.col(tokens))
+    rows = d.mapInArrow(look_up, T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("__v", T.ArrayType(kind))]))
+    own = rows.groupBy(key).agg(F.collect_list("__v").alias("__l"))
+    placed = F.array_sort(F.flatten(F.transform("__l", lambda a: F.transform(a, lambda x, i: F.struct(i.alias("pos"), x.alias("x"))))))
+    one = F.when(F.size("__l") == 1, F.col("__l")[0]).otherwise(F.transform(placed, lambda s: s["x"]))
+    return own.select(key, F.array_compact(one).alias(out))
+
+
 def _ordered(t: DataFrame, key: str, vocab: DataFrame, value: str, out: str) -> DataFrame:
     """Per document the vocabulary's ``value`` of its tokens, in order; tokens that are not in
     it are left out.  The row of nulls keeps empty documents, so nothing is joined back."""
@@ -86,17 +159,13 @@ def texts_to_sequences(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                        n_words: int | None = None, out: str = "seq") -> DataFrame:
     """Token arrays -> id arrays in order; OOV and ids >= n_words dropped.
     Every document is kept (empty sequence when nothing survives); keys are unique."""
-    # partitioned by document first: with the (broadcast) capped vocabulary the join
-    # keeps that partitioning, so re-collecting needs no shuffle of exploded tokens
-    docs = docs.repartition(key) if n_words is not None else docs
-    return _ordered(_positions(docs, key, tokens), key, capped_vocab(vocab, n_words), "idx", out)
+    return _looked_up(docs, key, tokens, vocab, n_words, "idx", out)
 
 
 def custom_tokenizer(docs: DataFrame, key: str, tokens: str, vocab: DataFrame,
                      n_words: int | None = None, out: str = "kept") -> DataFrame:
     """Keep in-vocabulary tokens as strings, order kept."""
-    docs = docs.repartition(key) if n_words is not None else docs
-    return _ordered(_positions(docs, key, tokens), key, capped_vocab(vocab, n_words), "token", out)
+    return _looked_up(docs, key, tokens, vocab, n_words, "token", out)
 
 
 # --- a token table that keeps its partitioning ---
@@ -124,11 +193,12 @@ def saved_sequences(table: DataFrame, key: str, vocab: DataFrame, n_words: int |
 
 def pad_pre(df: DataFrame, seq: str, maxlen: int | None = None, out: str = "padded") -> DataFrame:
     """Keras ``pad_sequences``: left-pad with 0 to ``maxlen`` (default: the
-    longest sequence, a scalar subquery); longer sequences keep their tail."""
+    longest sequence, a scalar subquery); longer sequences keep their tail.
+    The zeros are of the ids' own type."""
     L = F.lit(maxlen) if maxlen is not None else F.lit(df.agg(F.max(F.size(seq))).scalar())
     s = F.col(seq)
     tail = F.when(F.size(s) > L, F.slice(s, F.size(s) - L + 1, L)).otherwise(s)
-    pad = F.array_repeat(F.lit(0).cast("long"), F.greatest(L - F.size(tail), F.lit(0)))
+    pad = F.array_repeat(F.lit(0).cast(df.schema[seq].dataType.elementType), F.greatest(L - F.size(tail), F.lit(0)))
     return df.withColumn(out, F.concat(pad, tail))
 
 

@@ -133,10 +133,14 @@ FROM seq, m""")
 def q_pad_pre(spark, sf_dir):
     """Two passes are inherent (the corpus maximum, then padding): the
     sequences are materialised once with a reliable checkpoint instead of
-    recomputing tokens, vocabulary and joins inside the max subquery."""
+    recomputing tokens, vocabulary and joins inside the max subquery.  The ids
+    become strings before they are padded: a text is padded to the longest of the
+    corpus, and a zero of the padding is then one shared string, not a number that is
+    written out each time."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    s = V.pad_pre(_seq(spark, sf_dir).checkpoint(eager=True), "seq")
+    s = _seq(spark, sf_dir).checkpoint(eager=True)
+    s = V.pad_pre(s.withColumn("seq", F.col("seq").cast("array<string>")), "seq")
     return s.select("doc_id", F.array_join("padded", " ").alias("padded"))
 
 
