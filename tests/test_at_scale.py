@@ -1,6 +1,8 @@
 """Steps that must not make a row of every token, nor repeat their work, at any size."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from textlab.functions import text as TX
 from textlab.operators import augment as A
 from textlab.operators import experiments as E
+from textlab.operators import features as FE
 from textlab.operators import vocab as V
 
 
@@ -118,3 +121,30 @@ def test_diversity_without_texts(spark):
     assert {(r.a, r.b): (r.j, r.c) for r in got.collect()} == {
         ("a b", "a c"): (1 / 3, 0.5), ("a b", "a b c"): (2 / 3, 1 / 3), ("", " "): (1.0, 0.0), (None, ""): (None, 0.0),
         (None, "a"): (None, None), (None, None): (None, None), ("a a", "a"): (1.0, 0.5)}
+
+
+def test_tfidf_moves_blocks_not_terms(spark, odd, monkeypatch):
+    monkeypatch.setattr(FE, "BLOCK_TERMS", 40)
+    rows = [(r.k, words(r.t) + [None]) for r in odd.collect()] + [(None, ["a", "A A"]), (None, ["a"]), (90, None), (91, [])]
+    docs = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    got = FE.tfidf(docs, "k", "w")
+    assert "Generate" not in plan(got)
+    counts = Counter((k, w) for k, ws in rows for w in ws or () if w is not None)
+    df = Counter(w for _, w in counts)
+    weight = {(k, w): n * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for (k, w), n in counts.items()}
+    norm = Counter()
+    for (k, _), v in weight.items():
+        norm[k] += v * v
+    found = got.collect()
+    assert len(found) == len(weight) and {(r.k, r.term) for r in found} == weight.keys()
+    assert all(math.isclose(r.weight, weight[r.k, r.term] / math.sqrt(norm[r.k]), rel_tol=1e-12) for r in found)
+    five = FE.tfidf(docs, "k", F.col("w"), digits=5, n_docs=F.lit(len(rows)))
+    assert {(r.k, r.term): r.weight for r in five.collect()} == {(r.k, r.term): round(r.weight, 5) for r in found}
+    assert FE.tfidf(docs.where("k > 89"), "k", "w").collect() == []
+    # pairs are made within a row, also where a word is the same as a pair
+    rows = [(1, ["a", "b", "a", "b"]), (2, ["a b", "c"]), (2, ["a"]), (3, ["a", "b c"]), (4, [])]
+    docs = spark.createDataFrame(rows, "k long, w array<string>").coalesce(1)
+    every = [(k, ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])]) for k, ws in rows]
+    want = FE.tfidf(spark.createDataFrame(every, docs.schema), "k", "w")
+    got = FE.tfidf(docs, "k", "w", pairs=True)
+    assert {(r.k, r.term): r.weight for r in got.collect()} == pytest.approx({(r.k, r.term): r.weight for r in want.collect()})
