@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from textlab.functions import constants as K
 from textlab.operators import labels as L
 from textlab.operators import models as M
@@ -27,3 +28,13 @@ def test_stream_scoring_equals_batch(spark):
     batch = model.transform(docs).select("doc_id", "prediction")
     assert got.count() == batch.count()
     assert got.exceptAll(batch).count() == 0
+
+
+def test_stream_reads_a_table_of_many_files(spark, tmp_path):
+    rows = [(i, f"Text {i} with <b>tags</b> and http://x.y/{i}", "en", "web", 30) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = E.queries()["stream_clean_features"](spark, str(tmp_path))
+    batch = ST.clean_features(docs, "doc_id", "text", K.TEST_STOPWORDS)
+    assert got.count() == 50
+    assert got.exceptAll(batch.select(*got.columns)).count() == 0

@@ -55,7 +55,11 @@ def stream_to_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table read as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return read_stream(spark, sf_dir, schema, glob="documents.parquet").select(
-        F.col("doc_id"), F.col("text"), F.col("lang"))
+    """The documents table, one file or a folder of files, read as a file stream."""
+    table = f"{sf_dir}/documents.parquet"
+    schema = spark.read.parquet(table).schema
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    folder = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    # a stream's path is a folder: a table of one file is found in the folder it lies in
+    rows = read_stream(spark, table, schema) if folder else read_stream(spark, sf_dir, schema, glob="documents.parquet")
+    return rows.select(F.col("doc_id"), F.col("text"), F.col("lang"))
