@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import GBTClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -56,3 +56,11 @@ def test_thresholds_of_many_values():
     cuts = TR.thresholds(np.arange(1, 1001) / 1000.0, 2000.0, 32)
     assert len(cuts) <= 32 and (np.diff(cuts) > 0).all() and cuts[0] == pytest.approx(0.0005)
     assert TR.thresholds(np.array([2.0, 2.0, 4.0]), 3.0, 32).tolist() == [3.0]
+
+
+@pytest.mark.parametrize("max_iter", [2, 25])
+def test_perceptron_is_mllibs(rows, max_iter):
+    own = M.mlp(WIDTH, [6, 5], 3, max_iter=max_iter).fit(rows)
+    theirs = MultilayerPerceptronClassifier(layers=[WIDTH, 6, 5, 3], maxIter=max_iter, seed=42, blockSize=128).fit(rows)
+    assert own.weights == pytest.approx(theirs.weights.toArray(), rel=1e-4, abs=1e-4)
+    assert _predictions(own, rows) == _predictions(theirs, rows)
