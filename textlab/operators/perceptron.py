@@ -132,7 +132,7 @@ class Perceptron:
                 return gradient, loss
 
             gradient, (loss, stacks) = summed(packed, part, [point.shape, (2,)])
-            state.unpersist()
+            state.destroy()
             if not stacks:
                 raise ValueError("no rows to fit")
             try:
