@@ -106,3 +106,29 @@ def test_vocab_rank_ties_first_appearance(spark):
     got = {r.token: (r.n, r.idx) for r in V.build_vocab(docs, "id", "t").collect()}
     # counts: a2 b2 c2 d2 -> all tied, first appearance b(0,0) a(0,1) c(0,2) d(1,2)
     assert got == {"b": (2, 1), "a": (2, 2), "c": (2, 3), "d": (2, 4)}
+
+
+def test_tfidf_rows_count_pairs_where_the_texts_lie(spark):
+    """Words and pairs of neighbours, repeated and null keys, null texts: as if every term were a row."""
+    from textlab.functions import text as TX
+    rows = [(i % 17 if i % 13 else None, "ab"[i % 2], [f"w{(i * j) % (5 + i % 3)}" for j in range(i % 9)] or None) for i in range(80)]
+    every = spark.createDataFrame(rows, "id long, split string, tokens array<string>")
+    for docs in (every, every.where("id is not null").dropDuplicates(["id"])):
+        both = docs.withColumn("tokens", TX.ngrams_1_2("tokens"))
+        for k in (7, 40, 1000):
+            for fit in (None, F.col("split") == "a"):
+                got = FE.tfidf_rows(docs, "id", "tokens", k, fit_on=fit, pairs=True, keep=["split"])
+                want = FE._tfidf_rows_joined(both, "id", "tokens", k, both.where(fit) if fit is not None else None).join(docs.select("id", "split"), "id")
+                got, want = [sorted((r.id if r.id is not None else -1, r.split, list(r.idx), [round(v, 9) for v in r.val]) for r in x.collect()) for x in (got, want)]
+                if docs is every:
+                    want = [w for w in want if w[0] >= 0]
+                assert got == want
+
+
+def test_lsa_needs_no_shuffle_of_terms(spark, monkeypatch):
+    stored, held = FE.stored, []
+    monkeypatch.setattr(FE, "stored", lambda df, name: held.append((name, stored(df, name))) or held[-1][1])
+    docs = spark.createDataFrame([(i, ["a", "b", "a", f"rare{i}"]) for i in range(50)], "id long, tokens array<string>")
+    plan = FE.tfidf_rows(docs, "id", "tokens", 3, pairs=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+    assert [n for n, _ in held] == ["word-totals", "word-codes"]
