@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,18 @@ def test_tfidf_moves_blocks_not_terms(spark, odd, monkeypatch):
     want = FE.tfidf(spark.createDataFrame(every, docs.schema), "k", "w")
     got = FE.tfidf(docs, "k", "w", pairs=True)
     assert {(r.k, r.term): r.weight for r in got.collect()} == pytest.approx({(r.k, r.term): r.weight for r in want.collect()})
+
+
+def test_tfidf_shuffles_compressed_blocks_once(spark, monkeypatch):
+    """What is shuffled are a block's documents, once, and its terms, as compressed bytes."""
+    monkeypatch.setattr(FE, "BLOCK_TERMS", 60)
+    rows = [(i % 40, [f"w{(i * j) % 11}" for j in range(i % 7)]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "k long, w array<string>").repartition(3)
+    got = FE.tfidf(docs, "k", "w", pairs=True)
+    moved = [line for line in plan(got).splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) <= 4 and "terms" not in plan(got).split("FlatMapCoGroups")[1].split("FlatMapGroups")[0]
+    every = [(k, ws + [f"{x} {y}" for x, y in zip(ws, ws[1:])]) for k, ws in rows]
+    want = FE.tfidf(spark.createDataFrame(every, docs.schema), "k", "w")
+    assert {(r.k, r.term): r.weight for r in got.collect()} == pytest.approx({(r.k, r.term): r.weight for r in want.collect()})
+    terms = pa.array(["x", "", "ä b", "x"] + ["y"])[1:4]
+    assert FE._unsqueezed(FE._squeezed(terms)).to_pylist() == terms.to_pylist()
