@@ -41,15 +41,24 @@ def test_boosted_trees_are_mllibs(rows):
     assert _predictions(own, rows) == _predictions(theirs, rows)
 
 
+def test_rows_without_a_label_are_of_no_class(rows):
+    some = rows.withColumn("label", F.when(F.col("doc_id") % 7 > 0, F.col("label")))
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=2, maxDepth=3, seed=42)
+    theirs = OneVsRest(classifier=gbt, featuresCol="features", labelCol="label").fit(some)
+    assert _predictions(M.ovr_gbt(max_iter=2).fit(some), some) == _predictions(theirs, some)
+
+
 def test_histograms_hold_no_dense_row(rows, monkeypatch):
     """What a fit stores is as large as the entries that are not 0, and nothing is cached."""
-    kept = []
-    keep = TR.stored
+    def cached():
+        return rows.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size()
+
+    kept, keep, before = [], TR.stored, (rows.count(), cached())[1]
     monkeypatch.setattr(TR, "stored", lambda df, name: kept.append(keep(df, name)) or kept[-1])
     M.ovr_gbt(max_iter=1).fit(rows)
     codes = kept[0].agg(F.sum(F.length("code"))).first()[0]
     assert codes == 4 * sum(int(np.count_nonzero(r.features.toArray())) for r in rows.collect())
-    assert rows.sparkSession.sparkContext._jsc.sc().getPersistentRDDs().size() <= 1   # the fixture's own
+    assert cached() <= before
 
 
 def test_thresholds_of_many_values():
